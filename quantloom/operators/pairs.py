@@ -6,6 +6,8 @@ peers per ticker; nothing here forms all pairs of the universe.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -228,24 +230,37 @@ MAX_MATRIX = 64
 def correlation_matrix(ret: DataFrame, members: list[str], ts: str = "dt") -> DataFrame:
     """Pairwise-complete Pearson matrix of an explicit, small portfolio, in long form (a <= b).
 
-    The members are pivoted to columns, so all coefficients come out of one
-    aggregation over days; no join and no row per (pair, day) is produced.
+    Members become columns (one row per day), every task reduces its days to the
+    members x members moment sums, and those are added up: no join, and what is
+    shuffled does not grow with the history.
     """
     if not 1 <= len(members) <= MAX_MATRIX:
         raise ValueError(f"a portfolio matrix takes 1..{MAX_MATRIX} members, got {len(members)}")
     names = sorted(members)
     wide = ret.groupBy(ts).agg(
         *[F.max(F.when(F.col("ticker") == m, F.col("ret"))).alias(f"c{i}") for i, m in enumerate(names)]
+    ).drop(ts)
+    iu, ju = np.triu_indices(len(names))
+
+    def moments(batches):
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64", na_value=np.nan)
+            seen = ~np.isnan(x)
+            x, m = np.where(seen, x, 0.0), seen.astype("float64")
+            grids = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
+            yield pd.DataFrame({"i": iu, "j": ju, **{k: g[iu, ju] for k, g in grids.items()}})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    cells = wide.mapInPandas(moments, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    t = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
+    label = F.array(*[F.lit(m) for m in names])
+    return t.select(
+        F.element_at(label, F.col("i") + 1).alias("a"),
+        F.element_at(label, F.col("j") + 1).alias("b"),
+        F.when(n > 1, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"),
     )
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    one = wide.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in cells])
-    rows = F.array(
-        *[
-            F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"r{i}_{j}").alias("r"))
-            for i, j in cells
-        ]
-    )
-    return one.select(F.inline(rows))
 
 
 def strongest_peer(correlations: DataFrame) -> DataFrame:

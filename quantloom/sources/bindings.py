@@ -13,6 +13,7 @@ there are calendar days (or listed contracts), however skewed the raw table is.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -127,8 +128,8 @@ def raw_spot(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
     li = table(spark, sf_dir, "lineitem").where(
         F.col("l_shipdate") < F.lit(as_of + dt.timedelta(days=1)).cast("timestamp")
     )
-    day = F.datediff(day_expr(), F.lit(dt.date(1, 1, 1))).cast("decimal(7,0)")
-    latest = (day * F.lit(10**29).cast("decimal(30,0)")).cast("decimal(38,0)") + trade_order()
+    day = F.unix_date(day_expr()).cast("decimal(7,0)")
+    latest = (day * F.lit(Decimal(10) ** 29)).cast("decimal(38,0)") + trade_order()
     return (
         li.groupBy("l_suppkey")
         .agg(F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), latest).alias("spot"))
