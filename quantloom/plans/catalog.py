@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.plans import option_queries, pair_queries, series_queries
+from quantloom.plans import fundamental_queries, option_queries, pair_queries, series_queries
 from quantloom.plans.common import Query
 
-MODULES = (series_queries, pair_queries, option_queries)
+MODULES = (series_queries, pair_queries, option_queries, fundamental_queries)
 
 
 def queries() -> dict[str, Query]:
