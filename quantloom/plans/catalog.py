@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from quantloom.plans import fundamental_queries, option_queries, pair_queries, series_queries
+from quantloom.plans import (
+    data_queries,
+    fundamental_queries,
+    option_queries,
+    pair_queries,
+    report_queries,
+    series_queries,
+)
 from quantloom.plans.common import Query
 
-MODULES = (series_queries, pair_queries, option_queries, fundamental_queries)
+MODULES = (series_queries, pair_queries, option_queries, fundamental_queries, data_queries, report_queries)
 
 
 def queries() -> dict[str, Query]:
