@@ -27,18 +27,28 @@ def snap(c: Column | str, digits: int = 6) -> Column:
     return F.floor(col(c) * F.lit(p) + F.lit(0.5)).cast("double") / F.lit(p)
 
 
+def steady(c: Column) -> Column:
+    """A sort key without floating-point noise (nine decimals)."""
+    return F.floor(c * F.lit(1e9) + F.lit(0.5))
+
+
 def clamp(c: Column, lo=0.0, hi=1.0) -> Column:
     """Clip to [lo, hi]; NULL stays NULL (bare greatest/least would skip it)."""
     return F.when(c.isNotNull(), F.greatest(num(lo), F.least(num(hi), c)))
 
 
+def clip(c: Column, lo=0.0, hi=1.0) -> Column:
+    """``clamp`` for expressions that are never NULL; mentions ``c`` once, so nesting stays linear."""
+    return F.greatest(num(lo), F.least(num(hi), c))
+
+
 def norm(v: Column | str, lo, hi, invert: bool = False) -> Column:
     """Clamp-normalise ``v`` from [lo, hi] to [0, 1]; an empty range gives 0.5."""
     v, lo, hi = col(v), num(lo), num(hi)
-    scaled = clamp((v - lo) / F.nullif(hi - lo, F.lit(0.0)))
+    scaled = clip((v - lo) / F.nullif(hi - lo, F.lit(0.0)))
     if invert:
         scaled = 1.0 - scaled
-    return F.when(v.isNull(), None).otherwise(F.when(hi == lo, F.lit(0.5)).otherwise(scaled))
+    return F.when(v.isNull(), F.lit(None).cast("double")).when(hi == lo, F.lit(0.5)).otherwise(scaled)
 
 
 def rescale(v: Column | str, lo=-1.0, hi=1.0, tlo=0.0, thi=1.0) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import div, num
+from quantloom.functions.numeric import div
 
 
 def total(columns: list[Column]) -> Column:
@@ -19,22 +19,40 @@ def total(columns: list[Column]) -> Column:
     return out
 
 
-def renormalize(weights: dict[str, float | Column], available: dict[str, Column]) -> dict[str, Column]:
+def renormalize(weights: dict[str, float], available: dict[str, Column]) -> dict[str, Column]:
     """Weights of the available sources rescaled to sum to one; NULL for absent sources.
 
     If all available weights are zero the available sources share equally.
     """
-    on = {s: F.coalesce(available[s], F.lit(False)) for s in weights}
-    mass = total([F.when(on[s], num(w)).otherwise(0.0) for s, w in weights.items()])
-    count = total([on[s].cast("int") for s in weights])
-    return {
-        s: F.when(on[s], F.coalesce(div(num(w), mass), 1.0 / F.nullif(count, F.lit(0))))
-        for s, w in weights.items()
-    }
+    mass = available_mass(weights, available)
+    out = {s: F.when(available[s], div(F.lit(float(w)), mass)) for s, w in weights.items()}
+    if all(w > 0 for w in weights.values()):
+        return out
+    share = 1.0 / F.nullif(available_count(available), F.lit(0))
+    return {s: F.coalesce(c, F.when(available[s], share)) for s, c in out.items()}
+
+
+def available_mass(weights: dict[str, float], available: dict[str, Column]) -> Column:
+    return total([F.when(available[s], F.lit(float(w))).otherwise(0.0) for s, w in weights.items()])
+
+
+def available_count(available: dict[str, Column]) -> Column:
+    return total([F.when(a, 1).otherwise(0) for a in available.values()])
+
+
+def weighted_score(components: dict[str, Column], weights: dict[str, float], available: dict[str, Column],
+                   neutral: float) -> Column:
+    """Sum of renormalised weight x component over the available sources; ``neutral`` without any."""
+    if not all(w > 0 for w in weights.values()):
+        w = renormalize(weights, available)
+        parts = [F.coalesce(w[s] * c, F.lit(0.0)) for s, c in components.items()]
+        return F.when(none_available(available), F.lit(neutral)).otherwise(total(parts))
+    parts = [F.when(available[s], float(weights[s]) * c).otherwise(0.0) for s, c in components.items()]
+    return F.coalesce(div(total(parts), available_mass(weights, available)), F.lit(float(neutral)))
 
 
 def none_available(available: dict[str, Column]) -> Column:
-    return total([F.coalesce(a, F.lit(False)).cast("int") for a in available.values()]) == 0
+    return available_count(available) == 0
 
 
 def weight_map(weights: dict[str, Column], neutral: Column | None = None) -> Column:

@@ -28,6 +28,18 @@ def mean_iv(chain: DataFrame, keys: list[str], out: str = "avg_iv") -> DataFrame
     return ok.groupBy(*keys).agg(F.coalesce(weighted, F.avg("iv")).alias(out))
 
 
+def mean_iv_over(window, where: Column | None = None) -> Column:
+    """``mean_iv`` as a window column over the rows that satisfy ``where``."""
+    ok = F.col("iv") >= 0
+    ok = ok if where is None else ok & where
+    traded = ok & (F.col("volume") > 0)
+    weighted = div(
+        F.sum(F.when(traded, F.col("iv") * F.col("volume"))).over(window),
+        F.sum(F.when(traded, F.col("volume"))).over(window).cast("double"),
+    )
+    return F.coalesce(weighted, F.avg(F.when(ok, F.col("iv"))).over(window))
+
+
 def mean_iv_filled(chain: DataFrame, keys: list[str], default: float = 0.25) -> DataFrame:
     """The variant that gives an unknown volume the weight one; ``default`` when nothing weighs."""
     w = F.coalesce(F.col("volume").cast("double"), F.lit(1.0))

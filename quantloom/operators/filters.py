@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import formatting as fmt
 from quantloom.functions import weights as wt
-from quantloom.functions.numeric import ladder
+from quantloom.functions.numeric import ladder, steady
 
 
 def custom_filters(df: DataFrame, max_delta=None, min_volume=None, max_spread=None, min_open_interest=None) -> DataFrame:
@@ -107,8 +107,8 @@ def score_distribution(df: DataFrame, keys: list[str], score: str = "composite_s
 
 def top_and_bottom(df: DataFrame, keys: list[str], tie: list[str], k: int = 3, score: str = "composite_score") -> DataFrame:
     """The k best and the k worst rows of each group, two pruned rankings."""
-    best = W.partitionBy(*keys).orderBy(F.desc(score), *tie)
-    worst = W.partitionBy(*keys).orderBy(F.asc(score), *tie)
+    best = W.partitionBy(*keys).orderBy(steady(-F.col(score)), *tie)
+    worst = W.partitionBy(*keys).orderBy(steady(F.col(score)), *tie)
     out = [
         df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("end", F.lit(end))
         for end, w in (("top", best), ("bottom", worst))
@@ -118,7 +118,7 @@ def top_and_bottom(df: DataFrame, keys: list[str], tie: list[str], k: int = 3, s
 
 def score_rank(df: DataFrame, keys: list[str], score: str = "composite_score") -> DataFrame:
     """1 + the number of strictly better scores in the group."""
-    return df.withColumn("score_rank", F.rank().over(W.partitionBy(*keys).orderBy(F.desc(score))))
+    return df.withColumn("score_rank", F.rank().over(W.partitionBy(*keys).orderBy(steady(-F.col(score)))))
 
 
 # Averaged column -> bands per strategy.

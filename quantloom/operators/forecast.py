@@ -17,15 +17,12 @@ def target_summary(targets: DataFrame, key: str = "ticker") -> DataFrame:
     ``point_std`` is the deviation of {low, mean, high, median}, the median left
     out when it equals the mean: what is known when only a summary is published.
     """
-    base = targets.where(F.col("target").isNotNull()).groupBy(key).agg(
-        F.count("*").alias("num_analysts"),
-        F.avg("target").alias("mean_target"),
-        F.max("target").alias("high_target"),
-        F.min("target").alias("low_target"),
-        F.stddev_samp("target").alias("std_dev"),
-    )
-    med = grouped_quantiles(targets, [key], "target", {"median_target": 0.5}).drop("n")
-    out = base.join(med, key)
+    out = grouped_quantiles(
+        targets, [key], "target", {"median_target": 0.5},
+        extra={
+            "mean_target": F.avg("_v"), "high_target": F.max("_v"), "low_target": F.min("_v"), "std_dev": F.stddev_samp("_v"),
+        },
+    ).withColumnRenamed("n", "num_analysts")
     mean, median = F.col("mean_target"), F.col("median_target")
     pts = F.filter(
         F.array("low_target", mean, "high_target", F.when(median != mean, median)), lambda x: x.isNotNull()

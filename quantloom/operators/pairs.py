@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions.inference import correlation_pvalue, normal_pvalue, strength_class
 from quantloom.operators.series import with_returns
@@ -54,8 +55,12 @@ def beta(aligned: DataFrame, min_rows: int = 20, key: str = "ticker") -> DataFra
 def paired_returns(ret: DataFrame, edges: DataFrame, ts: str = "dt") -> DataFrame:
     """(ticker, peer, dt, x, y): both returns on every common day of every edge.
 
-    The second join is on (peer, dt): even a peer that a third of the universe
-    points to is spread over all its days, and AQE splits or broadcasts the rest.
+    Returns arrive partitioned by ticker, so the edges (a bounded list per
+    ticker, hence a safe hash-join build side) are brought to them and everything
+    grouped by (ticker, peer) afterwards needs no further shuffle.  Only tickers
+    that are somebody's peer enter the other side; AQE broadcasts that side when
+    it is small and otherwise joins on (peer, day), which spreads even a peer that
+    a third of the universe points to over all its days.
     """
     x = ret.select("ticker", ts, F.col("ret").alias("x"))
     used = edges.select("peer").distinct()
@@ -63,7 +68,7 @@ def paired_returns(ret: DataFrame, edges: DataFrame, ts: str = "dt") -> DataFram
         ret.select(F.col("ticker").alias("peer"), ts, F.col("ret").alias("y"))
         .join(used, "peer", "left_semi")
     )
-    return edges.join(x, "ticker").join(y, ["peer", ts])
+    return x.join(edges.hint("shuffle_hash"), "ticker").join(y, ["peer", ts])
 
 
 def pearson(pairs: DataFrame) -> DataFrame:
@@ -82,70 +87,50 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return ranked.groupBy(*PAIR).agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("n"))
 
 
+def _tie_sums(values: np.ndarray) -> tuple[float, float, float]:
+    """Over tie groups of size t: sum of t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5)."""
+    t = np.unique(values, return_counts=True)[1].astype("float64")
+    return float((t * (t - 1) / 2).sum()), float((t * (t - 1) * (t - 2)).sum()), float((t * (t - 1) * (2 * t + 5)).sum())
+
+
+def _concordance(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
+    """Concordant minus discordant pairs, in blocks of rows so memory stays linear."""
+    total = 0.0
+    for i in range(0, len(x), block):
+        dx = np.sign(x[i : i + block, None] - x[None, :])
+        dy = np.sign(y[i : i + block, None] - y[None, :])
+        total += float((dx * dy).sum())
+    return total / 2  # every pair was seen from both ends
+
+
+def _kendall_of(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
+    n = float(len(x))
+    s = _concordance(x, y)
+    (n1, x2, x3), (n2, y2, y3) = _tie_sums(x), _tie_sums(y)
+    m = n * (n - 1)
+    scale = (m / 2 - n1) * (m / 2 - n2)
+    var = (m * (2 * n + 5) - x3 - y3) / 18
+    if n > 2:
+        var += 2 * n1 * n2 / m + x2 * y2 / (9 * m * (n - 2))
+    return (s / scale**0.5 if scale > 0 else None), (s / var**0.5 if var > 0 else None)
+
+
+@F.pandas_udf(StructType([StructField("r", DoubleType()), StructField("z", DoubleType())]))
+def _kendall_udf(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_kendall_of(a, b) for a, b in zip(x, y)], columns=["r", "z"])
+
+
 def kendall(pairs: DataFrame) -> DataFrame:
-    """Kendall tau-b in O(n log n) rows per pair, with no self join.
-
-    Order a pair's days by (x, y) and give y its dense rank.  A discordant pair
-    is a later day with a smaller y rank; it is counted exactly once, at the
-    highest bit where the two ranks differ: same higher bits, the earlier has
-    that bit set and the later has not.  So each day is exploded into one row
-    per bit of the largest rank, and a running sum per (pair, bit, higher bits)
-    counts the set bits seen so far.
+    """Kendall tau-b and its normal score per pair.
+
+    A pair's common days are one row per calendar day at most, so they fit an
+    array; numpy compares them inside the task that already holds the ticker.
+    No self join, no shuffle.
     """
-    day = W.partitionBy(*PAIR)
-    ranked = pairs.select(
-        *PAIR, "x", "y",
-        F.row_number().over(day.orderBy("x", "y")).alias("pos"),
-        (F.dense_rank().over(day.orderBy("y")) - 1).alias("ry"),
-        F.count("*").over(W.partitionBy(*PAIR, "x")).alias("tx"),
-        F.count("*").over(W.partitionBy(*PAIR, "y")).alias("ty"),
-        F.count("*").over(W.partitionBy(*PAIR, "x", "y")).alias("txy"),
-    )
-    # Each member of a tie group of size t adds t-1; the sum is t(t-1) per group.
-    ties = ranked.groupBy(*PAIR).agg(
-        F.count("*").cast("double").alias("n"),
-        (F.sum(F.col("tx") - 1) / 2.0).alias("n1"),
-        (F.sum(F.col("ty") - 1) / 2.0).alias("n2"),
-        (F.sum(F.col("txy") - 1) / 2.0).alias("n3"),
-        *[
-            F.sum(e(F.col(t))).cast("double").alias(f"{name}_{t}")
-            for t in ("tx", "ty")
-            for name, e in {
-                "s2": lambda c: (c - 1) * (c - 2),
-                "s3": lambda c: (c - 1) * (2 * c + 5),
-            }.items()
-        ],
-    )
-    width = F.max("ry").over(day)
-    bits = ranked.withColumn("_top", F.ceil(F.log2(width + 1)).cast("int")).select(
-        *PAIR, "pos", "ry",
-        F.explode(F.when(F.col("_top") >= 1, F.sequence(F.lit(0), F.col("_top") - 1)).otherwise(F.array().cast("array<int>"))).alias("bit"),
-    )
-    two = F.lit(2).cast("double")
-    high = F.floor(F.col("ry") / F.pow(two, F.col("bit") + 1))
-    on = F.floor(F.col("ry") / F.pow(two, F.col("bit"))) % 2
-    seen = W.partitionBy(*PAIR, "bit", "high").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    disc = (
-        bits.withColumns({"high": high, "on": on})
-        .withColumn("before", F.sum("on").over(seen))
-        .groupBy(*PAIR)
-        .agg(F.sum(F.when(F.col("on") == 0, F.coalesce("before", F.lit(0)))).cast("double").alias("d"))
-    )
-    n = F.col("n")
-    n0 = n * (n - 1) / 2
-    j = ties.join(disc, PAIR, "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    conc_minus_disc = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
-    m = n * (n - 1)
-    var = (
-        (m * (2 * n + 5) - F.col("s3_tx") - F.col("s3_ty")) / 18
-        + 2 * F.col("n1") * F.col("n2") / F.nullif(m, F.lit(0.0))
-        + F.col("s2_tx") * F.col("s2_ty") / F.nullif(9 * m * (n - 2), F.lit(0.0))
-    )
-    return j.select(
-        *PAIR,
-        (conc_minus_disc / F.sqrt(F.nullif((n0 - F.col("n1")) * (n0 - F.col("n2")), F.lit(0.0)))).alias("r"),
-        n.cast("bigint").alias("n"),
-        (conc_minus_disc / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"),
+    # (x, y) has no NULLs, so both lists see the same rows in the same order
+    days = pairs.groupBy(*PAIR).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    return days.withColumn("k", _kendall_udf("xs", "ys")).select(
+        *PAIR, "k.r", F.size("xs").cast("bigint").alias("n"), "k.z"
     )
 
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      accuracy: int = 10_000) -> DataFrame:
+                      accuracy: int = 10_000, extra: dict[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles ``{name: q}`` per group, plus ``n``; exact at any group size.
 
+    ``extra`` aggregates over ``value`` (named by key) ride along in the sketch pass.
+
     A mergeable sketch first brackets every wanted order statistic within
     2n/accuracy ranks.  Rows above the bracket are dropped, rows below it are
     collapsed to one counted row on the map side, and only the distinct values
     inside the bracket are ordered.  Nothing collects a group: the hottest task
     sorts about n * 4/accuracy values.
     """
+    extra = extra or {}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 2.0 / accuracy
     names = list(probs)
@@ -24,6 +27,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
+        *[e.alias(f"_x_{n}") for n, e in extra.items()],
     )
     wanted = F.explode(
         F.array(
@@ -39,12 +43,13 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
             ]
         )
     ).alias("_w")
+    carried = ["_n", *[f"_x_{n}" for n in extra]]
     near = (
         rows.join(sketch, keys)
-        .select(*keys, "_v", "_n", wanted)
+        .select(*keys, "_v", "_n", *[f"_x_{n}" for n in extra], wanted)
         .where(F.col("_v") <= F.col("_w.hi"))
         .groupBy(
-            *keys, "_n", F.col("_w.name").alias("_name"), F.col("_w.h").alias("_h"),
+            *keys, *carried, F.col("_w.name").alias("_name"), F.col("_w.h").alias("_h"),
             F.when(F.col("_v") < F.col("_w.lo"), float("-inf")).otherwise(F.col("_v")).alias("_v"),
         )
         .agg(F.count("*").alias("_c"))
@@ -55,9 +60,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     ordered = near.withColumn("_upto", upto)
     lower = F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v")))
     upper = F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v")))
-    points = ordered.groupBy(*keys, "_n", "_name", "_h").agg(
+    points = ordered.groupBy(*keys, *carried, "_name", "_h").agg(
         (lower + (F.col("_h") - F.floor("_h")) * (upper - lower)).alias("_q")
     )
-    return points.groupBy(*keys, F.col("_n").alias("n")).agg(
+    return points.groupBy(*keys, F.col("_n").alias("n"), *[F.col(f"_x_{n}").alias(n) for n in extra]).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
     )

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.config.options import DEFAULT_WEIGHTS, SOURCES
-from quantloom.functions.numeric import clamp, norm
-from quantloom.functions.weights import none_available, renormalize, total, weight_map
+from quantloom.functions.numeric import clip, div, norm
+from quantloom.functions.weights import none_available, renormalize, weight_map, weighted_score
 from quantloom.operators import pairs, series
 
 FALLBACK = {"rsi": 50.0, "beta": 1.0, "momentum": 0.0, "iv": 0.2, "forecast": 0.5}
@@ -91,9 +91,7 @@ def flags() -> dict[str, Column]:
 def combine(components: dict[str, Column], weights: dict[str, float] | None = None,
             neutral: float = 0.0) -> Column:
     """Weighted sum over the available sources; ``neutral`` when there is none."""
-    w = renormalize(weights or DEFAULT_WEIGHTS, flags())
-    parts = [F.coalesce(w[s] * components[s], F.lit(0.0)) for s in SOURCES]
-    return F.when(none_available(flags()), F.lit(neutral)).otherwise(total(parts))
+    return weighted_score(components, weights or DEFAULT_WEIGHTS, flags(), neutral)
 
 
 def details(weights: dict[str, float] | None = None) -> Column:
@@ -116,12 +114,12 @@ def long_call_score(weights=None) -> Column:
 
 
 def long_call_overlay(score: Column, risk: Column) -> Column:
-    dear = F.greatest(F.lit(0.0), (F.col("iv") - F.col("avg_iv")) / F.nullif(F.col("avg_iv"), F.lit(0.0)) * 0.2)
+    dear = F.greatest(F.lit(0.0), div(F.col("iv") - F.col("avg_iv"), F.col("avg_iv"), 0.0) * 0.2)
     patient = F.least(F.lit(0.15), F.col("dte") / 365.0 * 0.1)
     mom = F.when(F.col("momentum") > 0, 1 + F.least(F.lit(0.2), F.col("momentum") * 10)).otherwise(1.0)
     lively = F.when(F.col("beta") > 1, 1 + F.least(F.lit(0.15), (F.col("beta") - 1) * 0.2)).otherwise(1.0)
-    return clamp(
-        F.when(risk == "Conservative", score * (1 - F.coalesce(dear, F.lit(0.0))) * (1 + patient))
+    return clip(
+        F.when(risk == "Conservative", score * (1 - dear) * (1 + patient))
         .when(risk == "Aggressive", score * mom * lively)
         .otherwise(score)
     )
@@ -138,12 +136,12 @@ def covered_call_score(weights=None) -> Column:
         },
         weights,
     )
-    return clamp(base * (1 + F.least(F.col("annualized_yield") / 50.0, F.lit(0.3))))
+    return clip(base * (1 + F.least(F.col("annualized_yield") / 50.0, F.lit(0.3))))
 
 
 def covered_call_overlay(score: Column, risk: Column) -> Column:
     ap, ann = F.col("assignment_probability"), F.col("annualized_yield")
-    return clamp(
+    return clip(
         F.when(risk == "Conservative", score * (1 - ap * 0.3) * (1 + F.least(F.lit(0.2), F.col("dte") / 90.0 * 0.1)))
         .when(risk == "Aggressive", score * (1 + F.least(ann / 50.0, F.lit(0.3))) * (1 + ap * 0.1))
         .otherwise(score)
@@ -162,12 +160,12 @@ def cash_put_score(weights=None) -> Column:
         weights,
     )
     boost = F.least(F.col("annualized_yield") / 40.0, F.lit(0.2)) + F.least(F.col("discount_to_current") / 20.0, F.lit(0.2))
-    return clamp(base * (1 + boost))
+    return clip(base * (1 + boost))
 
 
 def cash_put_overlay(score: Column, risk: Column) -> Column:
     ap, ann = F.col("assignment_probability"), F.col("annualized_yield")
-    return clamp(
+    return clip(
         F.when(risk == "Conservative", score * (1 - ap * 0.25) * (1 + F.least(F.col("discount_to_current") / 20.0, F.lit(0.2))))
         .when(risk == "Aggressive", score * (1 + F.least(ann / 40.0, F.lit(0.3))) * (1 + ap * 0.05))
         .otherwise(score)
@@ -192,14 +190,14 @@ def spread_score(weights=None, corrected: bool = False) -> Column:
     if corrected:
         be = F.col("break_even")
         score = score * (1 + F.when(be > 0, F.least((F.col("spot") / be - 1) * 0.1, F.lit(0.15))).otherwise(0.0))
-    return clamp(score)
+    return clip(score)
 
 
 def spread_overlay(score: Column, risk: Column, mean_width: Column, mean_profit: Column) -> Column:
-    pr = clamp(F.least((F.col("profit_ratio") - 1) * 0.2, F.lit(0.3)), 0.0, 0.3)
+    pr = clip(F.least((F.col("profit_ratio") - 1) * 0.2, F.lit(0.3)), 0.0, 0.3)
     wide = F.least(F.col("spread_width") / (mean_width * 2) * 0.1, F.lit(0.2))
-    rich = clamp(F.least(F.col("max_profit") / mean_profit * 0.15, F.lit(0.25)), 0.0, 0.25)
-    return clamp(
+    rich = clip(F.least(F.col("max_profit") / mean_profit * 0.15, F.lit(0.25)), 0.0, 0.25)
+    return clip(
         F.when(risk == "Conservative", score * (1 + pr - wide))
         .when(risk == "Aggressive", score * (1 + rich))
         .otherwise(score)
@@ -213,7 +211,7 @@ def modular_score(weights=None) -> Column:
         F.greatest(F.lit(0.3), 1.0 - (F.col("beta") - 1.2) * 0.2)
     )
     mom = F.when(F.col("momentum") > 0.1, 0.8).when(F.col("momentum") > 0, 1.0).when(F.col("momentum") > -0.05, 0.6).otherwise(0.2)
-    return clamp(
+    return clip(
         combine(
             {"rsi": rsi, "beta": beta, "momentum": mom, "forecast": F.col("forecast"),
              "iv": norm(F.col("iv"), F.col("avg_iv") * 0.8, F.col("avg_iv") * 1.5)},

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.config import options as cfg
-from quantloom.functions.numeric import clamp, div
+from quantloom.functions.numeric import clamp, div, steady
 from quantloom.operators import chain as ch
 from quantloom.operators import scoring as sc
 
@@ -39,7 +39,8 @@ def top_k(df: DataFrame, orders: dict[str, list[Column]], limits: dict[str, int]
     """Best rows per (ticker, risk) with their rank; each risk level has its own order and limit.
 
     ``orders`` lists numeric sort keys, smallest first, the composite score ahead
-    of everything.  One window serves all levels: keys are picked by CASE, and the
+    of everything; keys are compared to nine decimals so that summation order
+    cannot reorder ties.  One window serves all levels: keys are picked by CASE, and the
     literal bound lets the planner prune each group before the shuffle.
     """
     depth = max(len(o) for o in orders.values())
@@ -49,7 +50,7 @@ def top_k(df: DataFrame, orders: dict[str, list[Column]], limits: dict[str, int]
         for risk, order in orders.items():
             if i < len(order):
                 key = F.when(F.col("risk") == risk, order[i].cast("double")).otherwise(key)
-        keys.append(key)
+        keys.append(steady(key))
     w = W.partitionBy(*GROUP).orderBy(*keys, *tie)
     return (
         df.withColumn("rank", F.row_number().over(w))
@@ -93,8 +94,7 @@ def long_call_filter(chain: DataFrame, min_days=180, risks=cfg.RISK_LEVELS) -> D
 
 def long_calls(chain: DataFrame, indicators: DataFrame, signals: DataFrame, min_days=180, top_n=5,
                weights=None, risks=cfg.RISK_LEVELS) -> DataFrame:
-    c = long_call_filter(chain, min_days, risks)
-    scored = score_long_calls(c, indicators, signals, weights)
+    scored = score_long_calls(long_call_filter(chain, min_days, risks), indicators, signals, weights)
     tie = [F.col("expiry"), F.col("strike")]
     s = -F.col("final_score")
     return top_k(
@@ -108,12 +108,13 @@ def long_calls(chain: DataFrame, indicators: DataFrame, signals: DataFrame, min_
 
 
 def score_long_calls(c: DataFrame, indicators: DataFrame, signals: DataFrame, weights=None) -> DataFrame:
-    scored = with_indicators(c, indicators, ch.mean_iv(c, GROUP), GROUP)
-    scored = scored.withColumn(
-        "composite_score", sc.long_call_overlay(sc.long_call_score(weights), F.col("risk"))
-    ).withColumn("score_details", sc.details(weights))
+    """Scores against the mean IV of the contracts that passed the filter."""
+    c = c.withColumn("avg_iv", ch.mean_iv_over(W.partitionBy(*GROUP)))
     sig = signals.select("ticker", F.col("score").alias("ecosystem_score"), "signal", "confidence")
     m = F.create_map(*[x for k, v in cfg.SIGNAL_MULTIPLIER.items() for x in (F.lit(k), F.lit(v))])
+    scored = scored_by(
+        with_indicators(c, indicators), sc.long_call_score(weights), lambda b: sc.long_call_overlay(b, F.col("risk")), weights
+    )
     return (
         scored.join(sig, "ticker", "left")
         .fillna({"ecosystem_score": 0.5, "signal": "neutral", "confidence": 0.5})
@@ -121,15 +122,51 @@ def score_long_calls(c: DataFrame, indicators: DataFrame, signals: DataFrame, we
     )
 
 
-def with_indicators(contracts: DataFrame, indicators: DataFrame, ivs: DataFrame, keys: list[str]) -> DataFrame:
+def scored_by(x: DataFrame, base: Column, overlay, weights=None) -> DataFrame:
+    """Base score, then the risk overlay on it as a column of its own, plus the weights used.
+
+    Two steps keep the expression trees small: the overlay mentions the base
+    score several times.
+    """
+    return (
+        x.withColumn("_base", base)
+        .withColumns({"composite_score": overlay(F.col("_base")), "score_details": sc.details(weights)})
+        .drop("_base")
+    )
+
+
+def with_indicators(contracts: DataFrame, indicators: DataFrame) -> DataFrame:
     """Attach the one-row-per-ticker indicators; tickers without an indicator row are rejected."""
-    return sc.with_mean_iv(contracts.join(indicators, "ticker"), ivs, keys)
+    return contracts.join(indicators, "ticker").withColumns(
+        {"has_iv": F.col("avg_iv").isNotNull(), "avg_iv": F.coalesce("avg_iv", F.lit(sc.FALLBACK["iv"]))}
+    )
+
+
+def with_call_iv(chain: DataFrame, table: dict[str, int]) -> DataFrame:
+    """Mean IV of a ticker's calls that are long enough, one column per distinct minimum.
+
+    A window over the listing rather than an aggregate joined back: the chain is
+    computed once, and the later top-k finds its rows already with their ticker.
+    """
+    w = W.partitionBy("ticker")
+    return chain.withColumns(
+        {f"_iv_{d}": ch.mean_iv_over(w, (F.col("side") == "C") & (F.col("dte") >= d)) for d in set(table.values())}
+    )
+
+
+def pick_call_iv(df: DataFrame, table: dict[str, int]) -> DataFrame:
+    """The mean IV that belongs to each row's risk level."""
+    out = F.lit(None).cast("double")
+    for r, d in table.items():
+        out = F.when(F.col("risk") == r, F.col(f"_iv_{d}")).otherwise(out)
+    return df.withColumn("avg_iv", out).drop(*{f"_iv_{d}" for d in table.values()})
 
 
 def spread_pairs(calls: DataFrame, reach: int = 7) -> DataFrame:
     """Each contract with the next ``reach`` strikes of its expiry: one sort, no join."""
     w = W.partitionBy("ticker", "expiry").orderBy("strike")
     leg = F.struct("strike", "last_price", "iv")
+    kept = [c for c in calls.columns if c.startswith("_iv_")]
     nxt = F.array_compact(F.array(*[F.lead(leg, i).over(w) for i in range(1, reach + 1)]))
     return (
         calls.withColumn("_next", nxt)
@@ -138,7 +175,7 @@ def spread_pairs(calls: DataFrame, reach: int = 7) -> DataFrame:
             "ticker", "expiry", "dte", "spot",
             F.col("strike").alias("long_strike"), F.col("_short.strike").alias("short_strike"),
             F.col("last_price").alias("long_price"), F.col("_short.last_price").alias("short_price"),
-            F.col("iv").alias("long_iv"), F.col("_short.iv").alias("short_iv"),
+            F.col("iv").alias("long_iv"), F.col("_short.iv").alias("short_iv"), *kept,
         )
     )
 
@@ -146,7 +183,8 @@ def spread_pairs(calls: DataFrame, reach: int = 7) -> DataFrame:
 def spread_candidates(chain: DataFrame, min_days=180, risks=cfg.RISK_LEVELS) -> DataFrame:
     lowest, table = days_of(min_days)
     net = F.col("long_price") - F.col("short_price")
-    p = spread_pairs(ch.contracts(chain, "C", lowest)).withColumns(
+    calls = with_call_iv(ch.contracts(chain, "C", lowest), table)
+    p = spread_pairs(calls).withColumns(
         {"spread_width": F.col("short_strike") - F.col("long_strike"), "net_premium": net}
     )
     p = p.withColumns(
@@ -159,7 +197,7 @@ def spread_candidates(chain: DataFrame, min_days=180, risks=cfg.RISK_LEVELS) ->
     p = p.withColumns(
         {"profit_ratio": F.col("max_profit") / F.col("net_premium"), "iv": (F.col("long_iv") + F.col("short_iv")) / 2}
     )
-    return (
+    out = (
         at_risk_levels(p, cfg.SPREAD_BANDS, risks)
         .where(
             (F.col("spread_width") <= F.col("spot") * F.col("max_width"))
@@ -168,21 +206,19 @@ def spread_candidates(chain: DataFrame, min_days=180, risks=cfg.RISK_LEVELS) ->
         )
         .drop("max_width", "min_ratio")
     )
+    return pick_call_iv(out, table)
 
 
 def bull_call_spread(chain: DataFrame, indicators: DataFrame, min_days=180, top_n=5, weights=None,
                      corrected: bool = False, risks=cfg.RISK_LEVELS) -> DataFrame:
-    lowest, table = days_of(min_days)
-    cand = spread_candidates(chain, min_days, risks)
-    ivs = risk_level_iv(ch.contracts(chain, "C", lowest), table)
-    x = with_indicators(cand, indicators, ivs, GROUP)
     means = W.partitionBy(*GROUP)
-    x = x.withColumns(
+    x = spread_candidates(chain, min_days, risks).withColumns(
         {"mean_width": F.avg("spread_width").over(means), "mean_profit": F.avg("max_profit").over(means)}
-    ).withColumn(
-        "composite_score",
-        sc.spread_overlay(sc.spread_score(weights, corrected), F.col("risk"), F.col("mean_width"), F.col("mean_profit")),
-    ).withColumn("score_details", sc.details(weights))
+    )
+    x = scored_by(
+        with_indicators(x, indicators), sc.spread_score(weights, corrected),
+        lambda b: sc.spread_overlay(b, F.col("risk"), F.col("mean_width"), F.col("mean_profit")), weights,
+    )
     s, pr = -F.col("composite_score"), -F.col("profit_ratio")
     return top_k(
         x,
@@ -192,18 +228,10 @@ def bull_call_spread(chain: DataFrame, indicators: DataFrame, min_days=180, top_
     )
 
 
-def risk_level_iv(calls: DataFrame, table: dict[str, int]) -> DataFrame:
-    """Mean IV per (ticker, risk) over the contracts long enough for that level."""
-    rows = at_risk_levels(calls, {r: dict(days=d) for r, d in table.items()}, tuple(table)).where(
-        F.col("dte") >= F.col("days")
-    )
-    return ch.mean_iv(rows, GROUP)
-
-
 def covered_call(chain: DataFrame, indicators: DataFrame, min_days=30, top_n=5, weights=None,
                  risks=cfg.RISK_LEVELS) -> DataFrame:
     lowest, table = days_of(min_days)
-    calls = ch.contracts(chain, "C", lowest)
+    calls = with_call_iv(ch.contracts(chain, "C", lowest), table)
     k, s0 = F.col("strike"), F.col("spot")
     c = at_risk_levels(calls, cfg.COVERED_CALL_BANDS, risks).where(
         (k >= s0 * (1 + F.col("lo"))) & (k <= s0 * (1 + F.col("hi"))) & (F.col("dte") >= per_risk(table, F.col("risk")))
@@ -221,10 +249,10 @@ def covered_call(chain: DataFrame, indicators: DataFrame, min_days=30, top_n=5,
         }
     )
     c = c.where(F.col("premium_yield") >= F.col("min_yield") * 100).drop("lo", "hi", "min_yield")
-    x = with_indicators(c, indicators, risk_level_iv(calls, table), GROUP)
-    x = x.withColumn(
-        "composite_score", sc.covered_call_overlay(sc.covered_call_score(weights), F.col("risk"))
-    ).withColumn("score_details", sc.details(weights))
+    x = scored_by(
+        with_indicators(pick_call_iv(c, table), indicators), sc.covered_call_score(weights),
+        lambda b: sc.covered_call_overlay(b, F.col("risk")), weights,
+    )
     s, ann = -F.col("composite_score"), -F.col("annualized_yield")
     return top_k(
         x,
@@ -239,7 +267,8 @@ def cash_secured_put(chain: DataFrame, indicators: DataFrame, min_days=30, top_n
     """The IV yardstick is the mean IV of the calls, as for the other strategies."""
     lowest, table = days_of(min_days)
     k, s0 = F.col("strike"), F.col("spot")
-    p = at_risk_levels(ch.contracts(chain, "P", lowest), cfg.CASH_PUT_BANDS, risks).where(
+    puts = with_call_iv(chain.where(F.col("dte") >= lowest), table).where(F.col("side") == "P")
+    p = at_risk_levels(puts, cfg.CASH_PUT_BANDS, risks).where(
         (k <= s0 * (1 - F.col("lo"))) & (k >= s0 * (1 - F.col("hi"))) & (F.col("dte") >= per_risk(table, F.col("risk")))
     )
     p = p.withColumns(
@@ -256,10 +285,10 @@ def cash_secured_put(chain: DataFrame, indicators: DataFrame, min_days=30, top_n
         }
     )
     p = p.where(F.col("premium_yield") >= F.col("min_yield") * 100).drop("lo", "hi", "min_yield")
-    x = with_indicators(p, indicators, risk_level_iv(ch.contracts(chain, "C", lowest), table), GROUP)
-    x = x.withColumn(
-        "composite_score", sc.cash_put_overlay(sc.cash_put_score(weights), F.col("risk"))
-    ).withColumn("score_details", sc.details(weights))
+    x = scored_by(
+        with_indicators(pick_call_iv(p, table), indicators), sc.cash_put_score(weights),
+        lambda b: sc.cash_put_overlay(b, F.col("risk")), weights,
+    )
     s, ann, ap = -F.col("composite_score"), -F.col("annualized_yield"), F.col("assignment_probability")
     return top_k(
         x,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def tickers(spark, sf):
 def peer_signals(spark, sf):
     px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
     corr = p.peer_correlations(s.with_returns(px), edges)
-    metrics = eco.peer_metrics(eco.ticker_metrics(px), edges, tickers(spark, sf))
+    metrics = eco.peer_metrics(eco.ticker_metrics(eco.peer_prices(px, edges)), edges, tickers(spark, sf))
     return eco.signal(eco.ecosystem_score(corr), metrics)
 
 
@@ -169,8 +170,8 @@ METRIC_COLS = "avg_rsi avg_ret_1 avg_ret_5 avg_ret_30 avg_rolling_vol sector_mom
 
 @CAT.add("peer_metrics", sql("pmet", f"SELECT ticker, n_used, {rcols(METRIC_COLS)}, volatility_regime, momentum_signal FROM pmet"))
 def peer_metrics(spark, sf):
-    px = b.prices(spark, sf).select("ticker", "dt", "close")
-    return show(eco.peer_metrics(eco.ticker_metrics(px), b.peers(spark, sf), tickers(spark, sf)))
+    px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
+    return show(eco.peer_metrics(eco.ticker_metrics(eco.peer_prices(px, edges)), edges, tickers(spark, sf)))
 
 
 @CAT.add("ecosystem_score", sql("escore", f"SELECT ticker, n_peers, {rcols('avg_correlation score score_confidence')}, sample_size FROM escore"))
@@ -308,7 +309,8 @@ IND_OUT = "ticker, " + rcols("rsi beta momentum forecast") + ", " + ", ".join(
 
 def stock_forecasts(spark, sf):
     """Forecasts re-keyed to the supplier tickers (same number, prefix S)."""
-    return forecasts(spark, sf).withColumn("ticker", F.concat(F.lit("S"), F.substr("ticker", F.lit(2))))
+    t = b.analyst_targets(spark, sf).withColumn("ticker", F.concat(F.lit("S"), F.substr("ticker", F.lit(2))))
+    return fc.with_confidence(fc.target_summary(t.where(F.col("ticker").isNotNull())))
 
 
 def indicators(spark, sf):
@@ -347,6 +349,7 @@ def clip(x: str, lo="0.0", hi="1.0") -> str:
 
 def best(fields: str, source: str, per_level: tuple[str, str, str], lim: tuple[int, int, int], tie: str) -> str:
     picks = []
+    per_level = tuple(re.sub(r"(\w+)( DESC)?(, |$)", r"floor(\1 * 1e9 + 0.5)\2\3", order) for order in per_level)
     for level, order, k in zip(cfg.RISK_LEVELS, per_level, lim):
         picks.append(f"""SELECT {fields} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY {order}, {tie}) AS rank
 FROM {source} WHERE risk = '{level}') q WHERE rank <= {k}""")

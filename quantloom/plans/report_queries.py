@@ -218,8 +218,8 @@ def score_distribution(spark, sf):
 
 @CAT.add("topk_bottomk", sql("ccpick", f"""
 SELECT ticker, risk, place, "end", {rcols('strike composite_score')}, CAST(expiry AS VARCHAR) AS expiry FROM (
-SELECT *, row_number() OVER (PARTITION BY ticker, risk ORDER BY composite_score DESC, expiry, strike) AS place, 'top' AS "end" FROM ccpick
-UNION ALL SELECT *, row_number() OVER (PARTITION BY ticker, risk ORDER BY composite_score, expiry, strike), 'bottom' FROM ccpick) x WHERE place <= 3"""))
+SELECT *, row_number() OVER (PARTITION BY ticker, risk ORDER BY floor(composite_score * 1e9 + 0.5) DESC, expiry, strike) AS place, 'top' AS "end" FROM ccpick
+UNION ALL SELECT *, row_number() OVER (PARTITION BY ticker, risk ORDER BY floor(composite_score * 1e9 + 0.5), expiry, strike), 'bottom' FROM ccpick) x WHERE place <= 3"""))
 def topk_bottomk(spark, sf):
     t = flt.top_and_bottom(picks(spark, sf), ["ticker", "risk"], ["expiry", "strike"])
     return show(t.select("ticker", "risk", "place", "end", "strike", "composite_score", "expiry"))
@@ -234,7 +234,7 @@ def strategy_insights(spark, sf):
 
 
 @CAT.add("score_rank", sql("ccpick", f"""
-SELECT ticker, risk, rank, {rcols('composite_score')}, 1 + (SELECT count(*) FROM ccpick b WHERE b.ticker = a.ticker AND b.risk = a.risk AND b.composite_score > a.composite_score) AS score_rank FROM ccpick a"""))
+SELECT ticker, risk, rank, {rcols('composite_score')}, 1 + (SELECT count(*) FROM ccpick b WHERE b.ticker = a.ticker AND b.risk = a.risk AND floor(b.composite_score * 1e9 + 0.5) > floor(a.composite_score * 1e9 + 0.5)) AS score_rank FROM ccpick a"""))
 def score_rank(spark, sf):
     t = flt.score_rank(picks(spark, sf), ["ticker", "risk"])
     return show(t.select("ticker", "risk", "rank", "composite_score", "score_rank"))

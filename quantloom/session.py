@@ -19,9 +19,13 @@ def local_session(cpus: int | str = "*", app: str = "quantloom", **conf: str) ->
         .config("spark.sql.shuffle.partitions", os.environ.get("QUANTLOOM_SHUFFLE", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small local shuffles still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # plans here are built from thousands of column calls; do not record a call site for each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("QUANTLOOM_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():

@@ -69,10 +69,12 @@ def prices(spark: SparkSession, sf_dir: str, *, start=None, end=None) -> DataFra
         F.max_by("px", "k").alias("close"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
     )
+    # Stating the keys' non-nullness here gives every consumer the same plan below the
+    # aggregation, so its exchange is computed once per query instead of once per join.
     return bars.select(
         supplier_ticker(),
         "dt", "open", "high", "low", "close", "volume",
-    )
+    ).where(F.col("ticker").isNotNull() & F.col("dt").isNotNull())
 
 
 def benchmark(px: DataFrame) -> DataFrame:
@@ -225,6 +227,7 @@ def analyst_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("value").alias("target"),
             "ts",
         )
+        .where(F.col("ticker").isNotNull())
     )
 
 
