@@ -63,22 +63,25 @@ HEALTH_RATIOS = ("current_ratio", "debt_to_equity", "debt_to_assets", "interest_
                  "return_on_assets", "gross_margin", "operating_margin", "net_margin")
 
 
+def health_ratio_columns() -> dict[str, Column]:
+    """The nine health ratios of a row that carries ``interest_used``; NULL when a denominator is zero."""
+    return {
+        "current_ratio": div("total_current_assets", "total_current_liabilities"),
+        "debt_to_equity": div("total_liabilities", "total_stockholder_equity"),
+        "debt_to_assets": div("total_liabilities", "total_assets"),
+        "interest_coverage": div("operating_income", "interest_used"),
+        "return_on_equity": div("net_income", "total_stockholder_equity"),
+        "return_on_assets": div("net_income", "total_assets"),
+        "gross_margin": div("gross_profit", "total_revenue"),
+        "operating_margin": div("operating_income", "total_revenue"),
+        "net_margin": div("net_income", "total_revenue"),
+    }
+
+
 def with_health_ratios(facts: DataFrame) -> DataFrame:
-    """Latest period with the nine health ratios; a ratio is NULL when its denominator is zero."""
+    """Latest period with the nine health ratios."""
     now = latest_period(facts.withColumn("interest_used", interest_with_fallback()))
-    return now.withColumns(
-        {
-            "current_ratio": div("total_current_assets", "total_current_liabilities"),
-            "debt_to_equity": div("total_liabilities", "total_stockholder_equity"),
-            "debt_to_assets": div("total_liabilities", "total_assets"),
-            "interest_coverage": div("operating_income", "interest_used"),
-            "return_on_equity": div("net_income", "total_stockholder_equity"),
-            "return_on_assets": div("net_income", "total_assets"),
-            "gross_margin": div("gross_profit", "total_revenue"),
-            "operating_margin": div("operating_income", "total_revenue"),
-            "net_margin": div("net_income", "total_revenue"),
-        }
-    )
+    return now.withColumns(health_ratio_columns())
 
 
 def piotroski() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import clamp, div, notes
@@ -49,6 +50,46 @@ def trends(facts: DataFrame) -> DataFrame:
     )
 
 
+LATEST_ITEMS = {
+    "revenue_growth": "total_revenue", "earnings_growth": "net_income", "eps_growth": "eps",
+    "fcf_growth": "free_cash_flow", "asset_growth": "total_assets", "equity_growth": "total_stockholder_equity",
+}
+
+
+def change_on_previous(item: str, w) -> Column:
+    """(x - previous) / |previous|, zero if undefined."""
+    return F.coalesce(div(F.col(item) - F.lag(item).over(w), F.abs(F.lag(item).over(w))), F.lit(0.0))
+
+
+def company_profile(facts: DataFrame) -> DataFrame:
+    """Latest period of every company with its trends, latest growth and the interest to use.
+
+    Everything is a window over the same (ticker, period_end) sort, so health,
+    growth, valuation and risk can all be projected from one pass over the
+    statements instead of joining separate passes.
+    """
+    w = by_day("ticker", "period_end")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    n = F.count("*").over(whole) - 1
+    earlier = F.nullif(F.col("interest_expense"), F.lit(0.0))
+    f = with_yoy(with_eps(facts), list(TREND_ITEMS.values())).withColumns(
+        {
+            "interest_used": F.coalesce("interest_expense", F.lag(earlier, 1).over(w), F.lag(earlier, 2).over(w)),
+            "_newer": F.lead("period_end").over(w),
+            **{name: change_on_previous(item, w) for name, item in LATEST_ITEMS.items()},
+        }
+    )
+    f = f.withColumns(
+        {
+            "periods": n,
+            **{f"{k}_cagr": cagr(F.first(i).over(whole), F.last(i).over(whole), n) for k, i in TREND_ITEMS.items()},
+            **{f"{k}_avg_yoy": F.avg(f"{i}_yoy").over(whole) for k, i in TREND_ITEMS.items()},
+            **{f"{k}_std_yoy": F.stddev_samp(f"{i}_yoy").over(whole) for k, i in TREND_ITEMS.items()},
+        }
+    )
+    return f.where(F.col("_newer").isNull()).drop("_newer", *[f"{i}_yoy" for i in TREND_ITEMS.values()])
+
+
 def quality(t: DataFrame) -> DataFrame:
     """0..5 score, class and stability from the trends."""
     def pts(c: str, high: float, mid: float) -> Column:
@@ -73,18 +114,9 @@ def classify(score: Column, high: float, moderate: float) -> Column:
 
 def latest_growth(facts: DataFrame) -> DataFrame:
     """Change of the newest over the previous period relative to its absolute size; 0 if undefined."""
-    items = {
-        "revenue_growth": "total_revenue", "earnings_growth": "net_income", "eps_growth": "eps",
-        "fcf_growth": "free_cash_flow", "asset_growth": "total_assets", "equity_growth": "total_stockholder_equity",
-    }
     w = by_day("ticker", "period_end")
-    f = with_eps(facts).withColumns(
-        {
-            name: F.coalesce(div(F.col(c) - F.lag(c).over(w), F.abs(F.lag(c).over(w))), F.lit(0.0))
-            for name, c in items.items()
-        }
-    )
-    return latest_period(f).select("ticker", *items)
+    f = with_eps(facts).withColumns({name: change_on_previous(c, w) for name, c in LATEST_ITEMS.items()})
+    return latest_period(f).select("ticker", *LATEST_ITEMS)
 
 
 def growth_score(metrics=tuple(SCORE_WEIGHTS)) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import div, ladder, notes
-from quantloom.operators.fundamentals import latest_period
 from quantloom.operators.series import with_yoy
 from quantloom.operators.valuation import pct
 
@@ -49,14 +48,14 @@ def five_levels(score: Column) -> Column:
     return ladder(score, [(20.0, "Very Low"), (40.0, "Low"), (60.0, "Moderate"), (80.0, "High")], "Very High", "<")
 
 
-def risk_report(facts: DataFrame, market: DataFrame) -> DataFrame:
+def risk_report(now: DataFrame) -> DataFrame:
     """Score, level, factors and warnings per ticker.
 
-    ``market`` carries beta and volatility (either may be NULL).  A missing
+    ``now`` is the latest period of each ticker with beta and volatility attached (either may be NULL).  A missing
     component takes its neutral value only if another of its group is known;
     a group without any component scores zero and is reported as a warning.
     """
-    j = latest_period(facts).join(market, "ticker", "left").withColumns(
+    j = now.withColumns(
         {
             "debt_to_equity": div("total_liabilities", "total_stockholder_equity"),
             "interest_coverage": div("operating_income", "interest_expense"),

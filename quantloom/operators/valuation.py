@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import col, div, ladder, notes
-from quantloom.operators.fundamentals import latest_period, optional
+from quantloom.operators.fundamentals import optional
 from quantloom.operators.series import with_yoy
 
 DEFAULT_SHARES = 1e10
@@ -186,12 +186,3 @@ def radar_scores(mos: Column, growth: Column, roe: Column, de: Column, momentum:
         "financial_health": F.when(de < 0.5, 80.0).otherwise(50.0),
         "momentum_axis": F.when(momentum > 0, cap(momentum * 200 + 50)).otherwise(50.0),
     }
-
-
-def companies(facts: DataFrame, fundamentals: DataFrame) -> DataFrame:
-    """Latest statements joined with the fundamentals row (the latter wins on name clashes)."""
-    now = latest_period(facts)
-    clash = [c for c in fundamentals.columns if c != "ticker" and c in now.columns]
-    for c in clash:
-        now = now.withColumnRenamed(c, f"balance_sheet_{'shares' if c == 'shares_outstanding' else c}")
-    return now.join(fundamentals, "ticker", "left")

@@ -136,9 +136,9 @@ def ticker_bundle(spark, sf):
         (F.stddev_samp("ret") * s.math.sqrt(s.TRADING_DAYS)).alias("volatility"),
     ).withColumn("ticker", F.concat(F.lit("C"), F.substr("ticker", F.lit(2))))
     f = b.facts(spark, sf)
-    fund = b.fundamentals(spark, sf, f).select("ticker", "pe_ratio", "sector")
-    ratios = fin.basic_ratios(fin.latest_period(f)).select("ticker", "gross_margin", "operating_margin", "net_margin")
-    return show(rd.latest_bundle(m, fund, ratios), places={"pe_ratio": 4})
+    now = b.with_fundamentals(spark, sf, fin.latest_period(f))
+    ratios = fin.basic_ratios(now).select("ticker", "gross_margin", "operating_margin", "net_margin")
+    return show(rd.latest_bundle(m, now.select("ticker", "pe_ratio", "sector"), ratios), places={"pe_ratio": 4})
 
 
 # --- statements: layout, names, cleaning ------------------------------------
@@ -294,12 +294,11 @@ SELECT f.ticker, {r('CASE WHEN f.beta IS NOT NULL THEN f.beta END')} AS beta, co
 def fundamentals_clean(spark, sf):
     """Text where numbers belong, padded names; ratios derived after cleaning."""
     f = b.facts(spark, sf)
-    now = fin.latest_period(f).select(
-        "ticker", F.col("total_current_assets").alias("current_assets"), F.col("total_current_liabilities").alias("current_liabilities"),
-        F.col("long_term_debt").alias("total_debt"), F.col("total_stockholder_equity").alias("total_equity"), "net_income", F.col("total_revenue").alias("revenue"))
-    d = b.fundamentals(spark, sf, f).select(
-        "ticker", F.coalesce(F.col("beta").cast("string"), F.lit("none")).alias("beta"), F.concat(F.lit("  "), "industry").alias("industry"), "market_cap")
-    t = clean.clean_fundamentals(d.join(now, "ticker"))
+    now = b.with_fundamentals(spark, sf, fin.latest_period(f))
+    t = clean.clean_fundamentals(now.select(
+        "ticker", F.coalesce(F.col("beta").cast("string"), F.lit("none")).alias("beta"), F.concat(F.lit("  "), "industry").alias("industry"), "market_cap",
+        F.col("total_current_assets").alias("current_assets"), F.col("total_current_liabilities").alias("current_liabilities"),
+        F.col("long_term_debt").alias("total_debt"), F.col("total_stockholder_equity").alias("total_equity"), "net_income", F.col("total_revenue").alias("revenue")))
     return show(t.select("ticker", "beta", "industry", "market_cap", "current_ratio", "debt_to_equity", "net_margin"))
 
 

@@ -209,11 +209,9 @@ SELECT *, coalesce(ocf_known - abs(capital_expenditure), ebit_known * (1 - 0.21)
 FROM vnow) a) b) c""")
 
 
-def companies(spark, sf):
-    """Latest statements with fundamentals; some cash flows and EBITs blanked so every fallback runs."""
-    f = b.facts(spark, sf)
+def blanked(c):
+    """Some cash flows and EBITs blanked so that every fallback of the cash-flow cascade runs."""
     k = F.substr("ticker", F.lit(2)).cast("bigint")
-    c = val.companies(f, b.fundamentals(spark, sf, f))
     return c.withColumns({
         "operating_cash_flow": F.when(k % 4 != 1, F.col("operating_cash_flow")),
         "operating_income": F.when(k % 12 != 1, F.col("operating_income")),
@@ -221,6 +219,11 @@ def companies(spark, sf):
     })
 
 
+def companies(spark, sf):
+    """Latest statements with the fundamentals snapshot, one row per company."""
+    return blanked(b.with_fundamentals(spark, sf, fin.latest_period(b.facts(spark, sf))))
+
+
 @CAT.add("dcf_a", sql("dcfa", f"""
 SELECT ticker, shares_source, {rcols('fcf terminal_value enterprise_value equity_value', 2)}, {rcols('intrinsic_value margin_of_safety_pct', 4)} FROM dcfa"""))
 def dcf_a(spark, sf):
@@ -342,8 +345,8 @@ FROM (SELECT a.ticker, intrinsic_value, latest_price, {snap3(MOS0)} AS m, {snap3
         {snap3('long_term_debt / nullif(total_stockholder_equity, 0)')} AS de, {snap3('momentum')} AS mo, {snap3('volatility')} AS vo
       FROM dcfa a JOIN g6 USING (ticker) JOIN listed USING (ticker)) x"""))
 def investment_thesis(spark, sf):
-    t = val.dcf_undiscounted_terminal(companies(spark, sf)).join(listed(spark, sf), "ticker").join(
-        gro.latest_growth(b.facts(spark, sf)).select("ticker", "revenue_growth"), "ticker")
+    c = blanked(b.with_fundamentals(spark, sf, gro.company_profile(b.facts(spark, sf))))
+    t = val.dcf_undiscounted_terminal(c).join(listed(spark, sf), "ticker")
     t = show(t.select(
         "ticker", "intrinsic_value", "latest_price",
         val.margin_of_safety("intrinsic_value", "latest_price").alias("m"), F.col("revenue_growth").alias("g"),
@@ -440,9 +443,10 @@ SELECT n.*, d.beta, l.volatility AS vol, {q('total_liabilities', 'total_stockhol
   {q('operating_income', 'total_revenue', None)} AS om, CASE WHEN total_revenue > 0 THEN total_revenue END AS rev
 FROM fnow n LEFT JOIN fund d USING (ticker) LEFT JOIN listed l USING (ticker)) a) b) c) e"""))
 def risk_report(spark, sf):
-    f = b.facts(spark, sf)
-    market = b.fundamentals(spark, sf, f).select("ticker", "beta").join(listed(spark, sf).select("ticker", "volatility"), "ticker", "left")
-    return show(rsk.risk_report(f, market), places={"score": 4})
+    now = b.with_fundamentals(spark, sf, fin.latest_period(b.facts(spark, sf)))
+    px = b.prices(spark, sf).select("ticker", "dt", "close")
+    vol = s.annual_volatility(s.with_returns(px)).withColumn("ticker", F.concat(F.lit("C"), F.substr("ticker", F.lit(2))))
+    return show(rsk.risk_report(now.join(vol, "ticker", "left")), places={"score": 4})
 
 
 # --- recommendation ----------------------------------------------------------
@@ -463,15 +467,17 @@ register("rec", ("recm",), "SELECT *, CASE WHEN score >= 8 THEN 'Strong Buy' WHE
 
 
 def metrics(spark, sf):
-    f = b.facts(spark, sf)
-    v = val.dcf_undiscounted_terminal(companies(spark, sf)).select(
+    """The thirteen rule inputs, all projected from one pass over the statements."""
+    c = b.with_fundamentals(spark, sf, gro.company_profile(b.facts(spark, sf)))
+    c = gro.quality(c).withColumns({
+        **fin.health_ratio_columns(), "piotroski_score": fin.piotroski(), "altman_z_score": fin.altman_z(),
+        "fcf_margin": div("free_cash_flow", "total_revenue"),
+    })
+    v = val.dcf_undiscounted_terminal(blanked(c))
+    return v.select(
         "ticker", val.margin_of_safety("intrinsic_value", "latest_price").alias("margin_of_safety"), "pe_ratio",
-        F.col("price_to_book").alias("pb_ratio"), div("free_cash_flow", "total_revenue").alias("fcf_margin"))
-    h = fin.with_health_ratios(with_gaps(f)).select(
-        "ticker", fin.piotroski().alias("piotroski_score"), fin.altman_z().alias("altman_z_score"), "current_ratio",
-        "debt_to_equity", F.col("return_on_equity").alias("roe"), "operating_margin")
-    g = gro.quality(gro.trends(f)).select("ticker", "growth_score", "revenue_cagr", "eps_cagr")
-    return v.join(h, "ticker").join(g, "ticker")
+        F.col("price_to_book").alias("pb_ratio"), "piotroski_score", "altman_z_score", "current_ratio", "debt_to_equity",
+        "growth_score", "revenue_cagr", "eps_cagr", F.col("return_on_equity").alias("roe"), "operating_margin", "fcf_margin")
 
 
 @CAT.add("recommendation", sql("rec", "SELECT ticker, score, value_points, health_points, growth_points, profitability_points, reasons, recommendation FROM rec"))

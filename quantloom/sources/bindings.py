@@ -247,29 +247,46 @@ def rating_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fundamentals(spark: SparkSession, sf_dir: str, statements: DataFrame | None = None) -> DataFrame:
-    """One snapshot row per company that has statements, with realistic gaps (NULLs)."""
-    st = facts(spark, sf_dir) if statements is None else statements
-    last = st.groupBy("ticker").agg(
-        *[F.max_by(c, "period_end").alias(f"_{c}") for c in ("net_income", "shares_outstanding", "total_stockholder_equity")]
-    )
+def snapshot_columns() -> dict[str, Column]:
+    """Snapshot fields of a customer row joined with its latest statement, with realistic gaps (NULLs)."""
     k = F.col("c_custkey")
     price = 5 + F.abs("c_acctbal") / 1000
-    shares = F.col("_shares_outstanding").cast("double")
-    eps = F.col("_net_income") / F.nullif(shares, F.lit(0.0))
+    shares = F.col("shares_outstanding").cast("double")
+    eps = F.col("net_income") / F.nullif(shares, F.lit(0.0))
     pe = F.when(eps > 0, price / eps)
-    cust = table(spark, sf_dir, "customer").withColumn("ticker", F.concat(F.lit("C"), k.cast("string")))
-    return cust.join(last, "ticker").select(
-        "ticker",
-        F.when(k % 11 != 0, price).alias("latest_price"),
-        F.when(k % 13 != 0, price * shares).alias("market_cap"),
-        F.when(k % 7 != 0, shares).alias("shares_outstanding"),
-        eps.alias("eps"),
-        pe.alias("pe_ratio"),
-        (pe / (1 + k % 30)).alias("peg_ratio"),
-        (price * shares / F.nullif(F.col("_total_stockholder_equity"), F.lit(0.0))).alias("price_to_book"),
-        F.when(k % 9 != 0, 0.2 + (k % 20) / 10.0).alias("beta"),
-        ((k % 40) / 1000.0).alias("dividend_yield"),
-        F.col("c_mktsegment").alias("sector"),
-        F.when(k % 17 != 0, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).alias("industry"),
+    return {
+        "latest_price": F.when(k % 11 != 0, price),
+        "market_cap": F.when(k % 13 != 0, price * shares),
+        "shares_outstanding": F.when(k % 7 != 0, shares),
+        "eps": eps,
+        "pe_ratio": pe,
+        "peg_ratio": pe / (1 + k % 30),
+        "price_to_book": price * shares / F.nullif(F.col("total_stockholder_equity"), F.lit(0.0)),
+        "beta": F.when(k % 9 != 0, 0.2 + (k % 20) / 10.0),
+        "dividend_yield": (k % 40) / 1000.0,
+        "sector": F.col("c_mktsegment"),
+        "industry": F.when(k % 17 != 0, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))),
+    }
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").withColumn("ticker", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot row per company that has statements."""
+    last = facts(spark, sf_dir).groupBy("ticker").agg(
+        *[F.max_by(c, "period_end").alias(c) for c in ("net_income", "shares_outstanding", "total_stockholder_equity")]
+    )
+    return customers(spark, sf_dir).join(last, "ticker").select(
+        "ticker", *[c.alias(n) for n, c in snapshot_columns().items()]
+    )
+
+
+def with_fundamentals(spark: SparkSession, sf_dir: str, now: DataFrame) -> DataFrame:
+    """Snapshot fields attached to one latest-period row per company; the sheet's share count is kept apart."""
+    snap = snapshot_columns()
+    kept = [F.col(c) for c in now.columns if c != "ticker" and c not in snap]
+    return customers(spark, sf_dir).join(now, "ticker").select(
+        "ticker", *kept, F.col("shares_outstanding").alias("balance_sheet_shares"), *[c.alias(n) for n, c in snap.items()]
     )
