@@ -13,8 +13,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
     ``extra`` aggregates over ``value`` (named by key) ride along in the sketch pass.
 
-    A mergeable sketch first brackets every wanted order statistic within
-    2n/accuracy ranks.  Rows above the bracket are dropped, rows below it are
+    A mergeable sketch (rank error n/accuracy) first brackets every wanted order
+    statistic within 2n/accuracy ranks; groups under 2 x accuracy rows, for which
+    that slack is less than two ranks, are simply ordered.  Rows above the bracket are dropped, rows below it are
     collapsed to one counted row on the map side, and only the distinct values
     inside the bracket are ordered.  Nothing collects a group: the hottest task
     sorts about n * 4/accuracy values.
@@ -29,14 +30,14 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
         *[e.alias(f"_x_{n}") for n, e in extra.items()],
     )
+    big = F.col("_n") >= 2 * accuracy
     wanted = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(n).alias("name"),
-                    # The sketch may be off by one rank at the ends, so q=0 and q=1 stay open.
-                    (F.lit(float("-inf")) if probs[n] <= slack else F.col("_e")[2 * i]).alias("lo"),
-                    (F.lit(float("inf")) if probs[n] >= 1 - slack else F.col("_e")[2 * i + 1]).alias("hi"),
+                    F.when(big & F.lit(probs[n] > slack), F.col("_e")[2 * i]).otherwise(float("-inf")).alias("lo"),
+                    F.when(big & F.lit(probs[n] < 1 - slack), F.col("_e")[2 * i + 1]).otherwise(float("inf")).alias("hi"),
                     (F.lit(probs[n]) * (F.col("_n") - 1)).alias("h"),
                 )
                 for i, n in enumerate(names)
