@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import col, finite
+from quantloom.functions.numeric import col, finite, snap
 
 NA = "N/A"
 
 
-def _fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+def fixed(c: Column | str, digits: int, pattern: str = "%s") -> Column:
+    """Fixed decimals, rounded half up first so that every engine prints the same text.
+
+    ``pattern`` is the surrounding text with ``%s`` for the number.
+    """
+    return F.format_string(pattern % f"%.{digits}f", snap(c, digits))
 
 
 def currency_short(c: Column | str, digits: int = 2) -> Column:
@@ -19,10 +23,10 @@ def currency_short(c: Column | str, digits: int = 2) -> Column:
     v = finite(col(c).cast("double"))
     a = F.abs(v)
     body = (
-        F.when(a >= 1e9, F.concat(_fixed(v / 1e9, digits), F.lit("B")))
-        .when(a >= 1e6, F.concat(_fixed(v / 1e6, digits), F.lit("M")))
-        .when(a >= 1e3, F.concat(_fixed(v / 1e3, digits), F.lit("K")))
-        .otherwise(_fixed(v, digits))
+        F.when(a >= 1e9, F.concat(fixed(v / 1e9, digits), F.lit("B")))
+        .when(a >= 1e6, F.concat(fixed(v / 1e6, digits), F.lit("M")))
+        .when(a >= 1e3, F.concat(fixed(v / 1e3, digits), F.lit("K")))
+        .otherwise(fixed(v, digits))
     )
     return F.when(v.isNull(), NA).otherwise(F.concat(F.lit("$"), body))
 
@@ -30,17 +34,17 @@ def currency_short(c: Column | str, digits: int = 2) -> Column:
 def currency(c: Column | str, digits: int = 2) -> Column:
     """$ with thousands separators."""
     v = finite(col(c).cast("double"))
-    return F.when(v.isNull(), NA).otherwise(F.concat(F.lit("$"), F.format_string(f"%,.{digits}f", v)))
+    return F.when(v.isNull(), NA).otherwise(F.concat(F.lit("$"), F.format_string(f"%,.{digits}f", snap(v, digits))))
 
 
 def percent(c: Column | str, digits: int = 1) -> Column:
     v = finite(col(c).cast("double"))
-    return F.when(v.isNull(), NA).otherwise(F.concat(_fixed(v * 100, digits), F.lit("%")))
+    return F.when(v.isNull(), NA).otherwise(F.concat(fixed(v * 100, digits), F.lit("%")))
 
 
 def number(c: Column | str, digits: int = 2) -> Column:
     v = finite(col(c).cast("double"))
-    return F.when(v.isNull(), NA).otherwise(_fixed(v, digits))
+    return F.when(v.isNull(), NA).otherwise(fixed(v, digits))
 
 
 # Status bands; the label of the first bound the value stays below.

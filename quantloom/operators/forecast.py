@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.formatting import fixed
 from quantloom.functions.numeric import clamp, div
 from quantloom.operators.quantile import grouped_quantiles
 
@@ -102,10 +103,10 @@ def dispersion(summary: DataFrame, spot: Column) -> DataFrame:
 
 
 def summary_text() -> Column:
-    return F.format_string(
-        "Analyst Forecast Summary for %s: Mean Target: $%.2f, Range: $%.2f - $%.2f, Analysts: %d, Confidence: %.1f%%",
-        F.col("ticker"), F.col("mean_target"), F.col("low_target"), F.col("high_target"),
-        F.col("num_analysts"), F.col("confidence") * 100,
+    return F.concat(
+        F.lit("Analyst Forecast Summary for "), F.col("ticker"),
+        fixed("mean_target", 2, ": Mean Target: $%s"), fixed("low_target", 2, ", Range: $%s"), fixed("high_target", 2, " - $%s"),
+        F.format_string(", Analysts: %d", F.col("num_analysts")), fixed(F.col("confidence") * 100, 1, ", Confidence: %s%%%%"),
     )
 
 

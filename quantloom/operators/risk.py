@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.formatting import fixed
 from quantloom.functions.numeric import div, ladder, notes
 from quantloom.operators.series import with_yoy
 from quantloom.operators.valuation import pct
@@ -87,7 +88,7 @@ def risk_report(now: DataFrame) -> DataFrame:
         (F.col("market_score") * 0.3 + F.col("financial_score") * 0.4 + F.col("business_score") * 0.3) * 100,
     )
     s = F.col("score")
-    millions = F.format_string("%.0f", r1 / 1e6)
+    millions = fixed(r1 / 1e6, 0)
     factors = notes(
         (s >= 70, "High risk due to combination of market volatility, financial leverage, and business challenges"),
         ((s >= 40) & (s < 70), "Moderate risk with some concerns in financial health or market exposure"),
@@ -100,14 +101,14 @@ def risk_report(now: DataFrame) -> DataFrame:
         (ic < 1.0, "Low interest coverage (< 1.0)"),
         (om < 0.1, "Low operating margin (< 10%)"),
         (rev < 1e9, "Small revenue base (< $1B)"),
-        (has_m & (b1 > 1.5), F.format_string("Beta of %.2f indicates high volatility relative to market", b1)),
-        (has_m & (b1 < 0.5), F.format_string("Beta of %.2f indicates low correlation with market", b1)),
+        (has_m & (b1 > 1.5), fixed(b1, 2, "Beta of %s indicates high volatility relative to market")),
+        (has_m & (b1 < 0.5), fixed(b1, 2, "Beta of %s indicates low correlation with market")),
         (has_m & (v1 > 0.4), F.concat(F.lit("Annual volatility of "), pct(v1), F.lit(" is very high"))),
         (has_m & (v1 > 0.3) & (v1 <= 0.4), F.concat(F.lit("Annual volatility of "), pct(v1), F.lit(" is above average"))),
-        (has_f & (d1 > 2.0), F.format_string("Debt-to-equity ratio of %.2f indicates very high leverage", d1)),
-        (has_f & (d1 > 1.0) & (d1 <= 2.0), F.format_string("Debt-to-equity ratio of %.2f indicates significant leverage", d1)),
-        (has_f & (i1 < 1.5), F.format_string("Interest coverage of %.2fx is dangerously low", i1)),
-        (has_f & (i1 >= 1.5) & (i1 < 3.0), F.format_string("Interest coverage of %.2fx may be insufficient in downturns", i1)),
+        (has_f & (d1 > 2.0), fixed(d1, 2, "Debt-to-equity ratio of %s indicates very high leverage")),
+        (has_f & (d1 > 1.0) & (d1 <= 2.0), fixed(d1, 2, "Debt-to-equity ratio of %s indicates significant leverage")),
+        (has_f & (i1 < 1.5), fixed(i1, 2, "Interest coverage of %sx is dangerously low")),
+        (has_f & (i1 >= 1.5) & (i1 < 3.0), fixed(i1, 2, "Interest coverage of %sx may be insufficient in downturns")),
         (has_b & (o1 < 0.05), F.concat(F.lit("Operating margin of "), pct(o1), F.lit(" is very low"))),
         (has_b & (o1 >= 0.05) & (o1 < 0.10), F.concat(F.lit("Operating margin of "), pct(o1), F.lit(" is below healthy levels"))),
         (has_b & (r1 < 1e8), F.concat(F.lit("Small company with revenue of $"), millions, F.lit("M"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.formatting import fixed
 from quantloom.functions.numeric import col, div, ladder, notes
 from quantloom.operators.fundamentals import optional
 from quantloom.operators.series import with_yoy
@@ -155,7 +156,7 @@ def volatility_level(vol: Column) -> Column:
 
 
 def pct(c: Column) -> Column:
-    return F.format_string("%.1f%%", c * 100)
+    return fixed(c * 100, 1, "%s%%%%")
 
 
 def thesis(mos: Column, growth: Column, roe: Column, de: Column, momentum: Column, vol: Column) -> Column:

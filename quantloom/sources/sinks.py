@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.formatting import fixed
+
 
 def export_view(df: DataFrame, **constants: str) -> DataFrame:
     """Flat text-friendly form: doubles with four decimals, dates ISO, maps and arrays as JSON, constants first."""
@@ -12,7 +14,7 @@ def export_view(df: DataFrame, **constants: str) -> DataFrame:
     for f in df.schema.fields:
         kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
         if kind in ("double", "float", "decimal"):
-            c = F.format_string("%.4f", c.cast("double"))
+            c = fixed(c.cast("double"), 4)
             c = F.when(F.col(f"`{f.name}`").isNotNull(), c)
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
