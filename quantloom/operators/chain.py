@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import div
@@ -63,9 +64,9 @@ def chain_summary(chain: DataFrame, key: str = "ticker") -> DataFrame:
     )
 
 
-def iv_cutoff(chain: DataFrame, keys: list[str], q: float = 0.95) -> DataFrame:
-    """IV percentile per group; a group is one listing, i.e. bounded by its strike grid."""
-    return chain.groupBy(*keys).agg(F.percentile("iv", F.lit(q)).alias("iv_cut"))
+def with_iv_cutoff(chain: DataFrame, keys: list[str], q: float = 0.95) -> DataFrame:
+    """IV percentile of each row's group as a column; a group is one listing, bounded by its strike grid."""
+    return chain.withColumn("iv_cut", F.percentile("iv", F.lit(q)).over(W.partitionBy(*keys)))
 
 
 NUMERIC = ("strike", "last_price", "iv", "volume", "open_interest", "delta", "ask", "bid")

@@ -1,8 +1,9 @@
 """Collection report over wide statements: completeness, structure, impact, advice, quality score.
 
-The statements are frames keyed by (ticker, period_end) whose columns are
-canonical item names; which items exist at all is a property of the schema,
-which are filled a property of the rows.
+Input is one frame keyed by (ticker, period_end) whose columns are canonical
+item names, plus a ``layout`` saying which of them belong to which statement
+and optional ``has_<statement>`` flags for periods a statement was not filed
+for.  All statements are judged in the same pass.
 """
 
 from __future__ import annotations
@@ -10,84 +11,118 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.config import statements as cfg
 from quantloom.functions.numeric import notes
-from quantloom.operators.fundamentals import latest_periods
 
-KEYS = ("ticker", "period_end")
+Layout = dict[str, list[str]]
 TITLE = {"income": "Income Stmt", "balance": "Balance Sheet", "cash_flow": "Cash Flow"}
 
 
-def items_of(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in KEYS]
-
-
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def availability(df: DataFrame, statement: str) -> DataFrame:
-    """Per ticker: completeness %, periods, last date, missing items, negative counts.
+def filed(wide: DataFrame, statement: str) -> Column:
+    flag = f"has_{statement}"
+    return F.coalesce(F.col(flag), F.lit(False)) if flag in wide.columns else F.lit(True)
 
-    Balance sheets never carry a date.
-    """
-    required = cfg.REQUIRED_AVAILABILITY[statement]
-    items = items_of(df)
-    present = [c for c in required if c in items]
-    counts = [F.count(q(c)) for c in items]
-    least = counts[0] if len(counts) == 1 else F.least(*counts)
-    agg = df.groupBy("ticker").agg(
-        F.count("*").alias("periods"),
-        (least / F.count("*") * 100).alias("completeness"),
-        (F.lit(None).cast("date") if statement == "balance" else F.max("period_end")).alias("last_date"),
-        *[F.count_if(q(c) < 0).alias(f"_neg{i}") for i, c in enumerate(present)],
-    )
-    missing = [c for c in required if c not in items]
-    issues = notes(
-        *[
-            (F.col(f"_neg{i}") > 0, F.format_string(f"Negative values in {c}: %d occurrences", F.col(f"_neg{i}")))
-            for i, c in enumerate(present)
-        ]
-    )
-    return agg.select(
-        "ticker", F.lit(statement).alias("statement"), "periods", "completeness", "last_date",
-        F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns"),
-        issues.alias("issues"),
+
+def strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def presence(universe: DataFrame, wide: DataFrame, layout: Layout) -> DataFrame:
+    """Which statements each ticker has at all, and whether the bundle is complete."""
+    g = wide.groupBy("ticker").agg(*[F.bool_or(filed(wide, s)).alias(f"_{s}") for s in layout])
+    flags = {s: F.coalesce(F.col(f"_{s}"), F.lit(False)) for s in layout}
+    return universe.select("ticker").join(g, "ticker", "left").select(
+        "ticker", *[c.alias(f"has_{s}") for s, c in flags.items()],
+        F.forall(F.array(*flags.values()), lambda x: x).alias("complete"),
     )
 
 
-def full_availability(universe: DataFrame, statements: dict[str, DataFrame]) -> DataFrame:
-    """One row per (ticker, statement); ``available`` is false where there are no rows."""
-    parts = [availability(df, s) for s, df in statements.items()]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    grid = universe.select("ticker").withColumn("statement", F.explode(F.array(*[F.lit(s) for s in statements])))
-    return grid.join(found, ["ticker", "statement"], "left").withColumn("available", F.col("periods").isNotNull())
+def availability(universe: DataFrame, wide: DataFrame, layout: Layout) -> DataFrame:
+    """Per (ticker, statement): completeness %, periods, last date, missing items, negative findings.
 
+    Tickers without a statement get an ``available = false`` row.  Balance
+    sheets never carry a date.
+    """
+    aggs, rows = [], []
+    for s, items in layout.items():
+        here = filed(wide, s)
+        present = [c for c in cfg.REQUIRED_AVAILABILITY[s] if c in items]
+        counts = [F.count(F.when(here, q(c))) for c in items]
+        aggs += [
+            F.count_if(here).alias(f"_n_{s}"),
+            (counts[0] if len(counts) == 1 else F.least(*counts)).alias(f"_least_{s}"),
+            F.max(F.when(here, F.col("period_end"))).alias(f"_last_{s}"),
+            *[F.count_if(here & (q(c) < 0)).alias(f"_neg_{s}_{i}") for i, c in enumerate(present)],
+        ]
+        n = F.col(f"_n_{s}")
+        found = F.coalesce(n > 0, F.lit(False))
+        issues = notes(
+            *[
+                (F.col(f"_neg_{s}_{i}") > 0, F.format_string(f"Negative values in {c}: %d occurrences", F.col(f"_neg_{s}_{i}")))
+                for i, c in enumerate(present)
+            ]
+        )
+        last = F.lit(None).cast("date") if s == "balance" else F.col(f"_last_{s}")
+        rows.append(
+            F.struct(
+                F.lit(s).alias("statement"),
+                F.when(found, n).alias("periods"),
+                F.when(found, F.col(f"_least_{s}") / n * 100).alias("completeness"),
+                F.when(found, last).alias("last_date"),
+                F.when(found, strings([c for c in cfg.REQUIRED_AVAILABILITY[s] if c not in items])).alias("missing_columns"),
+                F.when(found, issues).alias("issues"),
+                found.alias("available"),
+            )
+        )
+    g = wide.groupBy("ticker").agg(*aggs)
+    return universe.select("ticker").join(g, "ticker", "left").select("ticker", F.inline(F.array(*rows)))
 
-def structure(df: DataFrame, statement: str) -> DataFrame:
+
+def structure(wide: DataFrame, layout: Layout) -> DataFrame:
     """Required items absent from the schema (errors), text items and items with gaps (warnings)."""
-    kinds = dict(df.dtypes)
-    items = items_of(df)
-    absent = [c for c in cfg.REQUIRED_STRUCTURE[statement] if c not in items]
-    textual = [c for c in items if kinds[c] == "string"]
-    agg = df.groupBy("ticker").agg(*[F.count_if(q(c).isNull()).alias(f"_n{i}") for i, c in enumerate(items)])
-    gaps = notes(*[(F.col(f"_n{i}") > 0, c) for i, c in enumerate(items)])
-    errors = [f"Missing required columns: {', '.join(absent)}"] if absent else []
-    return agg.select(
-        "ticker", F.lit(statement).alias("statement"),
-        F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("errors"),
-        F.array_compact(
-            F.array(
-                *[F.lit(f"Column '{c}' is not numeric") for c in textual],
-                F.when(F.size(gaps) > 0, F.concat(F.lit("Found missing values in columns: "), F.array_join(gaps, ", "))),
+    kinds = dict(wide.dtypes)
+    aggs, rows = [], []
+    for s, items in layout.items():
+        here = filed(wide, s)
+        aggs += [
+            F.count_if(here).alias(f"_n_{s}"),
+            *[F.count_if(here & q(c).isNull()).alias(f"_gap_{s}_{i}") for i, c in enumerate(items)],
+        ]
+        absent = [c for c in cfg.REQUIRED_STRUCTURE[s] if c not in items]
+        errors = [f"Missing required columns: {', '.join(absent)}"] if absent else []
+        gaps = notes(*[(F.col(f"_gap_{s}_{i}") > 0, c) for i, c in enumerate(items)])
+        warnings = notes(
+            *[(F.lit(kinds[c] == "string"), f"Column '{c}' is not numeric") for c in items],
+            (F.size(gaps) > 0, F.concat(F.lit("Found missing values in columns: "), F.array_join(gaps, ", "))),
+        )
+        rows.append(
+            F.when(
+                F.col(f"_n_{s}") > 0,
+                F.struct(F.lit(s).alias("statement"), strings(errors).alias("errors"), warnings.alias("warnings"), F.lit(not errors).alias("is_valid")),
             )
-        ).alias("warnings"),
-        F.lit(not errors).alias("is_valid"),
-    )
+        )
+    g = wide.groupBy("ticker").agg(*aggs)
+    return g.select("ticker", F.inline(F.array_compact(F.array(*rows))))
+
+
+def missing_items(wide: DataFrame, layout: Layout) -> DataFrame:
+    """Required items without any value, per ticker and filed statement."""
+    aggs, rows = [], []
+    for s, items in layout.items():
+        here = filed(wide, s)
+        aggs += [F.count_if(here).alias(f"_n_{s}"), *[F.count(F.when(here, q(c))).alias(f"_v_{s}_{i}") for i, c in enumerate(items)]]
+        have = F.array_compact(F.array(*[F.when(F.col(f"_v_{s}_{i}") > 0, F.lit(c)) for i, c in enumerate(items)]))
+        gone = F.array_except(strings(cfg.REQUIRED_STRUCTURE[s]), have)
+        rows.append(F.when(F.col(f"_n_{s}") > 0, F.struct(F.lit(s).alias("statement"), gone.alias("items"))))
+    g = wide.groupBy("ticker").agg(*aggs).select("ticker", F.inline(F.array_compact(F.array(*rows))))
+    return g.select("ticker", "statement", F.explode("items").alias("item"))
 
 
 def impact(avail: DataFrame, fundamentals: DataFrame) -> DataFrame:
@@ -156,25 +191,26 @@ def age_penalty(days: Column) -> Column:
     return F.when(days > 365, 10.0).when(days > 180, 7.0).when(days > 90, 5.0).when(days > 30, 2.0).otherwise(0.0)
 
 
-def quality_score(universe: DataFrame, statements: dict[str, DataFrame], fundamentals: DataFrame, as_of: dt.date) -> DataFrame:
+def quality_score(universe: DataFrame, wide: DataFrame, layout: Layout, fundamentals: DataFrame, as_of: dt.date) -> DataFrame:
     """0..100: share of required items present, less at most 40 points of scaled penalties.
 
     Penalties: age of each dated statement, negative values of the critical items
     in the latest eight periods, missing or zero critical fundamentals, and low
     completeness.  Fundamentals never count as required items.
     """
-    score = universe.select("ticker")
+    newest = W.partitionBy("ticker").orderBy(F.desc("period_end")).rowsBetween(W.unboundedPreceding, 0)
+    ranked = wide.withColumns({f"_rank_{s}": F.sum(filed(wide, s).cast("int")).over(newest) for s in layout})
+    aggs = []
     required, have, penalty, most = F.lit(0), F.lit(0), F.lit(0.0), 0.0
-    for s, df in statements.items():
-        items = items_of(df)
-        need = cfg.REQUIRED_STRUCTURE[s]
+    for s, items in layout.items():
+        recent = filed(wide, s) & (F.col(f"_rank_{s}") <= 8)
         critical = [c for c in cfg.CRITICAL_POSITIVE[s] if c in items]
-        recent = latest_periods(df, 8).groupBy("ticker").agg(
-            F.max("period_end").alias(f"_last_{s}"),
-            *[F.count_if(q(c) < 0).alias(f"_neg_{s}_{i}") for i, c in enumerate(critical)],
-        )
-        score = score.join(recent, "ticker", "left")
+        aggs += [
+            F.max(F.when(filed(wide, s), F.col("period_end"))).alias(f"_last_{s}"),
+            *[F.count_if(recent & (q(c) < 0)).alias(f"_neg_{s}_{i}") for i, c in enumerate(critical)],
+        ]
         here = F.col(f"_last_{s}").isNotNull()
+        need = cfg.REQUIRED_STRUCTURE[s]
         required = required + F.when(here, len(need)).otherwise(0)
         have = have + F.when(here, sum(c in items for c in need)).otherwise(0)
         most += 10 + 5 * len(cfg.CRITICAL_POSITIVE[s])
@@ -182,18 +218,23 @@ def quality_score(universe: DataFrame, statements: dict[str, DataFrame], fundame
             penalty = penalty + F.when(here, age_penalty(F.datediff(F.lit(as_of), F.col(f"_last_{s}")))).otherwise(0.0)
         for i in range(len(critical)):
             penalty = penalty + F.least(F.lit(5.0), F.coalesce(F.col(f"_neg_{s}_{i}"), F.lit(0)) * 1.5)
-    f = fundamentals.select("ticker", *cfg.CRITICAL_FUNDAMENTALS)
-    score = score.join(f, "ticker", "left")
+    score = (
+        universe.select("ticker")
+        .join(ranked.groupBy("ticker").agg(*aggs), "ticker", "left")
+        .join(fundamentals.select("ticker", *cfg.CRITICAL_FUNDAMENTALS), "ticker", "left")
+    )
     for c in cfg.CRITICAL_FUNDAMENTALS:
         most += 8
         penalty = penalty + F.when(F.col(c).isNull(), 8.0).when(F.col(c) == 0, 4.0).otherwise(0.0)
     most += 15
-    ratio = have / F.nullif(required, F.lit(0))
-    penalty = penalty + F.when(ratio < 0.5, 15.0).when(ratio < 0.7, 10.0).when(ratio < 0.9, 5.0).otherwise(0.0)
-    out = score.select(
-        "ticker", required.alias("required"), have.alias("available"),
-        F.coalesce(ratio * 100, F.lit(0.0)).alias("base_score"), penalty.alias("penalty"),
-    )
+    out = score.select("ticker", required.alias("required"), have.alias("available"), penalty.alias("_p"))
+    ratio = F.col("available") / F.nullif(F.col("required"), F.lit(0))
+    out = out.withColumns(
+        {
+            "base_score": F.coalesce(ratio * 100, F.lit(0.0)),
+            "penalty": F.col("_p") + F.when(ratio < 0.5, 15.0).when(ratio < 0.7, 10.0).when(ratio < 0.9, 5.0).otherwise(0.0),
+        }
+    ).drop("_p")
     return out.withColumn(
         "quality_score", F.greatest(F.lit(0.0), F.col("base_score") - F.col("penalty") / most * 40)
     )

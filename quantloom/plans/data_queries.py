@@ -344,18 +344,15 @@ def fundamentals_dq(spark, sf):
 HAS = {"income": "true", "balance": f"{K} % 10 <> 0", "cash_flow": f"{K} % 8 <> 0"}
 
 
-def statement_frames(spark, sf) -> dict[str, DataFrame]:
-    """The three statements under canonical names, with whole statements and single values missing for some."""
-    f = b.facts(spark, sf).withColumn("operating_income", F.when(k() % 6 != 0, F.col("operating_income")))
+LAYOUT = {"income": list(INCOME), "balance": list(BALANCE), "cash_flow": list(CASH)}
 
-    def pick(items):
-        return [F.col(c).alias(n) for n, c in items.items()]
 
-    return {
-        "income": f.select("ticker", "period_end", *pick(INCOME)),
-        "balance": f.where(k() % 10 != 0).select("ticker", "period_end", *pick(BALANCE)),
-        "cash_flow": f.where(k() % 8 != 0).select("ticker", "period_end", *pick(CASH)),
-    }
+def bundle(spark, sf) -> DataFrame:
+    """All statements in one wide frame under canonical names; some companies lack a statement or a value."""
+    f = b.facts(spark, sf).withColumn("operating_income", F.when(k() % 6 != 0, F.col("operating_income")))
+    return f.select(
+        "ticker", "period_end", *[F.col(c).alias(n) for n, c in {**INCOME, **BALANCE, **CASH}.items()],
+        (k() % 10 != 0).alias("has_balance"), (k() % 8 != 0).alias("has_cash_flow"))
 
 
 def universe(spark, sf) -> DataFrame:
@@ -371,7 +368,7 @@ SELECT u.ticker, CAST(f.ticker IS NOT NULL AS INT) AS has_income, CAST(f.ticker
   CAST(f.ticker IS NOT NULL AND c_custkey % 8 <> 0 AS INT) AS has_cash_flow, CAST(f.ticker IS NOT NULL AND c_custkey % 10 <> 0 AND c_custkey % 8 <> 0 AS INT) AS complete
 FROM uni u LEFT JOIN (SELECT DISTINCT ticker FROM gapf) f ON f.ticker = u.ticker"""))
 def bundle_check(spark, sf):
-    return show(dq.bundle_check(universe(spark, sf), statement_frames(spark, sf)))
+    return show(rep.presence(universe(spark, sf), bundle(spark, sf), LAYOUT))
 
 
 def avail_sql() -> str:
@@ -399,7 +396,7 @@ FROM uni u CROSS JOIN (VALUES ('income'), ('balance'), ('cash_flow')) s(statemen
 SELECT ticker, statement, periods, floor(completeness * 1e6 + 0.5) / 1e6 AS completeness, last_date, coalesce(missing_columns, '') AS missing_columns, coalesce(issues, '') AS issues,
        CAST(available AS INT) AS available FROM avail"""))
 def availability_report(spark, sf):
-    return show(rep.full_availability(universe(spark, sf), statement_frames(spark, sf)))
+    return show(rep.availability(universe(spark, sf), bundle(spark, sf), LAYOUT))
 
 
 @CAT.add("structure_report", sql("gapf", f"""
@@ -408,8 +405,7 @@ SELECT ticker, 'income' AS statement, 'Missing required columns: Basic EPS' AS e
 UNION ALL SELECT ticker, 'balance', '', '', 1 FROM gapf WHERE {HAS['balance']} GROUP BY ticker
 UNION ALL SELECT ticker, 'cash_flow', 'Missing required columns: Free Cash Flow', '', 0 FROM gapf WHERE {HAS['cash_flow']} GROUP BY ticker"""))
 def structure_report(spark, sf):
-    parts = [rep.structure(df, n) for n, df in statement_frames(spark, sf).items()]
-    return show(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return show(rep.structure(bundle(spark, sf), LAYOUT))
 
 
 register("impact", ("avail", "fund"), """
@@ -423,7 +419,7 @@ LEFT JOIN fund f ON f.ticker = a.ticker""")
 
 @CAT.add("impact_map", sql("impact", "SELECT * FROM impact"))
 def impact_map(spark, sf):
-    av = rep.full_availability(universe(spark, sf), statement_frames(spark, sf))
+    av = rep.availability(universe(spark, sf), bundle(spark, sf), LAYOUT)
     return show(rep.impact(av, b.fundamentals(spark, sf)))
 
 
@@ -438,7 +434,7 @@ UNION ALL SELECT ticker, concat('Update ', {T}, ' data (last available: ', last_
 """ + "".join(f"UNION ALL SELECT ticker, concat('Improve {g.replace('_', ' ')} calculation by collecting: ', {g}) FROM impact WHERE {g} <> ''\n"
               for g in ("value_metrics", "health_metrics", "growth_metrics", "risk_metrics"))))
 def data_advice(spark, sf):
-    av = rep.full_availability(universe(spark, sf), statement_frames(spark, sf))
+    av = rep.availability(universe(spark, sf), bundle(spark, sf), LAYOUT)
     return show(rep.advice(av, rep.impact(av, b.fundamentals(spark, sf)), REPORT_DAY))
 
 
@@ -464,7 +460,7 @@ z AS (SELECT *, available / nullif(required, 0) AS ratio, pen0 + CASE WHEN avail
 SELECT ticker, required, available, {r('coalesce(ratio * 100, 0)', 4)} AS base_score, {r('penalty', 4)} AS penalty,
   {r('greatest(0, coalesce(ratio * 100, 0) - penalty / 94.0 * 40)', 4)} AS quality_score FROM z""".strip()))
 def quality_score(spark, sf):
-    return show(rep.quality_score(universe(spark, sf), statement_frames(spark, sf), b.fundamentals(spark, sf), REPORT_DAY), 4)
+    return show(rep.quality_score(universe(spark, sf), bundle(spark, sf), LAYOUT, b.fundamentals(spark, sf), REPORT_DAY), 4)
 
 
 register("status", ("fcst", "chain", "peers"), """

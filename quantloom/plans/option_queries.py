@@ -268,7 +268,7 @@ SELECT *, quantile_cont(iv, 0.95) OVER (PARTITION BY ticker) AS cut FROM chain
 WHERE side = 'C' AND dte >= 180 AND strike / spot BETWEEN 0.85 AND 1.05) x GROUP BY ticker, cut"""))
 def iv_p95_filter(spark, sf):
     c = ch.contracts(b.option_chain(spark, sf), "C", 180).where((F.col("strike") / F.col("spot")).between(0.85, 1.05))
-    return show(c.join(ch.iv_cutoff(c, ["ticker"]), "ticker").groupBy("ticker", "iv_cut").agg(
+    return show(ch.with_iv_cutoff(c, ["ticker"]).groupBy("ticker", "iv_cut").agg(
         F.count("*").alias("n"), F.count_if(F.col("iv") <= F.col("iv_cut")).alias("kept")))
 
 

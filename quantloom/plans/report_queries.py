@@ -12,6 +12,7 @@ from quantloom.functions.numeric import div, norm, percent_of_range, rescale
 from quantloom.operators import chain as ch
 from quantloom.operators import filters as flt
 from quantloom.operators import fundamentals as fin
+from quantloom.operators import report as rep
 from quantloom.operators import scoring as sc
 from quantloom.operators import strategies as st
 from quantloom.plans import data_queries as data
@@ -298,11 +299,4 @@ UNION ALL SELECT ticker, 'income', 'Operating Income' FROM gapf GROUP BY ticker
 UNION ALL SELECT ticker, 'cash_flow', 'Free Cash Flow' FROM gapf WHERE {data.HAS['cash_flow']} GROUP BY ticker) x"""))
 def required_except_present(spark, sf):
     """Required items minus those with any value, per ticker and statement."""
-    parts = []
-    for name, df in data.statement_frames(spark, sf).items():
-        items = [c for c in df.columns if c not in ("ticker", "period_end")]
-        need = F.array(*[F.lit(i) for i in data.stm.REQUIRED_STRUCTURE[name]])
-        g = df.groupBy("ticker").agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in items])
-        present = F.array_compact(F.array(*[F.when(F.col(f"`{c}`") > 0, F.lit(c)) for c in items]))
-        parts.append(g.select("ticker", F.lit(name).alias("statement"), F.explode(F.array_except(need, present)).alias("item")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rep.missing_items(data.bundle(spark, sf), data.LAYOUT)

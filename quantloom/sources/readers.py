@@ -89,7 +89,9 @@ def latest_bundle(metrics: DataFrame, fundamentals: DataFrame, ratios: DataFrame
 def market_bundle(chain: DataFrame, px: DataFrame, index: DataFrame, spot: DataFrame) -> DataFrame:
     """Per ticker: spot, number of contracts, bars and index days in common."""
     # the index has one row per calendar day
-    bars = px.join(F.broadcast(index.select("dt")), "dt", "left_semi").groupBy("ticker").agg(F.count("*").alias("n_common"))
+    known = F.broadcast(index.select("dt", F.lit(True).alias("_known")))
+    bars = px.join(known, "dt", "left").groupBy("ticker").agg(
+        F.count("*").alias("n_bars"), F.count("_known").alias("n_common")
+    )
     n = chain.groupBy("ticker").agg(F.count("*").alias("n_contracts"))
-    all_bars = px.groupBy("ticker").agg(F.count("*").alias("n_bars"))
-    return spot.join(n, "ticker", "left").join(all_bars, "ticker", "left").join(bars, "ticker", "left")
+    return spot.join(n, "ticker", "left").join(bars, "ticker", "left")
