@@ -11,11 +11,6 @@ from quantloom.functions.numeric import clamp, div
 from quantloom.operators import series as s
 
 
-def peer_prices(px: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bars of those tickers only that are somebody's peer."""
-    return px.join(edges.select(F.col("peer").alias("ticker")).distinct(), "ticker", "left_semi")
-
-
 def ticker_metrics(px: DataFrame, key="ticker", ts="dt", value="close") -> DataFrame:
     """RSI, trailing returns and rolling volatility of every ticker at its last bar.
 

@@ -112,4 +112,5 @@ def summary_text() -> Column:
 
 def recent(targets: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     """Targets issued within ``days`` before ``as_of``; the real-data form of the window adjustment."""
-    return targets.where((F.col("ts") <= F.lit(as_of)) & (F.col("ts") > F.lit(as_of - dt.timedelta(days=days))))
+    end, start = (F.lit(t).cast("timestamp_ntz") for t in (as_of, as_of - dt.timedelta(days=days)))
+    return targets.where((F.col("ts") <= end) & (F.col("ts") > start))

@@ -52,7 +52,12 @@ def beta(aligned: DataFrame, min_rows: int = 20, key: str = "ticker") -> DataFra
     )
 
 
-def paired_returns(ret: DataFrame, edges: DataFrame, ts: str = "dt") -> DataFrame:
+def peer_prices(px: DataFrame, edges: DataFrame) -> DataFrame:
+    """Bars of those tickers only that are somebody's peer."""
+    return px.join(edges.select(F.col("peer").alias("ticker")).distinct(), "ticker", "left_semi")
+
+
+def paired_returns(ret: DataFrame, edges: DataFrame, peer_ret: DataFrame | None = None, ts: str = "dt") -> DataFrame:
     """(ticker, peer, dt, x, y): both returns on every common day of every edge.
 
     Returns arrive partitioned by ticker, so the edges (a bounded list per
@@ -60,14 +65,12 @@ def paired_returns(ret: DataFrame, edges: DataFrame, ts: str = "dt") -> DataFram
     grouped by (ticker, peer) afterwards needs no further shuffle.  Only tickers
     that are somebody's peer enter the other side; AQE broadcasts that side when
     it is small and otherwise joins on (peer, day), which spreads even a peer that
-    a third of the universe points to over all its days.
+    a third of the universe points to over all its days.  ``peer_ret`` are the
+    peers' returns where they were computed from ``peer_prices`` alone.
     """
     x = ret.select("ticker", ts, F.col("ret").alias("x"))
-    used = edges.select("peer").distinct()
-    y = (
-        ret.select(F.col("ticker").alias("peer"), ts, F.col("ret").alias("y"))
-        .join(used, "peer", "left_semi")
-    )
+    y = peer_prices(ret, edges) if peer_ret is None else peer_ret
+    y = y.select(F.col("ticker").alias("peer"), ts, F.col("ret").alias("y"))
     return x.join(edges.hint("shuffle_hash"), "ticker").join(y, ["peer", ts])
 
 
@@ -137,13 +140,14 @@ def kendall(pairs: DataFrame) -> DataFrame:
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 
-def peer_correlations(ret: DataFrame, edges: DataFrame, method: str = "pearson", min_periods: int = 30) -> DataFrame:
+def peer_correlations(ret: DataFrame, edges: DataFrame, method: str = "pearson", min_periods: int = 30,
+                      peer_ret: DataFrame | None = None) -> DataFrame:
     """One row per edge: r, p, n, significance and strength.
 
     Edges with too few common days (or none) are kept with r=0, p=1, n=0.
     An undefined r (a constant series) becomes r=0, p=1 but keeps its n.
     """
-    stats = METHODS[method](paired_returns(ret, edges))
+    stats = METHODS[method](paired_returns(ret, edges, peer_ret))
     stats = stats.where(F.col("n") >= min_periods)
     p = normal_pvalue(F.col("z")) if method == "kendall" else correlation_pvalue(F.col("r"), F.col("n"))
     known = F.col("r").isNotNull() & ~F.isnan("r")

@@ -44,13 +44,13 @@ def k() -> Column:
 @CAT.add("price_history", sql("prices", f"""
 SELECT ticker, {D}, {rcols('open high low close')}, volume FROM prices WHERE dt > DATE '1997-12-01' AND dt <= DATE '1998-06-01'"""))
 def price_history(spark, sf):
-    return show(rd.price_history(b.prices(spark, sf), AS_OF, "6mo"))
+    return show(rd.price_history(b.prices(spark, sf, start=dt.date(1997, 12, 2), end=AS_OF), AS_OF, "6mo"))
 
 
 @CAT.add("min_history", sql("prices", f""", recent AS (SELECT * FROM prices WHERE dt > DATE '1998-03-01' AND dt <= DATE '1998-06-01')
 SELECT ticker, {D}, {rcols('close')} FROM recent WHERE ticker IN (SELECT ticker FROM recent GROUP BY ticker HAVING count(*) >= 22)"""))
 def min_history(spark, sf):
-    px = rd.price_history(b.prices(spark, sf), AS_OF, "3mo").select("ticker", "dt", "close")
+    px = rd.price_history(b.prices(spark, sf, start=dt.date(1998, 3, 2), end=AS_OF), AS_OF, "3mo").select("ticker", "dt", "close")
     return show(dq.min_history(px, 22))
 
 

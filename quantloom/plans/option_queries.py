@@ -160,8 +160,9 @@ def tickers(spark, sf):
 
 def peer_signals(spark, sf):
     px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
-    corr = p.peer_correlations(s.with_returns(px), edges)
-    metrics = eco.peer_metrics(eco.ticker_metrics(eco.peer_prices(px, edges)), edges, tickers(spark, sf))
+    of_peers = p.peer_prices(px, edges)
+    corr = p.peer_correlations(s.with_returns(px), edges, peer_ret=s.with_returns(of_peers))
+    metrics = eco.peer_metrics(eco.ticker_metrics(of_peers), edges, tickers(spark, sf))
     return eco.signal(eco.ecosystem_score(corr), metrics)
 
 
@@ -171,12 +172,12 @@ METRIC_COLS = "avg_rsi avg_ret_1 avg_ret_5 avg_ret_30 avg_rolling_vol sector_mom
 @CAT.add("peer_metrics", sql("pmet", f"SELECT ticker, n_used, {rcols(METRIC_COLS)}, volatility_regime, momentum_signal FROM pmet"))
 def peer_metrics(spark, sf):
     px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
-    return show(eco.peer_metrics(eco.ticker_metrics(eco.peer_prices(px, edges)), edges, tickers(spark, sf)))
+    return show(eco.peer_metrics(eco.ticker_metrics(p.peer_prices(px, edges)), edges, tickers(spark, sf)))
 
 
 @CAT.add("ecosystem_score", sql("escore", f"SELECT ticker, n_peers, {rcols('avg_correlation score score_confidence')}, sample_size FROM escore"))
 def ecosystem_score(spark, sf):
-    return show(eco.ecosystem_score(p.peer_correlations(*pair_queries.inputs(spark, sf))))
+    return show(eco.ecosystem_score(p.peer_correlations(**pair_queries.inputs(spark, sf))))
 
 
 @CAT.add("ecosystem_signal", sql("esig", f"""
@@ -192,7 +193,7 @@ def ecosystem_signal(spark, sf):
 SELECT ticker, count(*) AS n, string_agg(concat(peer, '=', printf('%.3f', floor(r * 1000 + 0.5) / 1000)), '; ' ORDER BY peer) AS correlations
 FROM peercorr GROUP BY ticker"""))
 def ecosystem_correlation_map(spark, sf):
-    m = eco.correlation_map(p.peer_correlations(*pair_queries.inputs(spark, sf)))
+    m = eco.correlation_map(p.peer_correlations(**pair_queries.inputs(spark, sf)))
     entries = F.transform(
         F.array_sort(F.map_entries("individual_correlations")),
         lambda e: F.format_string("%s=%.3f", e["key"], F.floor(e["value"] * 1000 + 0.5) / 1000))

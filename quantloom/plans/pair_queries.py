@@ -49,8 +49,8 @@ register("betas", ("ret", "mret"), BETA)
 
 
 def inputs(spark, sf):
-    px = b.prices(spark, sf)
-    return s.with_returns(px.select("ticker", "dt", "close")), b.peers(spark, sf)
+    px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
+    return {"ret": s.with_returns(px), "edges": edges, "peer_ret": s.with_returns(p.peer_prices(px, edges))}
 
 
 @CAT.add("beta", sql("betas", f"SELECT ticker, {rcols('beta')}, n_common FROM betas"))
@@ -61,7 +61,7 @@ def beta(spark, sf):
 
 @CAT.add("pair_correlation", sql("peercorr", f"SELECT {CORR_OUT} FROM peercorr"))
 def pair_correlation(spark, sf):
-    return show(p.peer_correlations(*inputs(spark, sf)))
+    return show(p.peer_correlations(**inputs(spark, sf)))
 
 
 register("spear", ("pairs",), """
@@ -77,7 +77,7 @@ SELECT {CORR_OUT} FROM (
 SELECT e.ticker, e.peer, coalesce(c.r, 0) AS r, coalesce(c.p_value, 1) AS p_value, coalesce(c.n, 0) AS n
 FROM peers e LEFT JOIN ({PVALUE.format(stat="(SELECT * FROM spear WHERE n >= 30)")}) c ON c.ticker = e.ticker AND c.peer = e.peer) x"""))
 def spearman(spark, sf):
-    return show(p.peer_correlations(*inputs(spark, sf), method="spearman"))
+    return show(p.peer_correlations(**inputs(spark, sf), method="spearman"))
 
 
 @CAT.add("kendall", sql("pairs", f"""
@@ -89,7 +89,7 @@ SELECT ticker, peer, {r('s / sqrt((n0 - n1) * (n0 - n2))')} AS r, n FROM (
        JOIN (SELECT ticker, peer, count(*) AS n FROM pairs GROUP BY ticker, peer) c ON c.ticker = a.ticker AND c.peer = a.peer
   GROUP BY a.ticker, a.peer) x"""))
 def kendall(spark, sf):
-    return show(p.kendall(p.paired_returns(*inputs(spark, sf))).drop("z"))
+    return show(p.kendall(p.paired_returns(**inputs(spark, sf))).drop("z"))
 
 
 ROLL = """
@@ -102,7 +102,7 @@ register("roll", ("pairs",), ROLL)
 
 @CAT.add("rolling_corr", sql("roll", f"SELECT ticker, peer, {D}, {rcols('r')} FROM roll"))
 def rolling_corr(spark, sf):
-    return show(p.rolling_correlation(p.paired_returns(*inputs(spark, sf))))
+    return show(p.rolling_correlation(p.paired_returns(**inputs(spark, sf))))
 
 
 @CAT.add("regime_change", sql("roll", f"""
@@ -115,7 +115,7 @@ SELECT ticker, peer, {D}, {r('bef')} AS before, {r('aft')} AS after, {r('aft - b
         FROM roll WINDOW c AS (PARTITION BY ticker, peer ORDER BY dt ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) a) b
 WHERE n >= 40 AND i >= 20 AND i < n - 20 AND abs(aft - bef) >= 0.3"""))
 def regime_change(spark, sf):
-    return show(p.regime_changes(p.rolling_correlation(p.paired_returns(*inputs(spark, sf)))))
+    return show(p.regime_changes(p.rolling_correlation(p.paired_returns(**inputs(spark, sf)))))
 
 
 NATION_RET = """
@@ -150,7 +150,7 @@ def corr_matrix(spark, sf):
 SELECT ticker, peer AS strongest_peer, {r('abs(r)')} AS strongest_abs_r FROM (
 SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(r) DESC, peer) AS rn FROM peercorr) x WHERE rn = 1"""))
 def max_corr_peer(spark, sf):
-    return show(p.strongest_peer(p.peer_correlations(*inputs(spark, sf))))
+    return show(p.strongest_peer(p.peer_correlations(**inputs(spark, sf))))
 
 
 @CAT.add("peer_info", sql("peers", """

@@ -25,8 +25,32 @@ AS_OF = dt.date(1998, 6, 1)
 PEERS_PER_TICKER = 8
 
 
+# Stated rather than inferred: a scan then starts without a footer-reading job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def midnight(day: dt.date, days: int = 0) -> Column:
+    return F.lit(day + dt.timedelta(days=days)).cast("timestamp_ntz")
 
 
 def day_expr() -> Column:
@@ -52,9 +76,9 @@ def prices(spark: SparkSession, sf_dir: str, *, start=None, end=None) -> DataFra
     """Daily bars of unit price per supplier; optional [start, end] dates reach the parquet scan."""
     li = table(spark, sf_dir, "lineitem")
     if start is not None:
-        li = li.where(F.col("l_shipdate") >= F.lit(start).cast("timestamp"))
+        li = li.where(F.col("l_shipdate") >= midnight(start))
     if end is not None:
-        li = li.where(F.col("l_shipdate") < F.lit(end + dt.timedelta(days=1)).cast("timestamp"))
+        li = li.where(F.col("l_shipdate") < midnight(end, 1))
     trades = li.select(
         "l_suppkey",
         day_expr().alias("dt"),
@@ -128,7 +152,7 @@ def spot(px: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
 def raw_spot(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     """``spot(prices)`` straight from the trades: the last trade wins, so one map-side-combined shuffle."""
     li = table(spark, sf_dir, "lineitem").where(
-        F.col("l_shipdate") < F.lit(as_of + dt.timedelta(days=1)).cast("timestamp")
+        F.col("l_shipdate") < midnight(as_of, 1)
     )
     day = F.unix_date(day_expr()).cast("decimal(7,0)")
     latest = (day * F.lit(Decimal(10) ** 29)).cast("decimal(38,0)") + trade_order()
@@ -143,7 +167,7 @@ def option_chain(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Da
     """Listed contracts: strike .71-1.30 x spot, month-end expiries, IV .10-.50."""
     li = (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") >= F.lit(as_of + dt.timedelta(days=1)).cast("timestamp"))
+        .where(F.col("l_shipdate") >= midnight(as_of, 1))
         .select(
             supplier_ticker(),
             F.when(F.col("l_linestatus") == "O", "C").otherwise("P").alias("side"),
