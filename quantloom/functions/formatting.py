@@ -13,9 +13,10 @@ NA = "N/A"
 def fixed(c: Column | str, digits: int, pattern: str = "%s") -> Column:
     """Fixed decimals, rounded half up first so that every engine prints the same text.
 
+    Rounding to six decimals before that keeps summation noise from flipping a tie.
     ``pattern`` is the surrounding text with ``%s`` for the number.
     """
-    return F.format_string(pattern % f"%.{digits}f", snap(c, digits))
+    return F.format_string(pattern % f"%.{digits}f", snap(snap(c, 6), digits))
 
 
 def currency_short(c: Column | str, digits: int = 2) -> Column:
@@ -34,7 +35,7 @@ def currency_short(c: Column | str, digits: int = 2) -> Column:
 def currency(c: Column | str, digits: int = 2) -> Column:
     """$ with thousands separators."""
     v = finite(col(c).cast("double"))
-    return F.when(v.isNull(), NA).otherwise(F.concat(F.lit("$"), F.format_string(f"%,.{digits}f", snap(v, digits))))
+    return F.when(v.isNull(), NA).otherwise(F.concat(F.lit("$"), F.format_string(f"%,.{digits}f", snap(snap(v, 6), digits))))
 
 
 def percent(c: Column | str, digits: int = 1) -> Column:

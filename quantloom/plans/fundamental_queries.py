@@ -311,7 +311,7 @@ def listed(spark, sf):
 
 
 def pct(c: str) -> str:
-    return f"printf('%.1f%%', floor(({c}) * 1000 + 0.5) / 10)"
+    return f"printf('%.1f%%', floor(floor(({c}) * 1e8 + 0.5) / 1e6 * 10 + 0.5) / 10)"
 
 
 MOS0 = "CASE WHEN intrinsic_value > 0 AND latest_price > 0 THEN (intrinsic_value - latest_price) / intrinsic_value ELSE 0 END"
@@ -408,18 +408,18 @@ RF = [
     ("vol > 0.4", "'High price volatility (> 40%)'"), ("vol < 0.1", "'Low price volatility (< 10%)'"),
     ("de > 1.0", "'High leverage (D/E > 1.0)'"), ("ic < 1.0", "'Low interest coverage (< 1.0)'"),
     ("om < 0.1", "'Low operating margin (< 10%)'"), ("rev < 1e9", "'Small revenue base (< $1B)'"),
-    ("hm AND b1 > 1.5", "printf('Beta of %.2f indicates high volatility relative to market', floor(b1 * 1e2 + 0.5) / 1e2)"),
-    ("hm AND b1 < 0.5", "printf('Beta of %.2f indicates low correlation with market', floor(b1 * 1e2 + 0.5) / 1e2)"),
+    ("hm AND b1 > 1.5", "printf('Beta of %.2f indicates high volatility relative to market', floor(floor(b1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
+    ("hm AND b1 < 0.5", "printf('Beta of %.2f indicates low correlation with market', floor(floor(b1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
     ("hm AND v1 > 0.4", f"concat('Annual volatility of ', {pct('v1')}, ' is very high')"),
     ("hm AND v1 > 0.3 AND v1 <= 0.4", f"concat('Annual volatility of ', {pct('v1')}, ' is above average')"),
-    ("hf AND d1 > 2.0", "printf('Debt-to-equity ratio of %.2f indicates very high leverage', floor(d1 * 1e2 + 0.5) / 1e2)"),
-    ("hf AND d1 > 1.0 AND d1 <= 2.0", "printf('Debt-to-equity ratio of %.2f indicates significant leverage', floor(d1 * 1e2 + 0.5) / 1e2)"),
-    ("hf AND i1 < 1.5", "printf('Interest coverage of %.2fx is dangerously low', floor(i1 * 1e2 + 0.5) / 1e2)"),
-    ("hf AND i1 >= 1.5 AND i1 < 3.0", "printf('Interest coverage of %.2fx may be insufficient in downturns', floor(i1 * 1e2 + 0.5) / 1e2)"),
+    ("hf AND d1 > 2.0", "printf('Debt-to-equity ratio of %.2f indicates very high leverage', floor(floor(d1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
+    ("hf AND d1 > 1.0 AND d1 <= 2.0", "printf('Debt-to-equity ratio of %.2f indicates significant leverage', floor(floor(d1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
+    ("hf AND i1 < 1.5", "printf('Interest coverage of %.2fx is dangerously low', floor(floor(i1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
+    ("hf AND i1 >= 1.5 AND i1 < 3.0", "printf('Interest coverage of %.2fx may be insufficient in downturns', floor(floor(i1 * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)"),
     ("hb AND o1 < 0.05", f"concat('Operating margin of ', {pct('o1')}, ' is very low')"),
     ("hb AND o1 >= 0.05 AND o1 < 0.10", f"concat('Operating margin of ', {pct('o1')}, ' is below healthy levels')"),
-    ("hb AND r1 < 1e8", "concat('Small company with revenue of $', printf('%.0f', floor((r1 / 1e6) * 1e0 + 0.5) / 1e0), 'M')"),
-    ("hb AND r1 >= 1e8 AND r1 < 1e9", "concat('Mid-size company with revenue of $', printf('%.0f', floor((r1 / 1e6) * 1e0 + 0.5) / 1e0), 'M')"),
+    ("hb AND r1 < 1e8", "concat('Small company with revenue of $', printf('%.0f', floor(floor((r1 / 1e6) * 1e6 + 0.5) / 1e6 * 1e0 + 0.5) / 1e0), 'M')"),
+    ("hb AND r1 >= 1e8 AND r1 < 1e9", "concat('Mid-size company with revenue of $', printf('%.0f', floor(floor((r1 / 1e6) * 1e6 + 0.5) / 1e6 * 1e0 + 0.5) / 1e0), 'M')"),
 ]
 RW = [
     ("beta IS NULL", "'Beta not available in fundamentals data'"), ("vol IS NULL", "'Price data not available for volatility calculation'"),

@@ -110,9 +110,9 @@ def forecast_best_confidence(spark, sf):
 
 
 @CAT.add("forecast_summary", sql("fcst", """
-SELECT ticker, concat('Analyst Forecast Summary for ', ticker, ': Mean Target: $', printf('%.2f', floor((mean_target) * 1e2 + 0.5) / 1e2), ', Range: $',
-  printf('%.2f', floor((low_target) * 1e2 + 0.5) / 1e2), ' - $', printf('%.2f', floor((high_target) * 1e2 + 0.5) / 1e2), ', Analysts: ', num_analysts, ', Confidence: ',
-  printf('%.1f', floor((confidence * 100) * 1e1 + 0.5) / 1e1), '%') AS summary FROM fcst"""))
+SELECT ticker, concat('Analyst Forecast Summary for ', ticker, ': Mean Target: $', printf('%.2f', floor(floor((mean_target) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), ', Range: $',
+  printf('%.2f', floor(floor((low_target) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), ' - $', printf('%.2f', floor(floor((high_target) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), ', Analysts: ', num_analysts, ', Confidence: ',
+  printf('%.1f', floor(floor((confidence * 100) * 1e6 + 0.5) / 1e6 * 1e1 + 0.5) / 1e1), '%') AS summary FROM fcst"""))
 def forecast_summary(spark, sf):
     return forecasts(spark, sf).select("ticker", fc.summary_text().alias("summary"))
 

@@ -97,15 +97,15 @@ def scale_functions(spark, sf):
 
 
 def money(v: str) -> str:
-    return f"""CASE WHEN {v} IS NULL THEN 'N/A' WHEN abs({v}) >= 1e9 THEN concat('$', printf('%.2f', floor(({v} / 1e9) * 1e2 + 0.5) / 1e2), 'B') WHEN abs({v}) >= 1e6 THEN concat('$', printf('%.2f', floor(({v} / 1e6) * 1e2 + 0.5) / 1e2), 'M')
-  WHEN abs({v}) >= 1e3 THEN concat('$', printf('%.2f', floor(({v} / 1e3) * 1e2 + 0.5) / 1e2), 'K') ELSE concat('$', printf('%.2f', floor(({v}) * 1e2 + 0.5) / 1e2)) END"""
+    return f"""CASE WHEN {v} IS NULL THEN 'N/A' WHEN abs({v}) >= 1e9 THEN concat('$', printf('%.2f', floor(floor(({v} / 1e9) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), 'B') WHEN abs({v}) >= 1e6 THEN concat('$', printf('%.2f', floor(floor(({v} / 1e6) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), 'M')
+  WHEN abs({v}) >= 1e3 THEN concat('$', printf('%.2f', floor(floor(({v} / 1e3) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2), 'K') ELSE concat('$', printf('%.2f', floor(floor(({v}) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2)) END"""
 
 
 V = "CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal * 10 * (1 + c_custkey % 4 * 100 + c_custkey % 7 * 1e5) + 0.0007 END"
 
 
 @CAT.add("format_values", f"""
-SELECT c_custkey, {money('v')} AS short, CASE WHEN v IS NULL THEN 'N/A' ELSE concat(printf('%.1f', floor((p * 100) * 1e1 + 0.5) / 1e1), '%') END AS pct, CASE WHEN v IS NULL THEN 'N/A' ELSE printf('%.2f', floor((p) * 1e2 + 0.5) / 1e2) END AS num
+SELECT c_custkey, {money('v')} AS short, CASE WHEN v IS NULL THEN 'N/A' ELSE concat(printf('%.1f', floor(floor((p * 100) * 1e6 + 0.5) / 1e6 * 1e1 + 0.5) / 1e1), '%') END AS pct, CASE WHEN v IS NULL THEN 'N/A' ELSE printf('%.2f', floor(floor((p) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2) END AS num
 FROM (SELECT *, {V} AS v, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal / 7919 + 0.000013 END AS p FROM customer) x""")
 def format_values(spark, sf):
     c = b.table(spark, sf, "customer")
@@ -253,15 +253,15 @@ def partial_data(spark, sf):
 
 
 @CAT.add("strategy_report", sql("ccpick", f"""
-SELECT ticker, risk, rank, CAST(expiry AS VARCHAR) AS "Expiry", concat('$', format('{{:,.2f}}', floor(strike * 100 + 0.5) / 100)) AS "Strike", printf('%.2f', floor((total_return) * 1e2 + 0.5) / 1e2) AS "Total Return %",
-  printf('%.2f', floor((composite_score) * 1e2 + 0.5) / 1e2) AS "Composite Score" FROM ccpick"""))
+SELECT ticker, risk, rank, CAST(expiry AS VARCHAR) AS "Expiry", concat('$', format('{{:,.2f}}', floor(floor(strike * 1e6 + 0.5) / 1e6 * 100 + 0.5) / 100)) AS "Strike", printf('%.2f', floor(floor((total_return) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2) AS "Total Return %",
+  printf('%.2f', floor(floor((composite_score) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2) AS "Composite Score" FROM ccpick"""))
 def strategy_report(spark, sf):
     t = flt.strategy_report(picks(spark, sf), "Covered Call")
     return t.select("ticker", "risk", "rank", "Expiry", "Strike", "Total Return %", "Composite Score")
 
 
 @CAT.add("csv_export", sql("ccpick", """
-SELECT 'Covered Call' AS strategy, '1998-06-01' AS date, ticker, risk, rank, CAST(expiry AS VARCHAR) AS expiry, printf('%.4f', floor((strike) * 1e4 + 0.5) / 1e4) AS strike, printf('%.4f', floor((premium_yield) * 1e4 + 0.5) / 1e4) AS premium_yield FROM ccpick"""))
+SELECT 'Covered Call' AS strategy, '1998-06-01' AS date, ticker, risk, rank, CAST(expiry AS VARCHAR) AS expiry, printf('%.4f', floor(floor((strike) * 1e6 + 0.5) / 1e6 * 1e4 + 0.5) / 1e4) AS strike, printf('%.4f', floor(floor((premium_yield) * 1e6 + 0.5) / 1e6 * 1e4 + 0.5) / 1e4) AS premium_yield FROM ccpick"""))
 def csv_export(spark, sf):
     t = picks(spark, sf).select("ticker", "risk", "rank", "expiry", "strike", "premium_yield")
     return sinks.export_view(t, strategy="Covered Call", date="1998-06-01")
