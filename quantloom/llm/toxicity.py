@@ -148,11 +148,15 @@ class LabelModel:
     rate: np.ndarray  # (2, voters): clean, toxic
     weight: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def linear(self) -> tuple[float, np.ndarray]:
+        """The posterior's log-odds: what they are without any yes, and what each yes adds."""
         p = np.clip(self.rate, 1e-4, 1 - 1e-4)
         yes, no = np.log(p[1] / p[0]), np.log((1 - p[1]) / (1 - p[0]))
-        logit = np.log(self.share / (1 - self.share)) + (votes * yes + (1 - votes) * no) @ self.weight
-        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        return float(np.log(self.share / (1 - self.share)) + no @ self.weight), (yes - no) * self.weight
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        bias, add = self.linear()
+        return 1 / (1 + np.exp(-np.clip(bias + votes @ add, -40, 40)))
 
 
 def fit_label_model(votes: np.ndarray, count: np.ndarray, start: np.ndarray, rounds: int = 40) -> LabelModel:
@@ -173,8 +177,9 @@ def fit_label_model(votes: np.ndarray, count: np.ndarray, start: np.ndarray, rou
         for c in (0, 1):
             off = votes - rate[c]
             spread += (off * own[c][:, None]).T @ off / n
-        sd = np.sqrt(np.maximum(np.diag(spread), 1e-12))
-        together = np.clip(spread / sd / sd[:, None], 0, 1)
+        sd = np.sqrt(np.diag(spread))
+        both = sd * sd[:, None] * (votes.any(0) & votes.any(0)[:, None])  # a voter that never votes goes with none
+        together = np.clip(np.divide(spread, both, out=np.zeros_like(spread), where=both > 0), 0, 1)
         np.fill_diagonal(together, 0)
         weight = 1 / (1 + together.sum(1))
         model = LabelModel(share, rate, weight)
@@ -261,7 +266,9 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
     size = max(rows.count(), 1)
     dims = FEATURES + len(voters) + 1
     model, square = np.zeros(dims), np.full(dims, 1e-8)
-    model[-1] = np.log(labels.share / (1 - labels.share))
+    # half of what the label model gives to votes is given, so that words and stems have the other half to explain
+    model[-1], add = labels.linear()
+    model[FEATURES:-1] = add / 2
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model.astype(np.float32))
 
