@@ -72,7 +72,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = read(spark, sf_dir, "documents"), new_path(spark, "tokens")
     tokencounts.write(docs, path, tokencounts.byte_pairs(TOKENIZER, PATTERN), END_OF_DOCUMENT)
     counted = tokencounts.count(spark, path, END_OF_DOCUMENT).withColumn("part", tokencounts.part_of())
-    return tokencounts.manifest(docs, "doc_id").join(counted, ["part", "number"]).select("doc_id", "part", "number", "n_tokens")
+    # both sides have a row for each document: neither may be broadcast, however small its shuffled form looks
+    return tokencounts.manifest(docs, "doc_id").join(counted.hint("merge"), ["part", "number"]).select("doc_id", "part", "number", "n_tokens")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
