@@ -31,7 +31,7 @@ LEAST_TEXTS, LEAST_ODDS = 4, 4.0
 #: Suggested entries are at most so many for each kind, the strongest first; this bounds what is broadcast.
 MOST_ENTRIES = 20_000
 #: Hashed features of the classifier.
-FEATURES = 1 << 18
+FEATURES = 1 << 16
 
 #: Given lexicons (fixed values): common insults.
 LEXICONS = {
@@ -245,7 +245,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20, rate: float = 0.5, shrink: float = 2e-3) -> Classifier:
+def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 10, rate: float = 0.5, shrink: float = 2e-3) -> Classifier:
     """Logistic regression on the posterior labels of the sample: distributed gradients, summed by Spark, with AdaGrad steps.
 
     Proximal steps drop features that do not pay for themselves; each round is one Spark job over the bounded sample.
@@ -265,7 +265,7 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
     rows = stored(sample.select("text").mapInArrow(encode, "feature array<int>, votes long, label double"), "features")
     size = max(rows.count(), 1)
     dims = FEATURES + len(voters) + 1
-    model, square = np.zeros(dims), np.full(dims, 1e-8)
+    model, square = np.zeros(dims), np.full(dims, 1e-4)  # so that rare features take small steps
     # half of what the label model gives to votes is given, so that words and stems have the other half to explain
     model[-1], add = labels.linear()
     model[FEATURES:-1] = add / 2
@@ -291,7 +291,7 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
         got = rows.mapInArrow(gradient, "at int, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toPandas()
         slope = np.zeros(dims)
         slope[got["at"].to_numpy()] = got["slope"].to_numpy() / size
-        now.unpersist()
+        now.destroy()
         square += slope**2
         step = rate / np.sqrt(square)
         model = model - step * slope
