@@ -21,15 +21,20 @@ def div(a: Column | str, b: Column | str, default: float | None = None) -> Colum
     return q if default is None else F.coalesce(q, F.lit(float(default)))
 
 
+def whole(y: Column) -> Column:
+    """Floor as a double of any size: doubles from 9e15 on are whole, and only smaller ones pass through a BIGINT."""
+    return F.when(F.abs(y) < F.lit(9e15), F.floor(y).cast("double")).otherwise(y)
+
+
 def snap(c: Column | str, digits: int = 6) -> Column:
     """Round half up by ``floor``; unlike ``round`` it gives the same bits in every engine."""
     p = float(10**digits)
-    return F.floor(col(c) * F.lit(p) + F.lit(0.5)).cast("double") / F.lit(p)
+    return whole(col(c) * F.lit(p) + F.lit(0.5)) / F.lit(p)
 
 
 def steady(c: Column) -> Column:
     """A sort key without floating-point noise (nine decimals)."""
-    return F.floor(c * F.lit(1e9) + F.lit(0.5))
+    return whole(c * F.lit(1e9) + F.lit(0.5))
 
 
 def clamp(c: Column, lo=0.0, hi=1.0) -> Column:

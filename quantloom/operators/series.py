@@ -170,6 +170,9 @@ def ema(df: DataFrame, specs: dict[str, tuple[str, int]], key="ticker", ts="dt")
     w = by_day(key, ts)
     out = df.withColumn("_i", F.row_number().over(w) - 1)
     for name, (value, span) in specs.items():
+        if span == 1:  # nothing of the past is left
+            out = out.withColumn(name, F.col(value))
+            continue
         alpha = 2.0 / (span + 1)
         decay = 1 - alpha
         block = max(2, math.ceil(-20 * math.log(10) / math.log(decay)))

@@ -414,3 +414,20 @@ def test_plans_do_not_widen(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "CartesianProduct" not in plan
     assert scoring.FALLBACK["rsi"] == 50.0
+
+
+def test_snap_keeps_large_values(spark):
+    from quantloom.functions.numeric import snap, steady
+
+    values = [9.3e12, 5e13, 1e15, -6e13, -0.1234565, 12.3456785, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", snap("v").alias("s"), steady(F.col("v")).alias("k")).collect()
+    for v, s, k in rows:
+        assert (v is None and s is None) or abs(s - v) <= max(6e-7, abs(v) * 1e-15)
+    assert len({k for v, _, k in rows if v is not None}) == 6
+
+
+def test_ema_of_span_one_is_the_series(spark):
+    from quantloom.operators import series
+
+    df = spark.createDataFrame([("A", d, float(d)) for d in range(5)], "ticker string, dt int, close double")
+    assert all(r.e == r.close for r in series.ema(df, {"e": ("close", 1)}).collect())

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry_points
+from quantloom.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -14,7 +15,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 # Needs more history or more sources than the smallest data set has.
 MAY_BE_EMPTY = {"regime_change"}
 
