@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,9 +159,16 @@ class Model:
 
     @staticmethod
     def load(table: DataFrame, order: int = ORDER) -> Model:
-        """The pruned model is bounded (see KEEP_SHARE), so the driver may hold and broadcast it."""
-        rows = table.toPandas().sort_values("key", kind="stable")
-        return Model(order, {k: (g["key"].to_numpy(np.uint64), g["value"].to_numpy(np.float32)) for k, g in rows.groupby(["kind", "lang", "n"], sort=False)})
+        """The pruned model is bounded (see KEEP_SHARE), so the driver may hold and broadcast it; it comes as Arrow columns."""
+        rows = table.toArrow()
+        kinds = rows.group_by(["kind", "lang", "n"]).aggregate([]).to_pylist()
+        arrays = {}
+        for k in kinds:
+            own = rows.filter((pc.field("kind") == k["kind"]) & (pc.field("lang") == k["lang"]) & (pc.field("n") == k["n"]))
+            key, value = own.column("key").to_numpy().astype(np.uint64), own.column("value").to_numpy().astype(np.float32)
+            by_key = np.argsort(key, kind="stable")
+            arrays[k["kind"], k["lang"], k["n"]] = key[by_key], value[by_key]
+        return Model(order, arrays)
 
     def _find(self, kind: str, lang: str, n: int, keys: np.ndarray, missing: float) -> np.ndarray:
         have, value = self.arrays.get((kind, lang, n), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))

@@ -131,7 +131,7 @@ def suggest(sample: DataFrame) -> Voters:
     strong = counts.withColumn("odds", odds).where((F.col("bad") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
     lexicons = [(len(STEMS) - 1, keys) for keys in _given()]
     for kind in range(len(STEMS)):
-        keys = strong.where(F.col("kind") == kind).orderBy(F.desc("odds"), "key").limit(MOST_ENTRIES).select("key").toPandas()["key"].to_numpy(np.int64).astype(np.uint64)
+        keys = strong.where(F.col("kind") == kind).orderBy(F.desc("odds"), "key").limit(MOST_ENTRIES).select("key").toArrow().column("key").to_numpy().astype(np.uint64)
         group = scan.mixed(keys) % np.uint64(GROUPS)
         lexicons += [(kind, np.sort(keys[group == g])) for g in range(GROUPS)]
     return Voters(lexicons)
@@ -288,9 +288,9 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 10,
             if some:
                 yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "slope": slope[at]})
 
-        got = rows.mapInArrow(gradient, "at int, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toPandas()
+        got = rows.mapInArrow(gradient, "at int, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toArrow()
         slope = np.zeros(dims)
-        slope[got["at"].to_numpy()] = got["slope"].to_numpy() / size
+        slope[got.column("at").to_numpy()] = got.column("slope").to_numpy() / size
         now.destroy()
         square += slope**2
         step = rate / np.sqrt(square)
