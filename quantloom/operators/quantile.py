@@ -7,6 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: A group of more than this share of all rows is hot: there are fewer than 1 / HOT_SHARE of them, so their keys may be broadcast.
+HOT_SHARE = 1e-3
+#: A hot group's rows meet its sketch in so many tasks.
+SALTS = 64
+
+
+def _spread(rows: DataFrame, sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` joined with their group's sketch row; no hot group meets it in a single task."""
+    total = sketch.agg((F.sum("_n") * HOT_SHARE).alias("_least"))
+    hot = sketch.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_least")).select(*keys, F.lit(True).alias("_hot"))
+    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_hot")
+    right = sketch.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"])
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                       accuracy: int = 10_000, extra: dict[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles ``{name: q}`` per group, plus ``n``; exact at any group size.
@@ -46,7 +63,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     ).alias("_w")
     carried = ["_n", *[f"_x_{n}" for n in extra]]
     near = (
-        rows.join(sketch, keys)
+        _spread(rows, sketch, keys)
         .select(*keys, "_v", "_n", *[f"_x_{n}" for n in extra], wanted)
         .where(F.col("_v") <= F.col("_w.hi"))
         .groupBy(

@@ -62,14 +62,14 @@ def supplier_ticker() -> Column:
 
 
 def trade_order() -> Column:
-    """(order, line, part) as one sortable number.
+    """(order, line, part) as one sortable number: 14, 2 and 13 digits, which leaves 9 of a decimal's 38 to a day before them.
 
-    A decimal(38) stays exact at any table size (a bigint overflows near 10^9
-    orders) and, unlike a struct key, leaves min_by/max_by hash-aggregated.
+    A decimal stays exact up to 10^14 orders and 10^13 parts (a bigint overflows near 10^9 orders) and, unlike a struct
+    key, leaves min_by/max_by hash-aggregated.
     """
-    return F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + (
-        F.col("l_linenumber").cast("bigint") * F.lit(1_000_000_000) + F.col("l_partkey")
-    ).cast("decimal(19,0)")
+    return F.col("l_orderkey").cast("decimal(14,0)") * F.lit(10**15).cast("decimal(16,0)") + (
+        F.col("l_linenumber").cast("bigint") * F.lit(10**13) + F.col("l_partkey").cast("bigint")
+    ).cast("decimal(16,0)")
 
 
 def prices(spark: SparkSession, sf_dir: str, *, start=None, end=None) -> DataFrame:
@@ -175,18 +175,27 @@ def option_chain(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Da
             "l_quantity", "l_tax", "l_discount",
         )
     )
-    q, s = F.col("l_quantity"), F.col("spot")
-    # spot is one row per ticker; AQE broadcasts it when small and splits a hot
-    # ticker's trades when it is not.
-    cells = li.join(raw_spot(spark, sf_dir, as_of), "ticker")
+    # Trades of one quantity share strike and moneyness, so they fold on the map side into at most 50 cells for each
+    # (ticker, side, expiry); only cells meet the spot price, however many trades a ticker has.
+    cells = (
+        li.groupBy("ticker", "side", "expiry", "l_quantity")
+        .agg(
+            F.sum(1 + F.col("l_tax")).alias("with_tax"),
+            F.sum("l_discount").alias("discount"),
+            F.sum("l_quantity").alias("quantity"),
+            F.count("*").alias("trades"),
+        )
+        .join(raw_spot(spark, sf_dir, as_of), "ticker")
+    )
+    q, s, trades = F.col("l_quantity"), F.col("spot"), F.sum("trades")
     return (
         cells.withColumn("strike", snap(s * (0.70 + 0.012 * q), 2))
         .groupBy("ticker", "side", "expiry", "strike")
         .agg(
-            snap(F.avg(s * (0.02 + 0.25 * (0.62 - 0.012 * q)) * (1 + F.col("l_tax")))).alias("last_price"),
-            snap(F.avg(0.10 + 4 * F.col("l_discount"))).alias("iv"),
-            F.sum("l_quantity").cast("bigint").alias("volume"),
-            (F.count("*") * 10).cast("bigint").alias("open_interest"),
+            snap(F.sum(s * (0.02 + 0.25 * (0.62 - 0.012 * q)) * F.col("with_tax")) / trades).alias("last_price"),
+            snap(0.10 + 4 * F.sum("discount") / trades).alias("iv"),
+            F.sum("quantity").cast("bigint").alias("volume"),
+            (trades * 10).cast("bigint").alias("open_interest"),
             F.max("spot").alias("spot"),
         )
         .withColumn("dte", F.datediff("expiry", F.lit(as_of)))
