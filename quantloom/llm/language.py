@@ -120,7 +120,7 @@ def train(docs: DataFrame) -> Model:
     sizes = docs.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(TRAIN_ROWS)) / F.col("count"))
     keyed = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1_000_000)) < share * 1_000_000
-    sample = docs.join(sizes, "lang").where(keyed).select("lang", F.lower("text").alias("text"))  # about TRAIN_ROWS of each
+    sample = docs.join(F.broadcast(sizes), "lang").where(keyed).select("lang", F.lower("text").alias("text"))  # about TRAIN_ROWS of each; sizes is a row a language
 
     def made(group: pa.Table) -> pa.Table:
         lang = group.column("lang")[0].as_py()
