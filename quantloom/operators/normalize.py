@@ -55,7 +55,7 @@ def fold_text(text: str) -> str:
 
 
 def synonym_rows(mapping: dict[str, dict[str, list[str]]] | None = None) -> list[tuple[str, str, str]]:
-    mapping = mapping or {s: cfg.synonyms(s) for s in cfg.STATEMENTS}
+    mapping = mapping or cfg.STATEMENTS
     rows: dict[tuple[str, str], str] = {}
     for statement, table in mapping.items():
         for canonical, names in table.items():

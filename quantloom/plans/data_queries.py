@@ -149,17 +149,22 @@ BALANCE = {"Total Assets": "total_assets", "Total Current Assets": "total_curren
 CASH = {"Operating Cash Flow": "operating_cash_flow", "Capital Expenditure": "capital_expenditure"}
 
 
-@CAT.add("vendor_transpose", sql("facts", """
-SELECT ticker, period_end, line_item, value FROM (
-SELECT ticker, concat(year(period_end), '-12-31') AS period_end, unnest(['Total Revenue', 'Net Income']) AS line_item,
-       unnest([floor(total_revenue * 100 + 0.5) / 100, floor(net_income * 100 + 0.5) / 100]) AS value
-FROM facts WHERE year(period_end) BETWEEN 1995 AND 1997) x"""))
+ITEMS = INCOME | BALANCE | CASH
+
+
+@CAT.add("vendor_transpose", sql("facts", f"""
+SELECT ticker, period_end, line_item, floor(value * 100 + 0.5) / 100 AS value FROM (
+SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, unnest([{", ".join(f"'{n}'" for n in ITEMS)}]) AS line_item,
+       unnest([{", ".join(ITEMS.values())}]) AS value FROM facts) x WHERE value IS NOT NULL"""))
 def vendor_transpose(spark, sf):
-    """Items as rows and years as columns (the vendor's layout), turned back into facts."""
-    periods = [f"{y}-12-31" for y in (1995, 1996, 1997)]
-    f = b.facts(spark, sf).select("ticker", "period_end", F.col("total_revenue").alias("Total Revenue"), F.col("net_income").alias("Net Income"))
-    long = f.unpivot(["ticker", "period_end"], ["Total Revenue", "Net Income"], "line_item", "value")
+    """Items as rows and years as columns (the vendor's layout), turned back into facts: all items, all years of the orders."""
+    years = b.table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last")).first()
+    periods = [] if years.first is None else [f"{y}-12-31" for y in range(years.first, years.last + 1)]
+    f = b.facts(spark, sf).select("ticker", "period_end", *[F.col(c).cast("double").alias(n) for n, c in ITEMS.items()])
+    long = f.unpivot(["ticker", "period_end"], list(ITEMS), "line_item", "value")
     long = long.withColumn("period", F.date_format("period_end", "yyyy-MM-dd"))
+    if not periods:
+        return show(long.select("ticker", "period_end", "line_item", "value"), 2)
     vendor = long.groupBy("ticker", "line_item").pivot("period", periods).agg(F.first("value"))
     back = nrm.from_vendor_layout(vendor, periods, "income").where(F.col("value").isNotNull())
     return show(back.select("ticker", "period_end", "line_item", "value"), 2)
@@ -466,14 +471,14 @@ def quality_score(spark, sf):
 register("status", ("fcst", "chain", "peers"), """
 SELECT *, has_forecast + has_options + has_peers AS available_sources,
   CASE WHEN has_forecast + has_options + has_peers = 3 THEN 'healthy' WHEN has_forecast + has_options + has_peers >= 2 THEN 'partial' ELSE 'unhealthy' END AS health
-FROM (SELECT t.ticker, CAST(t.ticker IN (SELECT concat('S', substr(ticker, 2)) FROM fcst WHERE num_analysts >= 14) AS INT) AS has_forecast,
-        CAST(t.ticker IN (SELECT ticker FROM chain WHERE side = 'C' AND dte >= 1230) AS INT) AS has_options, CAST(t.ticker IN (SELECT ticker FROM peers) AS INT) AS has_peers
+FROM (SELECT t.ticker, CAST(t.ticker IN (SELECT concat('S', substr(ticker, 2)) FROM fcst) AS INT) AS has_forecast,
+        CAST(t.ticker IN (SELECT ticker FROM chain WHERE side = 'C' AND dte >= 1) AS INT) AS has_options, CAST(t.ticker IN (SELECT ticker FROM peers) AS INT) AS has_peers
       FROM (SELECT concat('S', s_suppkey) AS ticker FROM supplier) t) x""")
 
 
 def status(spark, sf) -> DataFrame:
-    fc = oq.stock_forecasts(spark, sf).where("num_analysts >= 14")
-    return dq.source_status(oq.tickers(spark, sf), fc, ch.contracts(b.option_chain(spark, sf), "C", 1230), b.peers(spark, sf))
+    fc = oq.stock_forecasts(spark, sf)
+    return dq.source_status(oq.tickers(spark, sf), fc, ch.contracts(b.option_chain(spark, sf), "C", 1), b.peers(spark, sf))
 
 
 @CAT.add("source_health", sql("status", "SELECT * FROM status"))

@@ -240,13 +240,13 @@ def chain_summary(spark, sf):
 
 @CAT.add("chain_check", sql("chain", """
 SELECT ticker, count(*) AS n, concat_ws('; ', CASE WHEN count(CASE WHEN strike < 0 THEN 1 END) = 0 THEN 'strike' END,
-   CASE WHEN count(CASE WHEN volume >= 40 THEN last_price END) = 0 THEN 'last_price' END) AS empty_columns,
-   0 AS valid FROM chain WHERE side = 'P' AND dte < 60 GROUP BY ticker"""))
+   CASE WHEN ticker LIKE '%7' THEN 'last_price' END) AS empty_columns,
+   0 AS valid FROM chain GROUP BY ticker"""))
 def chain_check(spark, sf):
-    """Listings damaged on purpose: all strikes and every thin last price blanked."""
-    c = b.option_chain(spark, sf).where("side = 'P' AND dte < 60")
-    broken = c.withColumns({"strike": F.when(F.col("strike") < 0, F.col("strike")),
-                            "last_price": F.when(F.col("volume") >= 40, F.col("last_price"))})
+    """All listings, damaged on purpose: every strike, and the last prices of tickers that end in 7, are blanked."""
+    broken = b.option_chain(spark, sf).withColumns({
+        "strike": F.when(F.col("strike") < 0, F.col("strike")),
+        "last_price": F.when(~F.col("ticker").endswith("7"), F.col("last_price"))})
     return show(ch.structural_check(broken))
 
 
