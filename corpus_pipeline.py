@@ -30,11 +30,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest row number, of each group of near copies."""
+    """One document of each group of near copies: that of the smallest doc_id (null last), then content hash.
+
+    Row numbers keep rows of equal or null ids apart, but do not choose, so that reruns keep the same documents.
+    """
     rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.join(rows.select(F.col("row").alias("doc_id"), "text"))
-    kept = groups.where("doc_id = class_id").select(F.col("doc_id").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    groups = jaccard.join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), "row")
+    chosen = rows.select("row", order.alias("order")).join(groups, "row").groupBy("class_id").agg(F.min("order").alias("first"))
+    return rows.join(chosen.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

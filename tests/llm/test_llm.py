@@ -416,3 +416,12 @@ def test_pipeline_stages(spark):
             assert after.columns == columns
         before = after
     assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), SMALL).collect() == []
+
+
+def test_near_duplicates_keep_the_same_document_in_any_row_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, text, "en", "a", 1), (4, text + " more", "en", "b", 1), (None, text, "en", "a", 1), (7, "quite another text of some words", "en", "a", 1), (8, None, "en", "a", 0), (5, "", None, None, 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for given in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(given, schema).coalesce(1), SMALL)
+        assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 7, 8]
