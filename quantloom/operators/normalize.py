@@ -69,21 +69,21 @@ def synonym_table(spark: SparkSession, mapping=None) -> DataFrame:
 
 
 def closest(cutoff: float, mapping=None):
-    """Arrow UDF (statement, folded label) -> canonical of the best difflib match, or NULL."""
+    """Arrow UDF (statement, folded label) -> canonical and ratio of the best difflib match of at least ``cutoff``, or NULLs."""
     table: dict[str, dict[str, str]] = {}
     for s, k, c in synonym_rows(mapping):
         table.setdefault(s, {})[k] = c
 
-    def match(statement: pd.Series, key: pd.Series) -> pd.Series:
+    def match(statement: pd.Series, key: pd.Series) -> pd.DataFrame:
         out = []
         for s, k in zip(statement, key):
             known = table.get(s, {})
             best = difflib.get_close_matches(k, known, n=1, cutoff=cutoff)
-            out.append(known[best[0]] if best else None)
-        return pd.Series(out, dtype="object")
+            out.append((known[best[0]], difflib.SequenceMatcher(None, best[0], k).ratio()) if best else (None, None))
+        return pd.DataFrame(out, columns=["canonical", "ratio"]).astype({"canonical": "object", "ratio": "float64"})
 
-    match.__annotations__ = {"statement": pd.Series, "key": pd.Series, "return": pd.Series}
-    return F.pandas_udf(match, "string")
+    match.__annotations__ = {"statement": pd.Series, "key": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(match, "canonical string, ratio double")
 
 
 def label_map(long: DataFrame, cutoff: float = 0.8, suggest: float = 0.6, mapping=None) -> DataFrame:
@@ -92,16 +92,17 @@ def label_map(long: DataFrame, cutoff: float = 0.8, suggest: float = 0.6, mappin
     Works on the distinct labels; unmatched labels keep their own name.
     """
     labels = long.select("statement", "line_item").distinct().withColumn("key", fold(F.col("line_item")))
-    exact = labels.join(F.broadcast(synonym_table(long.sparkSession, mapping)), ["statement", "key"], "left")
+    exact = labels.join(synonym_table(long.sparkSession, mapping), ["statement", "key"], "left")
     known = exact.where(F.col("canonical").isNotNull()).withColumns(
         {"how": F.lit("exact"), "suggestion": F.lit(None).cast("string")}
     )
-    rest = exact.where(F.col("canonical").isNull()).withColumn("_f", closest(cutoff, mapping)("statement", "key"))
+    rest = exact.where(F.col("canonical").isNull()).withColumn("_f", closest(min(cutoff, suggest), mapping)("statement", "key"))
+    fuzzy = F.coalesce(F.col("_f.ratio") >= cutoff, F.lit(False))
     rest = rest.select(
         "statement", "key", "line_item",
-        F.coalesce("_f", "line_item").alias("canonical"),
-        F.when(F.col("_f").isNotNull(), "fuzzy").otherwise("unmapped").alias("how"),
-        F.when(F.col("_f").isNull(), closest(suggest, mapping)("statement", "key")).alias("suggestion"),
+        F.when(fuzzy, F.col("_f.canonical")).otherwise(F.col("line_item")).alias("canonical"),
+        F.when(fuzzy, "fuzzy").otherwise("unmapped").alias("how"),
+        F.when(~fuzzy & (F.col("_f.ratio") >= suggest), F.col("_f.canonical")).alias("suggestion"),
     )
     return known.select(*rest.columns).unionByName(rest).drop("key")
 
