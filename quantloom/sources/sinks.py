@@ -24,8 +24,14 @@ def export_view(df: DataFrame, **constants: str) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error", **constants: str) -> None:
-    export_view(df, **constants).write.mode(mode).option("header", True).csv(path)
+def _in_order(df: DataFrame, order_by: list[str] | None) -> DataFrame:
+    """Rows in order within and across the files (a range shuffle); untouched without keys."""
+    return df.orderBy(*order_by) if order_by else df
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error", order_by: list[str] | None = None, **constants: str) -> None:
+    """``order_by``: sort keys, compared as the values they are, not as the exported text (a chain: expiry, strike)."""
+    export_view(_in_order(df, order_by), **constants).write.mode(mode).option("header", True).csv(path)
 
 
 def as_json(df: DataFrame, out: str = "report") -> DataFrame:
@@ -33,8 +39,8 @@ def as_json(df: DataFrame, out: str = "report") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(out))
 
 
-def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "error", order_by: list[str] | None = None) -> None:
+    _in_order(df, order_by).write.mode(mode).json(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error", partition_by: list[str] | None = None) -> None:

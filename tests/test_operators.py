@@ -372,6 +372,15 @@ def test_sources_fall_back_in_order(spark):
         readers.period_start("soon", DAY)
 
 
+def test_sorted_sink(spark, tmp_path):
+    rows = [(f"1998-0{1 + i % 3}-01", float(100 - i), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "expiry string, strike double, volume int").repartition(7)
+    sinks.write_csv(df, str(tmp_path / "sorted"), order_by=["expiry", "strike"])
+    parts = sorted((tmp_path / "sorted").glob("part-*"))
+    lines = [line.split(",") for p in parts for line in p.read_text().splitlines()[1:]]
+    assert [(e, float(s)) for e, s, _ in lines] == sorted((e, s) for e, s, _ in rows)
+
+
 def test_round_trip_through_files(spark, tmp_path):
     df = spark.createDataFrame([("A", DAY, 1.23456789, {"rsi": .5})], "ticker string, expiry date, score double, details map<string,double>")
     sinks.write_csv(df, str(tmp_path / "c"), strategy="Long Calls")
