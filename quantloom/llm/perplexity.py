@@ -15,16 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import textscan as scan
+from quantloom.llm.rawfiles import opened
 from quantloom.llm.shared import stored
 
 ORDER = 5
-#: n-grams that make up a smaller share of all bytes than this are left to back-off. At most 1 / KEEP_SHARE n-grams of each
-#: order can reach the share, whatever the input: that bounds the broadcast model (about 120 MB at worst).
-KEEP_SHARE = 1e-6
+#: n-grams that make up a smaller share of all bytes than this are left to back-off: none, whatever the size of the input.
+KEEP_SHARE = 0.0
+#: Bytes of text whose distinct n-grams a task looks up together; the table is read once for each so many.
+CHUNK = 32 << 20
 #: Half-widths of the accepted band, in scaled median absolute deviations of the language.
 LOWER, UPPER = 8.0, 9.0
 #: A text of n bytes has its deviation divided by sqrt(1 + SHORT / n): short texts vary more.
@@ -159,7 +162,7 @@ class Model:
 
     @staticmethod
     def load(table: DataFrame, order: int = ORDER) -> Model:
-        """The pruned model is bounded (see KEEP_SHARE), so the driver may hold and broadcast it; it comes as Arrow columns."""
+        """For small models: the driver holds it. Whole inputs are scored by `log_probs` and `measured` instead."""
         rows = table.toArrow()
         kinds = rows.group_by(["kind", "lang", "n"]).aggregate([]).to_pylist()
         arrays = {}
@@ -189,26 +192,72 @@ class Model:
 # --- scoring ------------------------------------------------------------------------------------------------------------
 
 
-def measured(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """Base measures, scored bytes and mean negative log-probability a byte of every document, with the `carry` columns."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def log_probs(grams: DataFrame, model: DataFrame, name: str, order: int = ORDER) -> DataFrame:
+    """(lang, gram, `name`): natural log-probability of the last byte of each n-gram of `grams` (lang, gram) by a `kneser_ney` table."""
+    part = lambda kind, n: model.where((F.col("kind") == kind) & (F.col("n") == n)).select("lang", "key", F.col("value").alias(kind))
+    p = None
+    for n in range(1, order + 1):
+        keys = grams.select("lang", F.expr(f"gram & (shiftleft(1L, {8 * n}) - 1)").alias("gram")) if n < order else grams.select("lang", "gram")
+        rows = keys.distinct().withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("rest", F.expr(f"gram & (shiftleft(1L, {8 * n - 8}) - 1)"))
+        rows = rows.join(part("gram", n).toDF("lang", "gram", "own"), ["lang", "gram"], "left")
+        rows = rows.join(part("context", n).toDF("lang", "context", "back"), ["lang", "context"], "left")
+        below = F.lit(1 / 256)
+        if p is not None:
+            rows, below = rows.join(p.toDF("lang", "rest", "below"), ["lang", "rest"]), F.col("below")
+        p = rows.select("lang", "gram", (F.coalesce("back", F.lit(1.0)) * below + F.coalesce("own", F.lit(0.0))).alias("p"))
+    return p.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias(name))
+
+
+def measured(docs: DataFrame, table: DataFrame, *carry: str) -> DataFrame:
+    """Base measures, scored bytes and mean negative log-probabilities a byte of every document, with the `carry` columns.
+
+    `table` is stored and has (lang, gram, all, good) for every n-gram of `docs`. No process holds it whole: a task gathers the
+    distinct n-grams of up to CHUNK bytes of text and then picks theirs while it reads the table's files batch by batch.
+    """
+    files = table.inputFiles()
     kept = [docs.schema[c] for c in carry]
 
-    def score(batches):
-        for batch in (p for b in batches for p in scan.portions(b)):
+    def flush(held: list, codes: dict[str, int]):
+        keys = np.unique(np.concatenate([k for _, k, _, _ in held]))
+        value = np.full((2, len(keys)), np.nan, np.float32)
+        for file in files if len(keys) else []:
+            with opened(file) as source:
+                for rows in pq.ParquetFile(source).iter_batches(1 << 19, columns=["lang", "gram", "all", "good"]):
+                    langs = rows.column("lang").dictionary_encode()
+                    code = np.array([codes.get(lang, -1) for lang in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()]
+                    key = (code.astype(np.uint64) << np.uint64(8 * ORDER)) | rows.column("gram").to_numpy().astype(np.uint64)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    mine = (keys[at] == key) & (code >= 0)
+                    for j, c in enumerate(("all", "good")):
+                        value[j, at[mine]] = rows.column(c).to_numpy()[mine]
+        if np.isnan(value).any():
+            raise ValueError("the texts changed since their n-grams were counted")
+        for batch, own, where, n_bytes in held:
+            text = np.repeat(np.arange(len(n_bytes)), n_bytes)
+            at = np.searchsorted(keys, own)
+            nats = [np.bincount(text, weights=-v[at][where].astype(np.float64), minlength=len(n_bytes)) / np.maximum(n_bytes, 1) for v in value]
             data, offsets = scan.text_bytes(batch.column("text"))
-            size = len(offsets) - 1
-            loss, n_bytes = np.zeros(size), np.zeros(size, np.int64)
-            for lang, grams, text in _by_lang(batch, shared.value.order):
-                if len(grams):
-                    once, where = np.unique(grams, return_inverse=True)
-                    loss += np.bincount(text, weights=-shared.value.log_prob(lang, once)[where], minlength=size)
-                    n_bytes += np.bincount(text, minlength=size)
             out = {c: batch.column(c) for c in carry} | {"lang": batch.column("lang")} | _measures(data, offsets)
-            yield pa.RecordBatch.from_pydict(out | {"n_bytes": n_bytes, "nats": loss / np.maximum(n_bytes, 1)})
+            yield pa.RecordBatch.from_pydict(out | {"n_bytes": n_bytes, "nats": nats[0], "good_nats": nats[1]})
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang string", "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "n_bytes long", "nats double"])
+    def score(batches):
+        codes: dict[str, int] = {}
+        held, size = [], 0
+        for batch in (p for b in batches for p in scan.portions(b)):
+            langs = batch.column("lang").dictionary_encode()
+            code = np.array([codes.setdefault(lang, len(codes)) for lang in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+            data, offsets = scan.text_bytes(batch.column("text"))
+            grams, text = scan.byte_grams(data, offsets, ORDER)
+            own, where = np.unique(grams | (code[text] << np.uint64(8 * ORDER)), return_inverse=True)
+            held.append((batch, own, where.astype(np.int32), np.bincount(text, minlength=batch.num_rows).astype(np.int64)))
+            size += len(data)
+            if size > CHUNK:
+                yield from flush(held, codes)
+                held, size = [], 0
+        if held:
+            yield from flush(held, codes)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang string", "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "n_bytes long", "nats double", "good_nats double"])
     texts = docs.select(*carry, F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")
     return texts.mapInArrow(score, schema)
 
@@ -222,8 +271,21 @@ def bands(scores: DataFrame) -> DataFrame:
     return spread.select("lang", "middle", F.greatest(F.col("spread") * 1.4826, F.lit(LEAST_SPREAD)).alias("spread"))
 
 
-def train(docs: DataFrame) -> Model:
-    return Model.load(stored(kneser_ney(stored(count_grams(docs), "grams")), "model"))
+def train(docs: DataFrame) -> DataFrame:
+    """Stored (lang, gram, all, good): log-probability of every n-gram of `docs`, by the model of all documents.
+
+    `good` is the same by the model of the documents where the column `trusted` holds, and as `all` without such a column.
+    """
+    if "trusted" not in docs.columns:
+        counts = stored(count_grams(docs), "grams")
+        return stored(log_probs(counts, stored(kneser_ney(counts), "model"), "all").withColumn("good", F.col("all")), "table")
+    tagged = F.concat(F.when(F.col("trusted"), "+").otherwise("-"), F.coalesce(F.col("lang"), F.lit("")))
+    both = stored(count_grams(docs.select(tagged.alias("lang"), "text")), "grams")
+    lang = F.expr("substr(lang, 2)").alias("lang")
+    counts = stored(both.groupBy(lang, "gram").agg(F.sum("n").alias("n")), "all-grams")
+    good = both.where(F.col("lang").startswith("+")).select(lang, "gram", "n")
+    table = log_probs(counts, stored(kneser_ney(counts), "model"), "all")
+    return stored(table.join(log_probs(counts, stored(kneser_ney(good), "good-model"), "good"), ["lang", "gram"]), "table")
 
 
 def judge(docs: DataFrame, *carry: str, lower: float = LOWER, upper: float = UPPER) -> DataFrame:

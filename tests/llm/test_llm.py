@@ -123,6 +123,16 @@ def test_quality_rules_edges_and_clean_documents(spark):
     assert good > 0.97
 
 
+def test_rare_ngrams_of_a_small_language_count_beside_a_large_one(spark):
+    texts = ["abcd efgh " * 300_000, "seltene worte stehen hier nur einmal", "andere worte stehen dort einmal"]
+    docs = make_docs(spark, texts, langs=["en", "de", "de"])
+    got = {r.doc_id: r.perplexity for r in perplexity.judge(docs, "doc_id").collect()}
+    model = perplexity.Model.load(perplexity.kneser_ney(perplexity.count_grams(docs), keep_share=0.0))
+    for i in (1, 2):
+        grams, _ = scan.byte_grams(*scan.text_bytes(pa.array([texts[i]])), perplexity.ORDER)
+        assert abs(got[i] / np.exp(-model.log_prob("de", grams).mean()) - 1) < 1e-3 and got[i] < 20
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------------------
 
 
