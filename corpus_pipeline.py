@@ -16,8 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their language's perplexity band keep."""
-    bad = perplexity.judge(docs.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash").where(~F.col("kept"))
+    """Documents that the base rules, their language's perplexity band and its bound on excess over good documents keep."""
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    bad = perplexity.judge(hashed, "doc_id", "text_hash", labels=read(spark, sf_dir, "labels")).where(~F.col("kept"))
     bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("lang").alias("bad_lang")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("bad_hash"))
     return docs.join(bad, same & (F.coalesce(docs["lang"], F.lit("")) == F.col("bad_lang")), "left_anti").select(*COLUMNS)

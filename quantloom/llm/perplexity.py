@@ -1,7 +1,8 @@
 """Quality rules with an n-gram language model: documents of odd perplexity go.
 
 `base_measures` counts what the plain rules need, `count_grams` / `kneser_ney` build one interpolated modified Kneser-Ney
-model of byte n-grams per language from counts over all documents, and `judge` adds the verdict by language-specific bands.
+model of byte n-grams per language from counts over all documents, and `judge` adds the verdict by language-specific bands and,
+where quality labels are given, by how much harder a document is for a model of the documents labelled good.
 Byte n-grams keep the set of types small in every alphabet, so one model serves words never seen before.
 
 Null texts count as empty, a null language is a language of its own, repeated rows are counted and judged one by one, an
@@ -16,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import textscan as scan
 from quantloom.llm.rawfiles import opened
-from quantloom.llm.shared import stored
+from quantloom.llm.shared import fold, stored
 
 ORDER = 5
 #: n-grams that make up a smaller share of all bytes than this are left to back-off: none, whatever the size of the input.
@@ -34,6 +35,8 @@ LOWER, UPPER = 8.0, 9.0
 SHORT = 400.0
 #: The scaled deviation counts as at least this many nats a byte, so that a few equal documents make no zero-width band.
 LEAST_SPREAD = 0.01
+#: Bounds of the excess over the good documents' model: steps in nats a byte, and labels of each kind that a language needs.
+STEP, LEAST_LABELS = 0.02, 10
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -288,14 +291,45 @@ def train(docs: DataFrame) -> DataFrame:
     return stored(table.join(log_probs(counts, stored(kneser_ney(good), "good-model"), "good"), ["lang", "gram"]), "table")
 
 
-def judge(docs: DataFrame, *carry: str, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
+def bounds(scores: DataFrame) -> DataFrame:
+    """(lang, bound): the excess that best parts labelled documents of low and of good quality, among those in `learned` that pass
+    the base rules. A language with fewer than LEAST_LABELS of either takes the bound of all languages together, if there is one.
+    """
+    rows = scores.where(F.col("learned") & F.col("quality").isNotNull() & ~base_failed())
+    rows = rows.select(F.explode(F.array(F.struct(F.lit(False).alias("any"), "lang"), F.struct(F.lit(True).alias("any"), F.lit("").alias("lang")))).alias("of"), (F.col("quality") == 1).alias("fine"), F.floor((F.col("good_nats") - F.col("nats")) / STEP).cast("long").alias("bin"))
+    steps = rows.groupBy("of", "bin").agg(F.count_if("fine").alias("fine"), F.count_if(~F.col("fine")).alias("poor"))
+    whole, upto = Window.partitionBy("of"), Window.partitionBy("of").orderBy("bin")
+    steps = steps.select("of", "bin", F.sum("fine").over(whole).alias("all_fine"), F.sum("poor").over(whole).alias("all_poor"), F.sum("fine").over(upto).alias("fine"), F.sum("poor").over(upto).alias("poor"), F.lead("bin").over(upto).alias("next"))
+    steps = steps.where((F.col("all_fine") >= LEAST_LABELS) & (F.col("all_poor") >= LEAST_LABELS))
+    # the geometric mean of the gap to the next document; wrong rejections and wrong acceptances cost their shares of their classes
+    error = 1 - F.col("fine") / F.col("all_fine") + F.col("poor") / F.col("all_poor")
+    edge = F.greatest(F.col("bin") + 1, F.lit(1))
+    best = steps.groupBy("of").agg(F.min(F.struct(error.alias("error"), (F.sqrt(edge * F.greatest(F.coalesce("next", edge), edge)) * STEP).alias("bound")))["bound"].alias("bound"))
+    pooled = best.where("of.any").agg(F.max("bound").alias("pooled"))  # one row, also of none
+    own = best.where("not of.any").select("of.lang", "bound")
+    return scores.select("lang").distinct().join(own, "lang", "left").crossJoin(F.broadcast(pooled)).select("lang", F.coalesce("bound", "pooled").alias("bound"))
+
+
+def judge(docs: DataFrame, *carry: str, lower: float = LOWER, upper: float = UPPER, labels: DataFrame | None = None) -> DataFrame:
     """Measures and verdict of every document: `base_failed`, `perplexity` (a byte), `deviation` and `kept`.
 
     Judged by a model of these same documents. A document that fails the base rules is not kept; any other is kept while its
-    deviation stays within [-lower, upper].
+    deviation stays within [-lower, upper]. Junk that is frequent in the documents is no news to that model. With `labels`
+    (doc_id, quality), a second model knows only documents labelled good, and a document that is harder for it than for the
+    model of all by more than its language's bound is not kept either. Fold 0 of 5 of the ids is never learned from; fold 1
+    gives the bounds, the others the model.
     """
-    scores = stored(measured(docs, train(docs), *carry), "scores")
+    if labels is not None:
+        marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        docs = docs.drop("quality").join(marks, "doc_id", "left")
+        of = fold("doc_id", 5)
+        docs = docs.withColumn("trusted", F.coalesce((F.col("quality") == 1) & (of > 1), F.lit(False))).withColumn("learned", of == 1)
+    extra = () if labels is None else ("quality", "learned")
+    scores = stored(measured(docs, train(docs), *dict.fromkeys([*carry, *extra])), "scores")
     z = (F.col("nats") - F.col("middle")) / (F.col("spread") * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("n_bytes"), F.lit(1))))
     out = scores.join(bands(scores), "lang", "left").withColumn("base_failed", base_failed()).withColumn("perplexity", F.exp("nats")).withColumn("deviation", z)
     odd = F.coalesce((z < -lower) | (z > upper), F.lit(False))
+    if labels is not None:
+        out = out.join(F.broadcast(bounds(scores)), "lang", "left")
+        odd = odd | F.coalesce(F.col("good_nats") - F.col("nats") > F.col("bound"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~odd)

@@ -48,7 +48,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = perplexity.judge(read(spark, sf_dir, "documents"), "doc_id")
+    judged = perplexity.judge(read(spark, sf_dir, "documents"), "doc_id", labels=read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "deviation")
 
 

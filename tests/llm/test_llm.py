@@ -133,6 +133,15 @@ def test_rare_ngrams_of_a_small_language_count_beside_a_large_one(spark):
         assert abs(got[i] / np.exp(-model.log_prob("de", grams).mean()) - 1) < 1e-3 and got[i] < 20
 
 
+def test_quality_rules_reject_held_out_junk_that_is_frequent(spark):
+    docs = spark.read.parquet(f"{SMALL}/../sf0.1/documents.parquet")
+    judged = queries.op5_perplexity(spark, f"{SMALL}/../sf0.1").join(docs.select("doc_id", "lang"), "doc_id")
+    labels = spark.read.parquet(f"{SMALL}/../sf0.1/labels.parquet").where(fold("doc_id", 5) == 0)
+    held = judged.join(labels, "doc_id").where("not base_failed").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    share = lambda quality: sum(r.kept * r.n for r in held if r.quality == quality) / sum(r.n for r in held if r.quality == quality)
+    assert share(1) > 0.97 and share(0) < 0.2
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------------------
 
 
