@@ -31,7 +31,7 @@ LEAST_TEXTS, LEAST_ODDS = 4, 4.0
 #: Suggested entries are at most so many for each kind, the strongest first; this bounds what is broadcast.
 MOST_ENTRIES = 20_000
 #: Hashed features of the classifier.
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 
 #: Given lexicons (fixed values): common insults.
 LEXICONS = {
@@ -245,7 +245,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 10, rate: float = 0.5, shrink: float = 2e-3) -> Classifier:
+def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20, rate: float = 0.5, shrink: float = 2e-3) -> Classifier:
     """Logistic regression on the posterior labels of the sample: distributed gradients, summed by Spark, with AdaGrad steps.
 
     Proximal steps drop features that do not pay for themselves; each round is one Spark job over the bounded sample.
