@@ -2,7 +2,8 @@
 
 Many voters (given lexicons, patterns, and lexicons of words and word stems that the labelled rows suggest) vote on every
 document. A generative label model estimates each voter's accuracy in both classes and the voters' correlations, and turns
-vote patterns into posterior labels. A linear classifier over words, stems and votes learns those posteriors and scores all.
+vote patterns into posterior labels. A linear classifier over words, stems and votes learns those posteriors, with the labels
+as further evidence, and scores all.
 
 Null texts count as empty and get the score of an empty text; null or repeated ids and further columns do no harm; without
 any labelled row, the given lexicons and patterns alone carry the label model. An empty table gives an empty result.
@@ -23,11 +24,18 @@ from quantloom.llm.shared import hash_share, stored
 #: At most about so many labelled rows suggest lexicon entries and train the classifier (a hash sample).
 TRAIN_ROWS = 20_000
 #: Word stems are the first so many bytes of a lower-cased word; the last kind is the whole word.
-STEMS = (4, 5, 6, None)
+STEMS = (3, 4, 5, 6, 7, None)
 #: Suggested entries go to so many voters for each kind.
 GROUPS = 4
-#: An entry is suggested when so many distinct toxic texts hold it and its log-odds are at least this.
-LEAST_TEXTS, LEAST_ODDS = 4, 4.0
+#: How often a text must hold an entry: each entry takes the one of these numbers that tells most.
+TIMES = (1, 2, 3, 5)
+#: An entry is suggested when so many distinct toxic texts hold it so often and its log-odds are at least this, or are at least
+#: SURE_ODDS when one standard error is taken off.
+LEAST_TEXTS, LEAST_ODDS, SURE_ODDS = 4, 4.0, 3.0
+#: A word or stem that stands so often in a text is another feature of the classifier.
+OFTEN = 3
+#: Log-odds that a row's own label adds to its posterior when the classifier is fitted.
+LABEL_ODDS = 4.0
 #: Suggested entries are at most so many for each kind, the strongest first; this bounds what is broadcast.
 MOST_ENTRIES = 20_000
 #: Hashed features of the classifier.
@@ -62,10 +70,10 @@ def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np
     return [scan.segment_hash(blank, starts, ends, most) ^ _salt(k) for k, most in enumerate(STEMS)], text
 
 
-def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each hash once for each text."""
-    _, first = np.unique(scan.mixed(hashes ^ scan.mixed(text.astype(np.uint64) + np.uint64(1))), return_index=True)
-    return hashes[first], text[first]
+def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once for each text, and how often it stands there."""
+    _, first, times = np.unique(scan.mixed(hashes ^ scan.mixed(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+    return hashes[first], text[first], times
 
 
 def _given() -> list[np.ndarray]:
@@ -84,9 +92,9 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Voters:
-    """Lexicon voters (sorted hashes; kind of entry for each) followed by pattern voters."""
+    """Lexicon voters (kind of entry, sorted hashes, how often a text must hold each) followed by pattern voters."""
 
-    lexicons: list[tuple[int, np.ndarray]]
+    lexicons: list[tuple[int, np.ndarray, np.ndarray]]
 
     PATTERNS = 3
 
@@ -98,8 +106,11 @@ class Voters:
         kinds, text = found
         n = len(offsets) - 1
         out = np.zeros((n, len(self)), bool)
-        for j, (kind, keys) in enumerate(self.lexicons):
-            out[text[_member(keys, kinds[kind])], j] = True
+        for j, (kind, keys, least) in enumerate(self.lexicons):
+            mine = _member(keys, kinds[kind])
+            which, times = np.unique(text[mine] * len(keys) + np.searchsorted(keys, kinds[kind][mine]), return_counts=True)
+            if len(which):
+                out[which[times >= least[which % len(keys)]] // len(keys), j] = True
         size = np.maximum(np.diff(offsets), 1)
         letters = np.maximum(scan.per_text(_LETTER[data], offsets), 1)
         out[:, -3] = scan.per_text(_SHOUT[data], offsets) / size > 0.02
@@ -118,22 +129,30 @@ def suggest(sample: DataFrame) -> Voters:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             kinds, text = entries(data, offsets)
             for kind, hashes in enumerate(kinds):
-                keys, of = _distinct(hashes, text)
+                keys, of, times = _distinct(hashes, text)
                 keys, where = np.unique(keys, return_inverse=True)
-                bad = np.bincount(where, weights=toxic[of], minlength=len(keys)).astype(np.int64)
-                n = np.bincount(where, minlength=len(keys))
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(keys), pa.int32()), "key": keys.astype(np.int64), "bad": bad, "good": n - bad})
-
-    counts = sample.select("text", "toxic").mapInArrow(partial, "kind int, key long, bad long, good long").groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+                for least in TIMES:
+                    often = times >= least
+                    n = np.bincount(where[often], minlength=len(keys))
+                    bad = np.bincount(where[often], weights=toxic[of[often]], minlength=len(keys)).astype(np.int64)
+                    held = n > 0
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * held.sum(), pa.int32()), "least": pa.array([least] * held.sum(), pa.int32()), "key": keys[held].astype(np.int64), "bad": bad[held], "good": (n - bad)[held]})
+
+    counts = sample.select("text", "toxic").mapInArrow(partial, "kind int, least int, key long, bad long, good long").groupBy("kind", "key", "least").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     size = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("all_bad"), F.count(F.lit(1)).alias("size")).first()
     all_bad, all_good = size.all_bad, size.size - size.all_bad
     odds = F.log((F.col("bad") + 0.5) / (all_bad + 1)) - F.log((F.col("good") + 0.5) / (all_good + 1))
-    strong = counts.withColumn("odds", odds).where((F.col("bad") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
-    lexicons = [(len(STEMS) - 1, keys) for keys in _given()]
+    sure = odds - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    strong = counts.withColumn("sure", sure).where((F.col("bad") >= LEAST_TEXTS) & ((odds >= LEAST_ODDS) | (F.col("sure") >= SURE_ODDS)))
+    strong = stored(strong.groupBy("kind", "key").agg(F.max(F.struct("sure", (-F.col("least")).alias("least"))).alias("best")).select("kind", "key", "best.*"), "entries")
+    lexicons = [(len(STEMS) - 1, keys, np.ones(len(keys), np.int64)) for keys in _given()]
     for kind in range(len(STEMS)):
-        keys = strong.where(F.col("kind") == kind).orderBy(F.desc("odds"), "key").limit(MOST_ENTRIES).select("key").toArrow().column("key").to_numpy().astype(np.uint64)
-        group = scan.mixed(keys) % np.uint64(GROUPS)
-        lexicons += [(kind, np.sort(keys[group == g])) for g in range(GROUPS)]
+        got = strong.where(F.col("kind") == kind).orderBy(F.desc("sure"), "key").limit(MOST_ENTRIES).select("key", "least").toArrow()
+        keys, least = got.column("key").to_numpy().astype(np.uint64), -got.column("least").to_numpy().astype(np.int64)
+        group, by_key = scan.mixed(keys) % np.uint64(GROUPS), np.argsort(keys)
+        for g in range(GROUPS):
+            own = by_key[group[by_key] == g]
+            lexicons.append((kind, keys[own], least[own]))
     return Voters(lexicons)
 
 
@@ -154,9 +173,10 @@ class LabelModel:
         yes, no = np.log(p[1] / p[0]), np.log((1 - p[1]) / (1 - p[0]))
         return float(np.log(self.share / (1 - self.share)) + no @ self.weight), (yes - no) * self.weight
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
+        """`more` is what is known besides the votes, in log-odds."""
         bias, add = self.linear()
-        return 1 / (1 + np.exp(-np.clip(bias + votes @ add, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(bias + votes @ add + more, -40, 40)))
 
 
 def fit_label_model(votes: np.ndarray, count: np.ndarray, start: np.ndarray, rounds: int = 40) -> LabelModel:
@@ -228,7 +248,8 @@ def _features(data: np.ndarray, offsets: np.ndarray, voters: Voters) -> tuple[np
     found = entries(data, offsets)
     votes = voters.votes(data, offsets, found)
     parts = [_distinct(hashes, found[1]) for hashes in found[0]]
-    keys, text = np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts])
+    parts += [(scan.mixed(k[n >= OFTEN]), t[n >= OFTEN], n) for k, t, n in parts]
+    keys, text = np.concatenate([k for k, _, _ in parts]), np.concatenate([t for _, t, _ in parts])
     return votes, (keys % np.uint64(FEATURES)).astype(np.int64), text
 
 
@@ -257,12 +278,13 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
         for batch in (p for b in batches for p in scan.portions(b)):
             data, offsets = scan.text_bytes(batch.column("text"))
             votes, feature, text = _features(data, offsets, tools.value[0])
+            own = LABEL_ODDS * (2.0 * batch.column("toxic").to_numpy(zero_copy_only=False) - 1)
             order = np.argsort(text, kind="stable")
             ends = np.cumsum(np.bincount(text, minlength=len(offsets) - 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(feature[order].astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"feature": lists, "votes": _bits(votes), "label": tools.value[1].posterior(votes.astype(float))})
+            yield pa.RecordBatch.from_pydict({"feature": lists, "votes": _bits(votes), "label": tools.value[1].posterior(votes.astype(float), own)})
 
-    rows = stored(sample.select("text").mapInArrow(encode, "feature array<int>, votes long, label double"), "features")
+    rows = stored(sample.select("text", "toxic").mapInArrow(encode, "feature array<int>, votes long, label double"), "features")
     size = max(rows.count(), 1)
     dims = FEATURES + len(voters) + 1
     model, square = np.zeros(dims), np.full(dims, 1e-4)  # so that rare features take small steps

@@ -168,6 +168,15 @@ def test_toxicity_held_out_and_edges(spark, vocabulary):
     assert toxicity.score(docs.limit(3), none, "doc_id").count() == 3
 
 
+def test_toxicity_held_out_recall_in_every_language(spark):
+    large = f"{SMALL}/../sf0.1"
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.op6_toxicity(spark, large).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = got.groupBy("lang", "toxic").agg(F.avg("predicted").alias("flagged"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.flagged > 0.7 for r in rows if r.toxic == 1) and len([r for r in rows if r.toxic == 1]) == 4, rows
+    assert all(r.flagged < 0.05 for r in rows if r.toxic == 0), rows
+
+
 def test_label_model_discounts_voters_that_repeat_each_other():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.3
