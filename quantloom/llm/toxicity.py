@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import textscan as scan
 from quantloom.llm.shared import hash_share, stored
 
-#: At most about so many labelled rows suggest lexicon entries and train the classifier (a hash sample).
+#: At most about so many labelled rows train the classifier (a hash sample); all of them suggest lexicon entries.
 TRAIN_ROWS = 20_000
 #: Word stems are the first so many bytes of a lower-cased word; the last kind is the whole word.
 STEMS = (3, 4, 5, 6, 7, None)
@@ -36,8 +36,6 @@ LEAST_TEXTS, LEAST_ODDS, SURE_ODDS = 4, 4.0, 3.0
 OFTEN = 3
 #: Log-odds that a row's own label adds to its posterior when the classifier is fitted.
 LABEL_ODDS = 4.0
-#: Suggested entries are at most so many for each kind, the strongest first; this bounds what is broadcast.
-MOST_ENTRIES = 20_000
 #: Hashed features of the classifier.
 FEATURES = 1 << 18
 
@@ -121,7 +119,7 @@ class Voters:
 
 
 def suggest(sample: DataFrame) -> Voters:
-    """Voters from the given lexicons and from entries over-represented in the sample's toxic texts (label column `toxic`)."""
+    """Voters from the given lexicons and from entries over-represented in the labelled toxic texts (label column `toxic`)."""
 
     def partial(batches):
         for batch in (p for b in batches for p in scan.portions(b)):
@@ -144,10 +142,10 @@ def suggest(sample: DataFrame) -> Voters:
     odds = F.log((F.col("bad") + 0.5) / (all_bad + 1)) - F.log((F.col("good") + 0.5) / (all_good + 1))
     sure = odds - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     strong = counts.withColumn("sure", sure).where((F.col("bad") >= LEAST_TEXTS) & ((odds >= LEAST_ODDS) | (F.col("sure") >= SURE_ODDS)))
-    strong = stored(strong.groupBy("kind", "key").agg(F.max(F.struct("sure", (-F.col("least")).alias("least"))).alias("best")).select("kind", "key", "best.*"), "entries")
+    strong = stored(strong.groupBy("kind", "key").agg(F.max(F.struct("sure", (-F.col("least")).alias("least")))["least"].alias("least")), "entries")
     lexicons = [(len(STEMS) - 1, keys, np.ones(len(keys), np.int64)) for keys in _given()]
     for kind in range(len(STEMS)):
-        got = strong.where(F.col("kind") == kind).orderBy(F.desc("sure"), "key").limit(MOST_ENTRIES).select("key", "least").toArrow()
+        got = strong.where(F.col("kind") == kind).select("key", "least").toArrow()
         keys, least = got.column("key").to_numpy().astype(np.uint64), -got.column("least").to_numpy().astype(np.int64)
         group, by_key = scan.mixed(keys) % np.uint64(GROUPS), np.argsort(keys)
         for g in range(GROUPS):
@@ -324,12 +322,11 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Classifier:
     """`labels` (doc_id, toxic) are read only for documents where `may_learn` (over doc_id) holds."""
     allowed = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, TRAIN_ROWS / max(allowed.count(), 1))
-    chosen = F.broadcast(allowed.where(hash_share(F.col("doc_id"), share)))  # about TRAIN_ROWS ids
-    sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "labelled")
-    voters = suggest(sample)
-    model = label_model(docs.where(may_learn).select("text"), sample, voters)
-    return fit(sample, voters, model)
+    known = stored(docs.select("doc_id", "text").join(allowed, "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "labelled")
+    voters = suggest(known)
+    model = label_model(docs.select("text"), known, voters)
+    share = min(1.0, TRAIN_ROWS / max(known.count(), 1))
+    return fit(known.where(hash_share(F.xxhash64("text"), share)), voters, model)
 
 
 def score(docs: DataFrame, model: Classifier, *carry: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import inspect
 import random
 import re
 from collections import Counter
@@ -177,6 +178,20 @@ def test_toxicity_held_out_recall_in_every_language(spark):
     assert all(r.flagged < 0.05 for r in rows if r.toxic == 0), rows
 
 
+def test_all_labelled_rows_suggest_entries(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 60)
+    rng = random.Random(8)
+    texts = [prose(rng, 20, vocabulary) + (" zorglubs" if i % 80 == 0 else "") for i in range(800)]
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(800)], "doc_id long, toxic int")
+    model = toxicity.train(make_docs(spark, texts), marks, F.lit(True))
+    word = toxicity.entries(*scan.text_bytes(pa.array(["zorglubs"])))[0][-1][0]
+    assert any(word in keys for _, keys, _ in model.voters.lexicons)
+
+
+def test_the_classifier_is_not_cut_to_save_memory():
+    assert toxicity.FEATURES >= 1 << 18 and inspect.signature(toxicity.fit).parameters["rounds"].default >= 20
+
+
 def test_label_model_discounts_voters_that_repeat_each_other():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.3
