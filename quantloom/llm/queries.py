@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import decontaminate, extract, jaccard, language, mixing, perplexity, reputation, tokencounts, toxicity, warc
+from quantloom.llm import bytepair, decontaminate, extract, jaccard, language, mixing, perplexity, reputation, tokencounts, toxicity, warc
 from quantloom.llm.shared import fold, new_path, read
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -80,5 +81,14 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_host_reputation, op3_warc, op4_language, op5_perplexity, op6_toxicity, op7_mixing, op8_extract, op9_token_counts, op10_jaccard)}
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens, decoded again; the file of ranks is read on the driver."""
+    vocabulary = bytepair.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = bytepair.encode(read(spark, sf_dir, "documents"), vocabulary, "doc_id")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    found = bytepair.decode(tokens, vocabulary, "doc_id", "ids")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_host_reputation, op3_warc, op4_language, op5_perplexity, op6_toxicity, op7_mixing, op8_extract, op9_token_counts, op10_jaccard, op11_byte_pairs)}
 ORACLES: dict[str, str] = {}
