@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bytepair, decontaminate, extract, jaccard, language, mixing, perplexity, reputation, tokencounts, toxicity, warc
+from quantloom.llm import bytepair, decontaminate, extract, jaccard, language, lexical, mixing, perplexity, reputation, spelling, tokencounts, toxicity, warc
 from quantloom.llm.shared import fold, new_path, read
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -90,5 +92,52 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_host_reputation, op3_warc, op4_language, op5_perplexity, op6_toxicity, op7_mixing, op8_extract, op9_token_counts, op10_jaccard, op11_byte_pairs)}
-ORACLES: dict[str, str] = {}
+def written_words(docs: DataFrame, least: int = 7) -> DataFrame:
+    """(word, n): runs of letters of at least `least` code points; by a hash of id and run, one in 31 lacks a letter."""
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z\u00C0-\u00FF]{{{least},}}"), F.lit(0))).alias("run"))
+    lower = F.translate("run", string.ascii_uppercase, string.ascii_lowercase)
+    runs = runs.select("id", F.when(F.col("run").rlike("[A-Z]"), lower).otherwise(F.col("run")).alias("run"))
+    drawn = runs.select("run", F.crc32(F.concat_ws(":", "id", "run").cast("binary")).alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.left("run", at), F.substr("run", at + 2))
+    words = drawn.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return words.where(F.char_length("word") >= least).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = written_words(read(spark, sf_dir, "documents")).where("n >= 2")
+    return spelling.group(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH doc_terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS run
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+doc_tf AS (
+  SELECT row, doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+  FROM doc_terms GROUP BY ALL),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM doc_tf GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM doc_tf, totals GROUP BY term, docs),
+item_terms AS (
+  SELECT item, item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS run
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+item_tf AS (
+  SELECT item, item_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS times
+  FROM item_terms GROUP BY ALL),
+scores AS (
+  SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM item_tf JOIN weights USING (term) JOIN doc_tf USING (term) JOIN lengths USING (row), totals
+  GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_host_reputation, op3_warc, op4_language, op5_perplexity, op6_toxicity, op7_mixing, op8_extract, op9_token_counts, op10_jaccard, op11_byte_pairs, op12_spelling, op13_lexical)}
+ORACLES: dict[str, str] = {"op13_lexical": OP13_SQL}
