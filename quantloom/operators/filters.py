@@ -149,6 +149,13 @@ def first_column(df: DataFrame, names: list[str], default=0.0) -> Column:
     return F.lit(default)
 
 
+def nested(value: Column, path: list[str], default=0.0) -> Column:
+    """What nested maps hold under a path of keys, else a constant."""
+    for key in path:
+        value = F.try_element_at(value, F.lit(key))
+    return F.coalesce(value, F.lit(default))
+
+
 def keyword_search(df: DataFrame, columns: list[str], words: list[str]) -> DataFrame:
     """Rows with any of the words, case-insensitively, in any of the columns (whole texts)."""
     hit = F.lit(False)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,9 +80,9 @@ def pearson(pairs: DataFrame) -> DataFrame:
 
 
 def _average_rank(value: str, w_part: list[str]) -> Column:
-    lower = F.rank().over(W.partitionBy(*w_part).orderBy(value))
-    ties = F.count("*").over(W.partitionBy(*w_part, value))
-    return lower + (ties - 1) / 2.0
+    """Ties share the mean of their ranks; rank and number of ties come from one sort."""
+    order = W.partitionBy(*w_part).orderBy(value)
+    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2.0
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
@@ -96,21 +97,30 @@ def _tie_sums(values: np.ndarray) -> tuple[float, float, float]:
     return float((t * (t - 1) / 2).sum()), float((t * (t - 1) * (t - 2)).sum()), float((t * (t - 1) * (2 * t + 5)).sum())
 
 
-def _concordance(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
-    """Concordant minus discordant pairs, in blocks of rows so memory stays linear."""
-    total = 0.0
-    for i in range(0, len(x), block):
-        dx = np.sign(x[i : i + block, None] - x[None, :])
-        dy = np.sign(y[i : i + block, None] - y[None, :])
-        total += float((dx * dy).sum())
-    return total / 2  # every pair was seen from both ends
+def _discordant(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs that x and y order in opposite ways: the inversions of y in the order of (x, y), counted while halves are merged."""
+    order = np.lexsort((y, x))
+    y = np.unique(y[order], return_inverse=True)[1].reshape(-1).astype(np.int64)
+    n, at, total, width = len(y), np.arange(len(y)), 0, 1
+    while width < n:
+        block = at // (2 * width)
+        second = (at // width) % 2 == 1
+        # both halves are in order, so the stable sort merges them; of equal values the first half's come first
+        place = np.argsort(block * n + y, kind="stable")
+        passed = np.concatenate(([0], np.cumsum(second[place])))
+        smaller = passed[:-1] - passed[block * 2 * width]
+        total += int(smaller[~second[place]].sum())
+        y, width = y[place], 2 * width
+    return total
 
 
 def _kendall_of(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
+    """Tau-b and its normal score in O(n log n)."""
     n = float(len(x))
-    s = _concordance(x, y)
     (n1, x2, x3), (n2, y2, y3) = _tie_sums(x), _tie_sums(y)
+    both = np.unique(np.stack([x, y]), axis=1, return_counts=True)[1].astype("float64")
     m = n * (n - 1)
+    s = m / 2 - n1 - n2 + float((both * (both - 1) / 2).sum()) - 2.0 * _discordant(x, y)
     scale = (m / 2 - n1) * (m / 2 - n2)
     var = (m * (2 * n + 5) - x3 - y3) / 18
     if n > 2:
@@ -127,8 +137,8 @@ def kendall(pairs: DataFrame) -> DataFrame:
     """Kendall tau-b and its normal score per pair.
 
     A pair's common days are one row per calendar day at most, so they fit an
-    array; numpy compares them inside the task that already holds the ticker.
-    No self join, no shuffle.
+    array; numpy counts their inversions inside the task that already holds the
+    ticker.  No self join, no shuffle.
     """
     # (x, y) has no NULLs, so both lists see the same rows in the same order
     days = pairs.groupBy(*PAIR).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
@@ -213,43 +223,103 @@ def regime_changes(rolling: DataFrame, window: int = 20, threshold: float = 0.3,
     )
 
 
-MAX_MATRIX = 64
+#: Members of a block of the correlation matrix, and slices of days that one pair of blocks is dealt over.
+BLOCK, SLICES = 128, 16
 
 
-def correlation_matrix(ret: DataFrame, members: list[str], ts: str = "dt") -> DataFrame:
-    """Pairwise-complete Pearson matrix of an explicit, small portfolio, in long form (a <= b).
+def _grid(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names in order, each name's block, and the days x names matrix of a task's returns (NaN where there is none)."""
+    names, code = np.unique(np.asarray(table.column("ticker").to_pylist(), dtype=object), return_inverse=True)
+    block = np.zeros(len(names), np.int64)
+    block[code] = table.column("block").to_numpy()
+    day, ret = table.column("day").to_numpy(), table.column("ret").to_numpy().astype("float64")
+    seen = ~np.isnan(day)
+    days, row = np.unique(day[seen], return_inverse=True)
+    grid = np.full((len(days), len(names)), np.nan)
+    grid[row, code[seen]] = ret[seen]
+    return names.tolist(), block, grid
+
+
+def _wanted(key: tuple, names: list[str], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs a <= b of a task: one member of either block, also where a slice of days knows only one of them."""
+    i, j = np.triu_indices(len(names))
+    low, high = key[0].as_py(), key[1].as_py()
+    keep = (np.minimum(block[i], block[j]) == low) & (np.maximum(block[i], block[j]) == high)
+    return i[keep], j[keep]
+
+
+def _moment_sums(key: tuple, table: pa.Table) -> pa.Table:
+    """Count and sums of the common days of each pair of a task."""
+    names, block, x = _grid(table)
+    i, j = _wanted(key, names, block)
+    seen = ~np.isnan(x)
+    x, m = np.where(seen, x, 0.0), seen.astype("float64")
+    grids = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
+    return pa.table({"a": pa.array([names[k] for k in i], pa.string()), "b": pa.array([names[k] for k in j], pa.string()), **{k: g[i, j] for k, g in grids.items()}})
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks."""
+    _, code, count = np.unique(x, return_inverse=True, return_counts=True)
+    last = np.cumsum(count)
+    return (last - (count - 1) / 2.0)[code.reshape(-1)]
+
+
+def _rank_correlation(method: str, x: np.ndarray, y: np.ndarray) -> float | None:
+    if len(x) < 2:
+        return None
+    if method == "kendall":
+        return _kendall_of(x, y)[0]
+    x, y = _ranks(x), _ranks(y)
+    x, y = x - x.mean(), y - y.mean()
+    spread = float((x * x).sum() * (y * y).sum()) ** 0.5
+    return float((x * y).sum()) / spread if spread > 0 else None
 
-    Members become columns (one row per day), every task reduces its days to the
-    members x members moment sums, and those are added up: no join, and what is
-    shuffled does not grow with the history.
-    """
-    if not 1 <= len(members) <= MAX_MATRIX:
-        raise ValueError(f"a portfolio matrix takes 1..{MAX_MATRIX} members, got {len(members)}")
-    names = sorted(members)
-    wide = ret.groupBy(ts).agg(
-        *[F.max(F.when(F.col("ticker") == m, F.col("ret"))).alias(f"c{i}") for i, m in enumerate(names)]
-    ).drop(ts)
-    iu, ju = np.triu_indices(len(names))
-
-    def moments(batches):
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan)
-            seen = ~np.isnan(x)
-            x, m = np.where(seen, x, 0.0), seen.astype("float64")
-            grids = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
-            yield pd.DataFrame({"i": iu, "j": ju, **{k: g[iu, ju] for k, g in grids.items()}})
 
+def correlation_matrix(ret: DataFrame, members: DataFrame, method: str = "pearson", ts: str = "dt", block: int | None = None) -> DataFrame:
+    """Pairwise-complete correlations of all members with each other: (a, b, r, n) with a <= b, for any number of members.
+
+    Members are dealt into blocks; a row of returns goes to every pair of blocks that its member's is in, so a task compares two
+    blocks.  Pearson's moments are matrix products over a slice of days and are added up; returns are taken relative to their
+    member's mean, which keeps the sums accurate.  Rank correlations need all common days of a pair, so their tasks are not
+    sliced; a block then has an eighth of the members.  Members without returns keep their rows, with n = 0 and a NULL r.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; choose from {tuple(METHODS)}")
+    sliced = method == "pearson"
+    block = block or (BLOCK if sliced else max(1, BLOCK // 8))
+    names = members.select("ticker").where(F.col("ticker").isNotNull()).distinct()
+    blocks = names.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    # one row; the number of blocks is a column, so nothing comes to the driver
+    names = names.crossJoin(F.broadcast(blocks)).withColumn("block", F.pmod(F.xxhash64("ticker"), F.col("blocks")).cast("long"))
+    known = ret.where(F.col("ret").isNotNull()).select("ticker", F.unix_date(ts).cast("double").alias("day"), F.col("ret").cast("double").alias("ret"))
+    same = F.min("ret") == F.max("ret")
+    centre = known.groupBy("ticker").agg(F.when(same, F.min("ret")).otherwise(F.avg("ret")).alias("centre"))
+    rows = names.join(known, "ticker").join(centre, "ticker").select("ticker", "block", "blocks", "day", (F.col("ret") - F.col("centre")).alias("ret"))
+    nothing = F.lit(None).cast("double")
+    rows = rows.unionByName(names.select("ticker", "block", "blocks", nothing.alias("day"), nothing.alias("ret")))
+    slice_ = F.pmod(F.coalesce("day", F.lit(0.0)).cast("long"), F.lit(SLICES if sliced else 1))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))
+    rows = rows.select("ticker", "block", "day", "ret", slice_.alias("slice"), other.alias("other"))
+    group = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "slice"]
+    if not sliced:
+
+        def whole(key: tuple, table: pa.Table) -> pa.Table:
+            found, of, x = _grid(table)
+            out = []
+            for i, j in zip(*_wanted(key, found, of)):
+                both = ~(np.isnan(x[:, i]) | np.isnan(x[:, j]))
+                out.append((found[i], found[j], _rank_correlation(method, x[both, i], x[both, j]), int(both.sum())))
+            return pa.Table.from_pylist([dict(zip(("a", "b", "r", "n"), o)) for o in out], pa.schema([("a", pa.string()), ("b", pa.string()), ("r", pa.float64()), ("n", pa.int64())]))
+
+        return rows.groupBy(*group).applyInArrow(whole, "a string, b string, r double, n long")
     sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    cells = wide.mapInPandas(moments, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
-    t = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    cells = rows.groupBy(*group).applyInArrow(_moment_sums, "a string, b string, " + ", ".join(f"{c} double" for c in sums))
+    t = cells.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
     n = F.col("n")
     spread = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
-    label = F.array(*[F.lit(m) for m in names])
-    return t.select(
-        F.element_at(label, F.col("i") + 1).alias("a"),
-        F.element_at(label, F.col("j") + 1).alias("b"),
-        F.when(n > 1, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"),
-    )
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))
+    return t.select("a", "b", F.when(n > 1, r).alias("r"), n.cast("bigint").alias("n"))
 
 
 def strongest_peer(correlations: DataFrame) -> DataFrame:
@@ -267,8 +337,34 @@ def peer_info(edges: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
+def judged_edges(incoming: DataFrame) -> DataFrame:
+    """Each incoming edge cleaned, with why it is rejected (NULL if it is not): a name that is none, a self reference, a repeat."""
+    t, p = F.upper(F.trim("ticker")), F.upper(F.trim("peer"))
+    counted = incoming.select(t.alias("ticker"), p.alias("peer")).groupBy("ticker", "peer").agg(F.count("*").alias("copies"))
+    valid = F.coalesce(valid_peer_symbol(F.col("ticker")) & valid_peer_symbol(F.col("peer")), F.lit(False))
+    reason = F.when(~valid, "malformed").when(F.col("peer") == F.col("ticker"), "self")
+    return counted.withColumn("reason", reason)
+
+
 def upsert_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace the peer lists of every ticker that has valid incoming edges; keep the others."""
-    new = clean_edges(incoming)
+    new = judged_edges(incoming).where("reason IS NULL").select("ticker", "peer")
     kept = current.join(new.select("ticker").distinct(), "ticker", "left_anti")
     return kept.select("ticker", "peer").unionByName(new)
+
+
+def upsert_report(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Per incoming ticker: edges accepted, earlier ones replaced (none if all new ones are rejected), and rejected by reason."""
+    judged = judged_edges(incoming)
+    good = F.col("reason").isNull()
+    new = judged.groupBy("ticker").agg(
+        F.count_if(good).alias("accepted"),
+        F.coalesce(F.sum(F.when(F.col("reason") == "malformed", F.col("copies"))), F.lit(0)).alias("malformed"),
+        F.coalesce(F.sum(F.when(F.col("reason") == "self", F.col("copies"))), F.lit(0)).alias("self_references"),
+        F.coalesce(F.sum(F.when(good, F.col("copies") - 1)), F.lit(0)).alias("repeated"),
+    )
+    old = current.groupBy("ticker").agg(F.count("*").alias("earlier"))
+    return new.join(old, "ticker", "left").select(
+        "ticker", "accepted", F.when(F.col("accepted") > 0, F.coalesce("earlier", F.lit(0))).otherwise(0).alias("replaced"),
+        "malformed", "self_references", "repeated", (F.col("malformed") + F.col("self_references") + F.col("repeated")).alias("rejected"),
+    )

@@ -7,63 +7,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: A group of more than this share of all rows is hot: there are fewer than 1 / HOT_SHARE of them, so their keys may be broadcast.
-HOT_SHARE = 1e-3
-#: A hot group's rows meet its sketch in so many tasks.
-SALTS = 64
-
-
-def _spread(rows: DataFrame, sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` joined with their group's sketch row; no hot group meets it in a single task."""
-    total = sketch.agg((F.sum("_n") * HOT_SHARE).alias("_least"))
-    hot = sketch.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_least")).select(*keys, F.lit(True).alias("_hot"))
-    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_hot")
-    right = sketch.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [*keys, "_salt"])
-
-
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                       accuracy: int = 10_000, extra: dict[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles ``{name: q}`` per group, plus ``n``; exact at any group size.
 
     ``extra`` aggregates over ``value`` (named by key) ride along in the sketch pass.
 
-    A mergeable sketch (rank error n/accuracy) first brackets every wanted order
-    statistic within 2n/accuracy ranks; groups under 2 x accuracy rows, for which
-    that slack is less than two ranks, are simply ordered.  Rows above the bracket are dropped, rows below it are
-    collapsed to one counted row on the map side, and only the distinct values
-    inside the bracket are ordered.  Nothing collects a group: the hottest task
-    sorts about n * 4/accuracy values.
+    A mergeable sketch gives values around every wanted rank, the nearest ones 2/accuracy of the group away and each next
+    one four times as far.  Of those on either side the nearest is taken whose rank, by the sketch's error bound of n/accuracy,
+    certainly lies beyond the wanted order statistics; where none does, as in every small group, that side stays open.
+    Rows above the bracket are dropped, rows below it are collapsed to one counted row on the map side, and only the
+    distinct values inside are ordered.  Nothing collects a group: the hottest task sorts about n * 4/accuracy values.
+    Each group has one sketch row, so a join that is not broadcast can be split on the rows' side where a group is hot.
     """
     extra = extra or {}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
+    steps = [2.0 / accuracy * 4**k for k in range(16) if 2.0 / accuracy * 4**k < 1]
     names = list(probs)
-    edges = [e for n in names for e in (max(0.0, probs[n] - slack), min(1.0, probs[n] + slack))]
+    below = {n: [probs[n] - s for s in steps if probs[n] - s > 0] for n in names}
+    above = {n: [probs[n] + s for s in steps if probs[n] + s < 1] for n in names}
+    edges = sorted({e for n in names for e in below[n] + above[n]}) or [0.5]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
         *[e.alias(f"_x_{n}") for n, e in extra.items()],
     )
-    big = F.col("_n") >= 2 * accuracy
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("name"),
-                    F.when(big & F.lit(probs[n] > slack), F.col("_e")[2 * i]).otherwise(float("-inf")).alias("lo"),
-                    F.when(big & F.lit(probs[n] < 1 - slack), F.col("_e")[2 * i + 1]).otherwise(float("inf")).alias("hi"),
-                    (F.lit(probs[n]) * (F.col("_n") - 1)).alias("h"),
-                )
-                for i, n in enumerate(names)
-            ]
-        )
-    ).alias("_w")
+
+    def nearest(candidates: list[float], safe, open_end: float) -> Column:
+        out = F.lit(open_end)
+        for e in reversed(candidates):  # the first candidate, the nearest, is tested first
+            out = F.when(safe(e), F.col("_e")[edges.index(e)]).otherwise(out)
+        return out
+
+    wanted = []
+    for name in names:
+        h = F.lit(probs[name]) * (F.col("_n") - 1)
+        # ranks from 1: the sketch's value at e has a rank between floor((e - 1/accuracy) n) and ceil((e + 1/accuracy) n)
+        lo = nearest(below[name], lambda e: F.lit(e + 1 / accuracy) * F.col("_n") <= F.floor(h), float("-inf"))  # noqa: B023
+        hi = nearest(above[name], lambda e: F.lit(e - 1 / accuracy) * F.col("_n") >= F.ceil(h) + 2, float("inf"))  # noqa: B023
+        wanted.append(F.struct(F.lit(name).alias("name"), lo.alias("lo"), hi.alias("hi"), h.alias("h")))
+    wanted = F.explode(F.array(*wanted)).alias("_w")
     carried = ["_n", *[f"_x_{n}" for n in extra]]
     near = (
-        _spread(rows, sketch, keys)
+        rows.join(sketch, keys)
         .select(*keys, "_v", "_n", *[f"_x_{n}" for n in extra], wanted)
         .where(F.col("_v") <= F.col("_w.hi"))
         .groupBy(

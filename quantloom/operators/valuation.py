@@ -152,7 +152,8 @@ def investment_rating(mos: Column) -> Column:
 
 
 def volatility_level(vol: Column) -> Column:
-    return ladder(vol, [(0.15, "Low"), (0.25, "Moderate"), (0.40, "High")], "Very High", "<")
+    """NULL without a price series."""
+    return F.when(vol.isNotNull(), ladder(vol, [(0.15, "Low"), (0.25, "Moderate"), (0.40, "High")], "Very High", "<"))
 
 
 def pct(c: Column) -> Column:

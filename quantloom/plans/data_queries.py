@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import difflib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.config import glossary
 from quantloom.config import options as cfg
 from quantloom.config import statements as stm
 from quantloom.functions.numeric import div
@@ -19,13 +21,16 @@ from quantloom.operators import quality as dq
 from quantloom.operators import report as rep
 from quantloom.operators import series as s
 from quantloom.operators import strategies as st
+from quantloom.operators import textindex as ti
 from quantloom.plans import fundamental_queries  # noqa: F401  (registers fund)
 from quantloom.plans import option_queries as oq
 from quantloom.plans import series_queries as sq
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import r, rcols, register, sql
+from quantloom.sources import bars
 from quantloom.sources import bindings as b
 from quantloom.sources import readers as rd
+from quantloom.sources.shared import version
 
 CAT = Catalog()
 AS_OF = b.AS_OF
@@ -64,12 +69,15 @@ def fundamentals_snapshot(spark, sf):
     return show(t.select("ticker", *FD.split(), "sector", "industry"), 4)
 
 
+def scanned(item: str) -> str:
+    return f"CASE WHEN {K} % 6 = 0 THEN 0 ELSE {item} END" if item == "operating_income" else item
+
+
 @CAT.add("statement_scan", sql("facts", f"""
-SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {r('total_revenue', 2)} AS total_revenue,
-       {r(f'CASE WHEN {K} % 6 = 0 THEN 0 ELSE operating_income END', 2)} AS operating_income, {r('total_assets', 2)} AS total_assets FROM facts"""))
+SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {", ".join(f"{r(scanned(i), 2)} AS {i}" for i in b.FACT_ITEMS)} FROM facts"""))
 def statement_scan(spark, sf):
     f = b.facts(spark, sf).withColumn("operating_income", F.when(k() % 6 != 0, F.col("operating_income")))
-    return show(rd.statement(f, ["total_revenue", "operating_income", "total_assets"]), 2)
+    return show(rd.statement(f, b.FACT_ITEMS), 2)
 
 
 @CAT.add("source_fallback", sql("fcst ratings", """, p AS (SELECT * FROM fcst WHERE num_analysts >= 14), q AS (SELECT ticker, 0.5 AS confidence, buy + hold AS num_analysts FROM ratings WHERE sell >= 10)
@@ -93,7 +101,7 @@ SELECT s.ticker, coalesce(CASE WHEN {K.replace('ticker', 's.ticker')} % 3 = 0 TH
 FROM spot s JOIN (SELECT ticker, max_by(close, dt) AS last_close FROM prices GROUP BY ticker) l ON l.ticker = s.ticker) x WHERE price > 0"""))
 def current_price(spark, sf):
     """Quotes with gaps: the first known one counts, a zero quote drops the ticker."""
-    px = b.prices(spark, sf)
+    px = bars.daily(spark, sf)
     last = px.groupBy("ticker").agg(F.max_by("close", "dt").alias("last_close"))
     t = b.spot(px).join(last, "ticker")
     p = rd.current_price(F.when(k() % 3 == 0, F.col("spot")), F.when(k() % 5 == 0, 0.0), F.when(k() % 7 == 0, F.col("spot") * 0.99), F.col("last_close"))
@@ -107,7 +115,7 @@ register("px1c", ("px1",), "SELECT ticker, count(*) AS n_bars FROM px1 GROUP BY
 SELECT s.ticker, {r('s.spot')} AS spot, c.n AS n_contracts, p.n_bars, p.n_bars AS n_common
 FROM spot s LEFT JOIN (SELECT ticker, count(*) AS n FROM chain GROUP BY ticker) c ON c.ticker = s.ticker LEFT JOIN px1c p ON p.ticker = s.ticker"""))
 def market_bundle(spark, sf):
-    px = b.prices(spark, sf, start=oq.YEAR_AGO, end=AS_OF)
+    px = bars.daily(spark, sf, start=oq.YEAR_AGO, end=AS_OF)
     return show(rd.market_bundle(b.option_chain(spark, sf), px, b.benchmark(px), b.raw_spot(spark, sf)))
 
 
@@ -126,7 +134,7 @@ FROM (SELECT concat('C', substr(ticker, 2)) AS ticker, * EXCLUDE (ticker) FROM m
 LEFT JOIN (SELECT ticker, pe_ratio, sector FROM fund) f ON f.ticker = m.ticker LEFT JOIN fnow n ON n.ticker = m.ticker""").replace("latest_price) * 1e6", "m.latest_price) * 1e6"))
 def ticker_bundle(spark, sf):
     """Latest price metrics, fundamentals and margins, one row per listed company."""
-    px = b.prices(spark, sf)
+    px = bars.daily(spark, sf)
     w = s.by_day()
     t = s.rsi_sma(px).withColumns({"ret": s.lagged_return("close", 1, w), "mom": s.lagged_return("close", 19, w)})
     m = t.groupBy("ticker").agg(
@@ -157,16 +165,10 @@ SELECT ticker, period_end, line_item, floor(value * 100 + 0.5) / 100 AS value FR
 SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, unnest([{", ".join(f"'{n}'" for n in ITEMS)}]) AS line_item,
        unnest([{", ".join(ITEMS.values())}]) AS value FROM facts) x WHERE value IS NOT NULL"""))
 def vendor_transpose(spark, sf):
-    """Items as rows and years as columns (the vendor's layout), turned back into facts: all items, all years of the orders."""
-    years = b.table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last")).first()
-    periods = [] if years.first is None else [f"{y}-12-31" for y in range(years.first, years.last + 1)]
-    f = b.facts(spark, sf).select("ticker", "period_end", *[F.col(c).cast("double").alias(n) for n, c in ITEMS.items()])
-    long = f.unpivot(["ticker", "period_end"], list(ITEMS), "line_item", "value")
-    long = long.withColumn("period", F.date_format("period_end", "yyyy-MM-dd"))
-    if not periods:
-        return show(long.select("ticker", "period_end", "line_item", "value"), 2)
-    vendor = long.groupBy("ticker", "line_item").pivot("period", periods).agg(F.first("value"))
-    back = nrm.from_vendor_layout(vendor, periods, "income").where(F.col("value").isNotNull())
+    """Items as rows with their periods beside each other (the vendor's layout), turned back into facts: all items and periods."""
+    f = b.facts(spark, sf).select("ticker", "period_end", *[F.col(c).alias(n) for n, c in ITEMS.items()])
+    vendor = nrm.to_vendor_layout(nrm.to_long(f, list(ITEMS), "all"))
+    back = nrm.from_vendor_layout(vendor, "all").where(F.col("value").isNotNull())
     return show(back.select("ticker", "period_end", "line_item", "value"), 2)
 
 
@@ -218,13 +220,115 @@ def statement_standardize_sum(spark, sf):
     return renamed(nrm.to_wide(nrm.standardize(dirty_items(spark, sf), mode="sum"), OUT, fill=0.0))
 
 
-@CAT.add("label_map", "\nUNION ALL\n".join(
-    f"SELECT * FROM (SELECT DISTINCT '{n}' AS line_item, '{c}' AS canonical, '{h}' AS how FROM orders)" for n, c, h in
-    [(n, {"net_income": "Net Income", "total_revenue": "Total Revenue", "operating_income": "Operating Income"}[c] if "Custom" not in n else n,
-      "fuzzy" if n in ("Net Incme", "Totl Revenue", "Operting Income") else "unmapped" if "Custom" in n else "exact") for c, ns in LABELS.items() for n in ns]
-    + [("Net Earnings", "Net Income", "exact")]))
+# canonical item -> column, of the statements whose labels only vary in spelling
+SHEETS = {
+    "balance": {
+        "Total Assets": "total_assets", "Total Current Assets": "total_current_assets", "Total Liabilities": "total_liabilities",
+        "Total Current Liabilities": "total_current_liabilities", "Long Term Debt": "long_term_debt",
+        "Retained Earnings": "retained_earnings", "Total Stockholder Equity": "total_stockholder_equity",
+    },
+    "cash_flow": {"Operating Cash Flow": "operating_cash_flow", "Capital Expenditure": "capital_expenditure", "Net Income": "net_income"},
+}
+
+
+def spellings(statement: str, canonical: str) -> list[str]:
+    """Five labels of an item: two with other separators, upper case, a synonym, and one with a missing letter."""
+    other = stm.STATEMENTS[statement][canonical]
+    return [canonical.replace(" ", "_"), canonical.upper(), canonical.lower().replace(" ", "."), (other or [canonical])[0], canonical[:3] + canonical[4:]]
+
+
+def varied_items(spark, sf) -> DataFrame:
+    """Long facts of the balance sheet and the cash flow with labels that vary by company, and an item that no statement knows."""
+    f = b.facts(spark, sf)
+    cells = []
+    for statement, items in SHEETS.items():
+        for i, (canonical, c) in enumerate(items.items()):
+            label = F.element_at(F.array(*[F.lit(n) for n in spellings(statement, canonical)]), (k() % 5 + 1).cast("int"))
+            cells.append(F.struct(F.lit(statement).alias("statement"), label.alias("line_item"), F.lit(i).alias("ord"), F.col(c).cast("double").alias("value")))
+        cells.append(F.struct(F.lit(statement).alias("statement"), F.lit("Zzyzx Adjustment").alias("line_item"), F.lit(99).alias("ord"), F.lit(1.0).alias("value")))
+    return f.select("ticker", "period_end", F.inline(F.array(*cells))).select("ticker", "statement", "period_end", "line_item", "ord", "value")
+
+
+def all_items(spark, sf) -> DataFrame:
+    return dirty_items(spark, sf).select("ticker", "statement", "period_end", "line_item", "ord", "value").unionByName(varied_items(spark, sf))
+
+
+def fold_sql(c: str) -> str:
+    return f"lower(regexp_replace({c}, '[ _.-]', ' ', 'g'))"
+
+
+def quoted_text(t: str | None) -> str:
+    return "NULL" if t is None else "'" + t.replace("'", "''") + "'"
+
+
+def fuzzy_values() -> str:
+    """What comparing each label of the test data with every synonym finds; SQL itself has no such ratio."""
+    known: dict[str, dict[str, str]] = {}
+    for statement, key, canonical in nrm.synonym_rows():
+        known.setdefault(statement, {})[key] = canonical
+    labels = {("income", n) for ns in LABELS.values() for n in ns} | {("income", "Net Earnings")}
+    labels |= {(s_, n) for s_, items in SHEETS.items() for c in items for n in spellings(s_, c)} | {(s_, "Zzyzx Adjustment") for s_ in SHEETS}
+    rows = []
+    for statement, label in sorted(labels):
+        found = difflib.get_close_matches(nrm.fold_text(label), known[statement], n=1, cutoff=0.6)
+        ratio = difflib.SequenceMatcher(None, found[0], nrm.fold_text(label)).ratio() if found else 0.0
+        rows.append(f"({quoted_text(statement)}, {quoted_text(label)}, {quoted_text(known[statement][found[0]] if found else None)}, {ratio})")
+    return f"(VALUES {', '.join(rows)}) AS fuzzy(statement, line_item, canonical, ratio)"
+
+
+SYNONYMS = f"(VALUES {', '.join('(' + ', '.join(map(quoted_text, row)) + ')' for row in nrm.synonym_rows())}) AS synonyms(statement, key, canonical)"
+register("labels_seen", ("facts",), f"""
+SELECT DISTINCT statement, line_item FROM (
+SELECT 'income' AS statement, unnest([{", ".join(f"[{', '.join(quoted_text(n) for n in ns)}][CAST({K} % 5 AS INT) + 1]" for ns in LABELS.values())}, CASE WHEN {K} % 5 = 4 THEN 'Net Earnings' END]) AS line_item FROM facts
+{"".join(f"UNION ALL SELECT '{s_}', unnest([{', '.join('[' + ', '.join(quoted_text(n) for n in spellings(s_, c)) + f'][CAST({K} % 5 AS INT) + 1]' for c in items)}, 'Zzyzx Adjustment']) FROM facts " for s_, items in SHEETS.items())}) x
+WHERE line_item IS NOT NULL""")
+
+
+@CAT.add("label_map", sql("labels_seen", f"""
+SELECT l.statement, l.line_item, coalesce(e.canonical, CASE WHEN f.ratio >= 0.8 THEN f.canonical END, l.line_item) AS canonical,
+  CASE WHEN e.canonical IS NOT NULL THEN 'exact' WHEN f.ratio >= 0.8 THEN 'fuzzy' ELSE 'unmapped' END AS how,
+  CASE WHEN e.canonical IS NULL AND f.ratio >= 0.6 AND f.ratio < 0.8 THEN f.canonical END AS suggestion
+FROM labels_seen l LEFT JOIN {SYNONYMS} ON synonyms.statement = l.statement AND synonyms.key = {fold_sql('l.line_item')}
+LEFT JOIN {fuzzy_values()} ON fuzzy.statement = l.statement AND fuzzy.line_item = l.line_item""".replace("e.canonical", "synonyms.canonical").replace("f.ratio", "fuzzy.ratio").replace("f.canonical", "fuzzy.canonical")))
 def label_map(spark, sf):
-    return nrm.label_map(dirty_items(spark, sf)).select("line_item", "canonical", "how")
+    return nrm.label_map(all_items(spark, sf)).select("statement", "line_item", "canonical", "how", "suggestion")
+
+
+def canonical_sql(statement: str) -> str:
+    known = {"Total Revenue": "total_revenue", "Net Income": NI1, "Operating Income": f"CASE WHEN {K} % 5 <> 4 THEN operating_income END"} if statement == "income" else SHEETS[statement]
+    cells = ", ".join(f'{r(known[c], 2)} AS "{c}"' if c in known else f'NULL::DOUBLE AS "{c}"' for c in stm.STATEMENTS[statement])
+    return sql("facts", f"SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {cells} FROM facts")
+
+
+def canonical_statement(spark, sf, statement: str) -> DataFrame:
+    """Every canonical item of a statement as a column, also those that no company reports; items without a canonical name go."""
+    long = nrm.standardize(all_items(spark, sf).where(F.col("statement") == statement))
+    return show(nrm.to_wide(long, list(stm.STATEMENTS[statement])), 2)
+
+
+@CAT.add("canonical_income", canonical_sql("income"))
+def canonical_income(spark, sf):
+    return canonical_statement(spark, sf, "income")
+
+
+@CAT.add("canonical_balance", canonical_sql("balance"))
+def canonical_balance(spark, sf):
+    return canonical_statement(spark, sf, "balance")
+
+
+@CAT.add("canonical_cash_flow", canonical_sql("cash_flow"))
+def canonical_cash_flow(spark, sf):
+    return canonical_statement(spark, sf, "cash_flow")
+
+
+@CAT.add("alias_resolution", sql("facts", f"""
+SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {r('total_revenue', 2)} AS revenue, {r('net_income', 2)} AS earnings, NULL::DOUBLE AS ebitda FROM facts"""))
+def alias_resolution(spark, sf):
+    """The first of several names that the frame has; an item under none of its names is missing."""
+    f = b.facts(spark, sf).withColumnRenamed("total_revenue", "Revenue")
+    names = {"revenue": ["Total Revenue", "Revenue", "net_income"], "earnings": ["Net Income", "net_income"], "ebitda": ["EBITDA", "ebitda"]}
+    found = {n: nrm.first_existing(f, listed) for n, listed in names.items()}
+    return show(f.select("ticker", "period_end", *[(F.lit(None) if c is None else c).cast("double").alias(n) for n, c in found.items()]), 2)
 
 
 @CAT.add("price_clean_ffill", sql("prices", f"""
@@ -241,7 +345,7 @@ def dirty_prices(spark, sf) -> DataFrame:
     day = F.day("dt")
     close = F.when(day % 7 != 0, F.when(day % 5 == 0, -F.col("close")).otherwise(F.col("close")))
     volume = F.when(day % 13 != 0, F.when(day % 11 == 0, -F.col("volume")).otherwise(F.col("volume")))
-    return b.prices(spark, sf).withColumns({"close": close, "open": F.when(day % 9 != 0, F.col("open")), "volume": volume})
+    return bars.daily(spark, sf).withColumns({"close": close, "open": F.when(day % 9 != 0, F.col("open")), "volume": volume})
 
 
 @CAT.add("price_fill_both", sql("prices", f"""
@@ -252,13 +356,17 @@ def price_fill_both(spark, sf):
     return show(clean.fill_both_ways(px, ["open"]).select("ticker", "dt", "open"))
 
 
+def as_text(c: str) -> str:
+    return f"CAST(printf('%.6f', {c}) AS DOUBLE)"
+
+
 @CAT.add("statement_clean", sql("facts", f"""
-SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {r(f"CASE WHEN {K} % 4 = 0 THEN 0 ELSE total_revenue END", 2)} AS "Total Revenue" FROM facts"""))
+SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, {", ".join(f'{r(f"CASE WHEN {K} % 4 = {i % 4} THEN 0 ELSE {as_text(c)} END", 2)} AS "{n}"' for i, (n, c) in enumerate(ITEMS.items()))} FROM facts"""))
 def statement_clean(spark, sf):
-    """Numbers as text with some unreadable ones, padded names and tickers."""
-    f = b.facts(spark, sf).select(F.concat(F.lit(" "), "ticker").alias("ticker"), "period_end", F.substr("ticker", F.lit(2)).cast("bigint").alias("_k"), "total_revenue")
-    f = f.select("ticker", "period_end", F.when(F.col("_k") % 4 == 0, "n/m").otherwise(F.format_string("%.6f", F.col("total_revenue"))).alias("  Total Revenue "))
-    return show(clean.clean_statement(f, ["ticker"]), 2)
+    """Numbers as text, every item unreadable for another quarter of the companies; padded names and tickers."""
+    f = b.facts(spark, sf)
+    texts = [F.when(k() % 4 == i % 4, "n/m").otherwise(F.format_string("%.6f", F.col(c))).alias(f"  {n} ") for i, (n, c) in enumerate(ITEMS.items())]
+    return show(clean.clean_statement(f.select(F.concat(F.lit(" "), "ticker").alias("ticker"), "period_end", *texts), ["ticker"]), 2)
 
 
 DATE_TEXT = {0: "yyyy-MM-dd", 1: "MM/dd/yyyy", 2: "dd-MM-yyyy", 3: "yyyy/MM/dd"}
@@ -539,14 +647,14 @@ def parameter_rules(spark, sf):
 SELECT ticker, n_rows, n_valid, CASE WHEN n_valid < 500 THEN 'too short' WHEN n_valid < n_rows THEN 'has nulls' END AS reason, CAST(n_valid >= 500 AND n_valid = n_rows AS INT) AS passed
 FROM (SELECT ticker, count(*) AS n_rows, count(CASE WHEN day(dt) % 31 <> 0 OR CAST(substr(ticker, 2) AS BIGINT) % 2 = 0 THEN close END) AS n_valid FROM prices GROUP BY ticker) x"""))
 def series_gate(spark, sf):
-    px = b.prices(spark, sf).withColumn("close", F.when((F.day("dt") % 31 != 0) | (k() % 2 == 0), F.col("close")))
+    px = bars.daily(spark, sf).withColumn("close", F.when((F.day("dt") % 31 != 0) | (k() % 2 == 0), F.col("close")))
     return show(dq.series_gate(px, "close", min_length=500))
 
 
 @CAT.add("frame_gate", sql("prices", """
 SELECT ticker, count(*) AS n_rows, concat_ws('; ', 'missing columns: adj_close', CASE WHEN count(*) < 520 THEN 'too few rows' END) AS reasons, 0 AS passed FROM prices GROUP BY ticker"""))
 def frame_gate(spark, sf):
-    return show(dq.frame_gate(b.prices(spark, sf), ["close", "adj_close"], min_rows=520))
+    return show(dq.frame_gate(bars.daily(spark, sf), ["close", "adj_close"], min_rows=520))
 
 
 # --- filters and reports -----------------------------------------------------
@@ -570,16 +678,116 @@ def custom_filters(spark, sf):
     return show(t.select("ticker", "side", "expiry", "strike", "volume", "open_interest", "custom_weights", "risk_tolerance", "time_horizon", "filtering_applied"))
 
 
+LIMITS = {
+    "within_delta": ("delta <= {max_delta}", lambda: F.col("delta") <= F.col("max_delta")),
+    "long_enough": ("dte >= {min_days}", lambda: F.col("dte") >= F.col("min_days")),
+    "near_the_money": ("abs(strike / spot - 1) <= {moneyness_range}", lambda: F.abs(F.col("strike") / F.col("spot") - 1) <= F.col("moneyness_range")),
+    "traded": ("volume >= {min_volume}", lambda: F.col("volume") >= F.col("min_volume")),
+    "held": ("open_interest >= {min_open_interest}", lambda: F.col("open_interest") >= F.col("min_open_interest")),
+    "tight": ("(ask - bid) / ask <= {max_spread}", lambda: (F.col("ask") - F.col("bid")) / F.col("ask") <= F.col("max_spread")),
+}
+
+
 @CAT.add("risk_profile_filter", sql("chain", "\nUNION ALL\n".join(
-    f"SELECT '{x}' AS risk, ticker, count(*) AS n FROM (SELECT *, {QUOTES} FROM chain) x WHERE delta <= {p['max_delta']} AND volume >= {p['min_volume']} AND open_interest >= {p['min_open_interest'] / 10}"
-    f" AND dte >= {p['min_days']} GROUP BY ticker" for x, p in cfg.RISK_PROFILES.items())))
+    f"SELECT '{x}' AS risk, ticker, count(*) AS n, " + ", ".join(f"count(*) FILTER ({t.format(**p)}) AS {n}" for n, (t, _) in LIMITS.items())
+    + f", count(*) FILTER ({' AND '.join(t.format(**p) for t, _ in LIMITS.values())}) AS passed FROM (SELECT *, {QUOTES} FROM chain) x GROUP BY ticker" for x, p in cfg.RISK_PROFILES.items())))
 def risk_profile_filter(spark, sf):
-    """Contracts within each risk profile's limits (open interest scaled to the synthetic listings)."""
-    c = quoted(b.option_chain(spark, sf))
-    bands = {x: dict(max_delta=p["max_delta"], min_volume=p["min_volume"], min_oi=p["min_open_interest"] / 10, min_days=p["min_days"]) for x, p in cfg.RISK_PROFILES.items()}
-    t = st.at_risk_levels(c, bands).where(
-        (F.col("delta") <= F.col("max_delta")) & (F.col("volume") >= F.col("min_volume")) & (F.col("open_interest") >= F.col("min_oi")) & (F.col("dte") >= F.col("min_days")))
-    return t.groupBy("risk", "ticker").agg(F.count("*").alias("n"))
+    """Contracts of a ticker within each of the six limits of every risk profile, and within all of them."""
+    t = st.at_risk_levels(quoted(b.option_chain(spark, sf)), cfg.RISK_PROFILES)
+    tests = {n: test() for n, (_, test) in LIMITS.items()}
+    every = F.lit(True)
+    for test in tests.values():
+        every = every & test
+    return t.groupBy("risk", "ticker").agg(F.count("*").alias("n"), *[F.count_if(test).alias(n) for n, test in tests.items()], F.count_if(every).alias("passed"))
+
+
+def merged_limits() -> dict[str, dict]:
+    """Long calls: base parameters, overridden by the risk level's; the minimum of days is the default plus the level's change."""
+    out = {}
+    for risk in cfg.RISK_LEVELS:
+        merged = cfg.risk_adjusted_params("Long Calls", risk)
+        out[risk] = {"max_delta": merged["max_delta"], "min_volume": merged["min_volume"], "min_open_interest": merged["min_open_interest"],
+                     "min_days": merged["default_min_days"] + merged["min_days_adjustment"]}
+    return out
+
+
+# written out, not merged by the code under test
+MERGED_SQL = {"Conservative": (0.6, 50, 100, 210), "Moderate": (0.7, 25, 50, 180), "Aggressive": (0.9, 5, 10, 120)}
+
+
+@CAT.add("strategy_params_filter", sql("chain", "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS risk, ticker, count(*) AS n, count(*) FILTER (delta <= {d} AND volume >= {v} AND open_interest >= {o} AND dte >= {days}) AS passed"
+    f" FROM (SELECT *, {QUOTES} FROM chain WHERE side = 'C') x GROUP BY ticker" for x, (d, v, o, days) in MERGED_SQL.items())))
+def strategy_params_filter(spark, sf):
+    """Calls within the long-call parameters as each risk level adjusts them."""
+    c = quoted(b.option_chain(spark, sf).where("side = 'C'"))
+    ok = (F.col("delta") <= F.col("max_delta")) & (F.col("volume") >= F.col("min_volume")) & (F.col("open_interest") >= F.col("min_open_interest")) & (F.col("dte") >= F.col("min_days"))
+    return st.at_risk_levels(c, merged_limits()).groupBy("risk", "ticker").agg(F.count("*").alias("n"), F.count_if(ok).alias("passed"))
+
+
+# --- definitions ---------------------------------------------------------------
+
+DEFINED = ["name", "description", "category", "market_outlook", "risk_profile"]
+STRATEGY_ROWS = ", ".join(f"({i}, {', '.join(quoted_text(v) for v in row[1:])})" for i, row in enumerate(glossary.STRATEGIES))
+register("defined", (), f"""
+SELECT p_partkey AS key, concat(strategy, ' on ', p_name) AS name, concat(p_brand, ', a ', lower(p_type), ' product') AS description, p_type AS category, market_outlook, risk_profile
+FROM part JOIN (VALUES {STRATEGY_ROWS}) AS s(i, strategy, market_outlook, risk_profile) ON s.i = p_partkey % {len(glossary.STRATEGIES)}""")
+
+
+def definitions(spark, sf) -> DataFrame:
+    """One definition for each part: a product on it by one of the strategies, with the strategy's outlook and risk."""
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("strategy", "market_outlook", "risk_profile"), row[1:])]) for row in glossary.STRATEGIES]
+    part = b.table(spark, sf, "part").withColumn("s", F.element_at(F.array(*rows), (F.col("p_partkey") % len(rows) + 1).cast("int")))
+    return part.select(
+        F.col("p_partkey").alias("key"), F.concat("s.strategy", F.lit(" on "), "p_name").alias("name"),
+        F.concat("p_brand", F.lit(", a "), F.lower("p_type"), F.lit(" product")).alias("description"), F.col("p_type").alias("category"),
+        "s.market_outlook", "s.risk_profile")
+
+
+def indexed(spark, sf) -> DataFrame:
+    """The stored index of all definitions; parts that change make a new one."""
+    return ti.store(definitions(spark, sf), "key", DEFINED, f"quantloom_terms_{version(spark, f'{sf}/part.parquet')}")
+
+
+SEARCHES = {
+    # query: columns, searches with their words
+    "definition_search": (["name", "description"], {"call": ["CALL"], "blue": ["Blue"], "brand 1 or 4": ["brand#1,", "brand#4,"], "o": ["o "], "none": ["zebra"]}),
+    "category_search": (["category"], {"economy": ["economy"], "large": ["LARGE", "Standard"]}),
+    "outlook_search": (["market_outlook"], glossary.OUTLOOK_WORDS),
+    "risk_profile_search": (["risk_profile"], {w: [w] for w in ("limited", "unlimited", "moderate")}),
+}
+
+
+def search_sql(name: str) -> str:
+    columns, searches = SEARCHES[name]
+    return sql("defined", "\nUNION ALL\n".join(
+        f"SELECT {quoted_text(s_)} AS search, key FROM defined WHERE " + " OR ".join(f"contains(lower({c}), {quoted_text(w.lower())})" for c in columns for w in words)
+        for s_, words in searches.items()))
+
+
+def searched(spark, sf, name: str) -> DataFrame:
+    columns, searches = SEARCHES[name]
+    return ti.search(indexed(spark, sf), searches, columns)
+
+
+@CAT.add("definition_search", search_sql("definition_search"))
+def definition_search(spark, sf):
+    return searched(spark, sf, "definition_search")
+
+
+@CAT.add("category_search", search_sql("category_search"))
+def category_search(spark, sf):
+    return searched(spark, sf, "category_search")
+
+
+@CAT.add("outlook_search", search_sql("outlook_search"))
+def outlook_search(spark, sf):
+    return searched(spark, sf, "outlook_search")
+
+
+@CAT.add("risk_profile_search", search_sql("risk_profile_search"))
+def risk_profile_search(spark, sf):
+    return searched(spark, sf, "risk_profile_search")
 
 
 @CAT.add("keyword_search", """

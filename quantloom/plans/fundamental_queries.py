@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import div
+from quantloom.functions.numeric import div, snap
 from quantloom.operators import fundamentals as fin
 from quantloom.operators import growth as gro
 from quantloom.operators import pairs as p
@@ -16,6 +16,7 @@ from quantloom.plans import pair_queries  # noqa: F401  (registers the beta CTE)
 from quantloom.plans import series_queries as sq
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import r, rcols, register, sql
+from quantloom.sources import bars
 from quantloom.sources import bindings as b
 
 CAT = Catalog()
@@ -238,27 +239,28 @@ FROM (SELECT ticker, count(*) AS n_periods, max_by(free_cash_flow, period_end) A
       FROM yoy GROUP BY ticker) x""")
 
 
-# Growth of a nearly zero cash flow explodes, so values are compared on a log scale.
-LOGV = "sign(intrinsic_value) * ln(1 + abs(intrinsic_value))"
+# Growth of a nearly zero cash flow explodes, so values are compared to seven significant digits.
+def digits7(c: str) -> str:
+    return f"CAST(printf('%.6e', {c}) AS DOUBLE)"
+
+
+def seven_digits(c):
+    return F.format_string("%.6e", F.col(c)).cast("double").alias(c)
 
 
 @CAT.add("dcf_b", sql("dcfb", f"""
-SELECT ticker, n_periods, {r('last_fcf', 4)} AS last_fcf, {r('sign(growth) * ln(1 + abs(growth))')} AS log_growth, {r(LOGV)} AS log_value FROM dcfb"""))
+SELECT ticker, n_periods, {r('last_fcf', 4)} AS last_fcf, {digits7('growth')} AS growth, {digits7('intrinsic_value')} AS intrinsic_value FROM dcfb"""))
 def dcf_b(spark, sf):
-    def log(c):
-        return F.signum(c) * F.log1p(F.abs(F.col(c)))
-
     t = val.dcf_discounted(b.facts(spark, sf))
-    return show(t.select("ticker", "n_periods", "last_fcf", log("growth").alias("log_growth"),
-                         log("intrinsic_value").alias("log_value")), places={"last_fcf": 4})
+    return t.select("ticker", "n_periods", snap("last_fcf", 4).alias("last_fcf"), seven_digits("growth"), seven_digits("intrinsic_value"))
 
 
 @CAT.add("dcf_b_flows", sql("dcfb", f"""
-SELECT ticker, i AS year, {r('sign(flow) * ln(1 + abs(flow))')} AS log_flow
+SELECT ticker, i AS year, {digits7('flow')} AS flow
 FROM (SELECT ticker, CAST(i AS INT) AS i, last_fcf * pow(1 + growth, i) AS flow FROM dcfb, range(1, 6) t(i)) x"""))
 def dcf_b_flows(spark, sf):
     t = val.dcf_discounted(b.facts(spark, sf)).select("ticker", F.posexplode("projected_cash_flows").alias("y", "flow"))
-    return show(t.select("ticker", (F.col("y") + 1).alias("year"), (F.signum("flow") * F.log1p(F.abs("flow"))).alias("log_flow")))
+    return t.select("ticker", (F.col("y") + 1).alias("year"), seven_digits("flow"))
 
 
 register("bands", ("dcfa",), """
@@ -304,7 +306,7 @@ FROM pr p LEFT JOIN betas b USING (ticker) LEFT JOIN mom m USING (ticker)""")
 
 def listed(spark, sf):
     """Price-based metrics of supplier k re-keyed to company k."""
-    px = b.prices(spark, sf).select("ticker", "dt", "close")
+    px = bars.daily(spark, sf).select("ticker", "dt", "close")
     beta = p.beta(p.with_market(s.with_returns(px), p.market_returns(b.benchmark(px)))).select("ticker", F.col("beta").alias("price_beta"))
     t = s.price_risk(px).join(beta, "ticker", "left").join(s.momentum(px), "ticker", "left")
     return t.withColumn("ticker", F.concat(F.lit("C"), F.substr("ticker", F.lit(2)))).drop("n_returns")
@@ -336,17 +338,18 @@ def snap3(c: str) -> str:
 
 @CAT.add("investment_thesis", sql("dcfa g6 listed", f"""
 SELECT ticker, CASE WHEN m >= 0.25 THEN 'STRONG BUY' WHEN m >= 0.15 THEN 'BUY' WHEN m >= 0.05 THEN 'HOLD' WHEN m >= -0.10 THEN 'WATCH' ELSE 'AVOID' END AS rating,
-  CASE WHEN vo < 0.15 THEN 'Low' WHEN vo < 0.25 THEN 'Moderate' WHEN vo < 0.40 THEN 'High' ELSE 'Very High' END AS risk_level,
+  CASE WHEN vo < 0.15 THEN 'Low' WHEN vo < 0.25 THEN 'Moderate' WHEN vo < 0.40 THEN 'High' WHEN vo IS NOT NULL THEN 'Very High' END AS risk_level,
   {r('CASE WHEN latest_price > 0 AND intrinsic_value > 0 THEN (intrinsic_value - latest_price) / latest_price ELSE 0 END', 4)} AS upside, {cases(THESIS, False)} AS thesis,
   {r('CASE WHEN m > 0 THEN least(m * 200, 100) ELSE 0 END', 3)} AS value_score, {r('CASE WHEN g > 0 THEN least(g * 500, 100) ELSE 50 END', 3)} AS growth_axis,
   {r('CASE WHEN roe > 0 THEN least(roe * 300, 100) ELSE 50 END', 3)} AS quality_score, CAST(CASE WHEN de < 0.5 THEN 80 ELSE 50 END AS DOUBLE) AS financial_health,
   {r('CASE WHEN mo > 0 THEN least(mo * 200 + 50, 100) ELSE 50 END', 3)} AS momentum_axis
 FROM (SELECT a.ticker, intrinsic_value, latest_price, {snap3(MOS0)} AS m, {snap3('revenue_growth')} AS g, {snap3('net_income / nullif(total_stockholder_equity, 0)')} AS roe,
         {snap3('long_term_debt / nullif(total_stockholder_equity, 0)')} AS de, {snap3('momentum')} AS mo, {snap3('volatility')} AS vo
-      FROM dcfa a JOIN g6 USING (ticker) JOIN listed USING (ticker)) x"""))
+      FROM dcfa a JOIN g6 USING (ticker) LEFT JOIN listed USING (ticker)) x"""))
 def investment_thesis(spark, sf):
+    """All companies; without a price series momentum and volatility add nothing and the risk level is unknown."""
     c = blanked(b.with_fundamentals(spark, sf, gro.company_profile(b.facts(spark, sf))))
-    t = val.dcf_undiscounted_terminal(c).join(listed(spark, sf), "ticker")
+    t = val.dcf_undiscounted_terminal(c).join(listed(spark, sf), "ticker", "left")
     t = show(t.select(
         "ticker", "intrinsic_value", "latest_price",
         val.margin_of_safety("intrinsic_value", "latest_price").alias("m"), F.col("revenue_growth").alias("g"),
@@ -389,12 +392,13 @@ FROM (SELECT ticker, 0.4 * (coalesce(least(volatility * 100, 100), 0) * 0.4 + co
   + 0.35 * (CASE WHEN total_stockholder_equity = 0 THEN 40 ELSE least(long_term_debt / total_stockholder_equity * 20, 100) * 0.4 END
           + coalesce(least(100 / nullif(operating_income / nullif(interest_expense, 0), 0), 100), 0) * 0.6)
   + 0.25 * (coalesce(least(revenue_volatility * 200, 100), 0) * 0.5 + coalesce(least(abs(operating_leverage) * 20, 100), 0) * 0.5) AS score
-  FROM fnow JOIN brisk USING (ticker) JOIN listed USING (ticker)) x"""))
+  FROM fnow JOIN brisk USING (ticker) LEFT JOIN listed USING (ticker)) x"""))
 def risk_score(spark, sf):
+    """All companies; market metrics of one without a price series add nothing."""
     f = b.facts(spark, sf)
     t = (
         rsk.financial_risk(fin.latest_period(f)).join(rsk.business_risk(f), "ticker")
-        .join(listed(spark, sf).withColumnRenamed("price_beta", "beta"), "ticker")
+        .join(listed(spark, sf).withColumnRenamed("price_beta", "beta"), "ticker", "left")
         .withColumn("risk_score", rsk.composite_score())
     )
     return show(t.select("ticker", "risk_score", rsk.five_levels(F.col("risk_score")).alias("risk_level")), 4)
@@ -444,7 +448,7 @@ SELECT n.*, d.beta, l.volatility AS vol, {q('total_liabilities', 'total_stockhol
 FROM fnow n LEFT JOIN fund d USING (ticker) LEFT JOIN listed l USING (ticker)) a) b) c) e"""))
 def risk_report(spark, sf):
     now = b.with_fundamentals(spark, sf, fin.latest_period(b.facts(spark, sf)))
-    px = b.prices(spark, sf).select("ticker", "dt", "close")
+    px = bars.daily(spark, sf).select("ticker", "dt", "close")
     vol = s.annual_volatility(s.with_returns(px)).withColumn("ticker", F.concat(F.lit("C"), F.substr("ticker", F.lit(2))))
     return show(rsk.risk_report(now.join(vol, "ticker", "left")), places={"score": 4})
 

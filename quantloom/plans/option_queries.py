@@ -19,6 +19,7 @@ from quantloom.operators import strategies as st
 from quantloom.plans import pair_queries  # noqa: F401  (registers the pair CTEs)
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import norm, r, rcols, register, sql
+from quantloom.sources import bars
 from quantloom.sources import bindings as b
 
 CAT = Catalog()
@@ -159,7 +160,7 @@ def tickers(spark, sf):
 
 
 def peer_signals(spark, sf):
-    px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
+    px, edges = bars.daily(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
     of_peers = p.peer_prices(px, edges)
     corr = p.peer_correlations(s.with_returns(px), edges, peer_ret=s.with_returns(of_peers))
     metrics = eco.peer_metrics(eco.ticker_metrics(of_peers), edges, tickers(spark, sf))
@@ -171,7 +172,7 @@ METRIC_COLS = "avg_rsi avg_ret_1 avg_ret_5 avg_ret_30 avg_rolling_vol sector_mom
 
 @CAT.add("peer_metrics", sql("pmet", f"SELECT ticker, n_used, {rcols(METRIC_COLS)}, volatility_regime, momentum_signal FROM pmet"))
 def peer_metrics(spark, sf):
-    px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
+    px, edges = bars.daily(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
     return show(eco.peer_metrics(eco.ticker_metrics(p.peer_prices(px, edges)), edges, tickers(spark, sf)))
 
 
@@ -315,7 +316,7 @@ def stock_forecasts(spark, sf):
 
 
 def indicators(spark, sf):
-    px = b.prices(spark, sf, start=YEAR_AGO, end=AS_OF).select("ticker", "dt", "close")
+    px = bars.daily(spark, sf, start=YEAR_AGO, end=AS_OF).select("ticker", "dt", "close")
     return sc.indicator_row(sc.price_indicators(px), stock_forecasts(spark, sf))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions.inference import ERFC_FIT
 from quantloom.operators import pairs as p
 from quantloom.operators import series as s
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import r, rcols, register, sql
+from quantloom.sources import bars
 from quantloom.sources import bindings as b
 
 CAT = Catalog()
@@ -49,13 +51,13 @@ register("betas", ("ret", "mret"), BETA)
 
 
 def inputs(spark, sf):
-    px, edges = b.prices(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
+    px, edges = bars.daily(spark, sf).select("ticker", "dt", "close"), b.peers(spark, sf)
     return {"ret": s.with_returns(px), "edges": edges, "peer_ret": s.with_returns(p.peer_prices(px, edges))}
 
 
 @CAT.add("beta", sql("betas", f"SELECT ticker, {rcols('beta')}, n_common FROM betas"))
 def beta(spark, sf):
-    px = b.prices(spark, sf).select("ticker", "dt", "close")
+    px = bars.daily(spark, sf).select("ticker", "dt", "close")
     return show(p.beta(p.with_market(s.with_returns(px), p.market_returns(b.benchmark(px)))))
 
 
@@ -80,16 +82,30 @@ def spearman(spark, sf):
     return show(p.peer_correlations(**inputs(spark, sf), method="spearman"))
 
 
-@CAT.add("kendall", sql("pairs", f"""
-SELECT ticker, peer, {r('s / sqrt((n0 - n1) * (n0 - n2))')} AS r, n FROM (
-  SELECT a.ticker, a.peer, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s, count(*) AS n0,
-         sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS n2,
-         max(c.n) AS n
-  FROM pairs a JOIN pairs b ON b.ticker = a.ticker AND b.peer = a.peer AND b.dt > a.dt
-       JOIN (SELECT ticker, peer, count(*) AS n FROM pairs GROUP BY ticker, peer) c ON c.ticker = a.ticker AND c.peer = a.peer
-  GROUP BY a.ticker, a.peer) x"""))
+# tau-b by comparing all days of a pair with each other; p from the normal score by the same fit of erfc as the library's
+register("kend0", ("pairs",), """
+SELECT ticker, peer, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s, count(*) AS n0, max(c.n) AS n FROM pairs a JOIN pairs b USING (ticker, peer)
+JOIN (SELECT ticker, peer, count(*) AS n FROM pairs GROUP BY ticker, peer) c USING (ticker, peer) WHERE b.dt > a.dt GROUP BY ticker, peer""")
+for _side in "xy":
+    register(f"ties_{_side}", ("pairs",), f"""
+SELECT ticker, peer, sum(t * (t - 1) / 2) AS t1, sum(t * (t - 1) * (t - 2)) AS t2, sum(t * (t - 1) * (2 * t + 5)) AS t3
+FROM (SELECT ticker, peer, count(*)::DOUBLE AS t FROM pairs GROUP BY ticker, peer, {_side}) g GROUP BY ticker, peer""")
+register("kend", ("kend0", "ties_x", "ties_y"), """
+SELECT ticker, peer, n, s / sqrt((n0 - x.t1) * (n0 - y.t1)) AS r,
+  s / sqrt((n * (n - 1) * (2.0 * n + 5) - x.t3 - y.t3) / 18 + 2 * x.t1 * y.t1 / (n * (n - 1)) + x.t2 * y.t2 / (9.0 * n * (n - 1) * (n - 2))) AS z
+FROM kend0 JOIN ties_x x USING (ticker, peer) JOIN ties_y y USING (ticker, peer)""")
+_fit = str(ERFC_FIT[-1])
+for _c in reversed(ERFC_FIT[:-1]):
+    _fit = f"({_fit} * t + {_c})"
+
+
+@CAT.add("kendall", sql("peers kend", f"""
+SELECT {CORR_OUT} FROM (
+SELECT e.ticker, e.peer, coalesce(c.r, 0) AS r, coalesce(c.p_value, 1) AS p_value, coalesce(c.n, 0) AS n FROM peers e LEFT JOIN (
+  SELECT ticker, peer, r, n, t * exp({_fit} - v * v) AS p_value FROM (
+    SELECT *, 1 / (1 + v / 2) AS t FROM (SELECT *, abs(z) / sqrt(2) AS v FROM kend WHERE n >= 30) a) b) c USING (ticker, peer)) x"""))
 def kendall(spark, sf):
-    return show(p.kendall(p.paired_returns(**inputs(spark, sf))).drop("z"))
+    return show(p.peer_correlations(**inputs(spark, sf), method="kendall"))
 
 
 ROLL = """
@@ -131,19 +147,49 @@ LEFT JOIN ({NATION_RET}) x ON x.ticker = a.n_name AND x.ret IS NOT NULL
 LEFT JOIN ({NATION_RET}) y ON y.ticker = b.n_name AND y.dt = x.dt AND y.ret IS NOT NULL
 GROUP BY a.n_name, b.n_name"""))
 def corr_matrix(spark, sf):
-    """The portfolio is the fixed set of national indices (25 members)."""
-    nation = b.table(spark, sf, "nation")
+    """All national indices with each other; a nation without a listed supplier keeps its rows."""
+    return show(p.correlation_matrix(s.with_returns(national_index(spark, sf)), nations(spark, sf)).drop("n"))
+
+
+def nations(spark, sf):
+    return b.table(spark, sf, "nation").select(F.col("n_name").alias("ticker"))
+
+
+def national_index(spark, sf):
+    """Mean close of a nation's suppliers per day."""
     home = (
         b.table(spark, sf, "supplier")
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(b.table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
         .select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), "n_name")
     )
-    index = (
-        b.prices(spark, sf).select("ticker", "dt", "close").join(home, "ticker")
+    return (
+        bars.daily(spark, sf).select("ticker", "dt", "close").join(home, "ticker")
         .groupBy(F.col("n_name").alias("ticker"), "dt").agg(F.avg("close").alias("close"))
     )
-    members = [row.n_name for row in nation.select("n_name").limit(p.MAX_MATRIX + 1).collect()]
-    return show(p.correlation_matrix(s.with_returns(index), members))
+
+
+@CAT.add("corr_matrix_all", sql("ret", f"""
+SELECT a, b, {r('corr(x, y)')} AS r, count(x) AS n FROM (
+  SELECT a.ticker AS a, b.ticker AS b, x.ret AS x, y.ret AS y
+  FROM (SELECT DISTINCT concat('S', s_suppkey) AS ticker FROM supplier) a JOIN (SELECT DISTINCT concat('S', s_suppkey) AS ticker FROM supplier) b ON a.ticker <= b.ticker
+  LEFT JOIN (ret x JOIN ret y ON y.dt = x.dt) ON x.ticker = a.ticker AND y.ticker = b.ticker) z GROUP BY a, b"""))
+def corr_matrix_all(spark, sf):
+    """Every listed supplier with every other one, in blocks."""
+    listed = b.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    return show(p.correlation_matrix(s.with_returns(bars.daily(spark, sf).select("ticker", "dt", "close")), listed))
+
+
+@CAT.add("corr_matrix_spearman", sql("prices", f"""
+, natret AS ({NATION_RET}), common AS (
+  SELECT x.ticker AS a, y.ticker AS b, x.ret AS x, y.ret AS y FROM natret x JOIN natret y ON y.dt = x.dt AND x.ticker <= y.ticker
+  WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)
+SELECT m.n_name AS a, k.n_name AS b, {r('q.r')} AS r, coalesce(q.n, 0) AS n FROM nation m JOIN nation k ON m.n_name <= k.n_name LEFT JOIN (
+  SELECT a, b, corr(rx, ry) AS r, count(*) AS n FROM (SELECT a, b,
+    rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx,
+    rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM common) g GROUP BY a, b) q
+  ON q.a = m.n_name AND q.b = k.n_name""".strip()))
+def corr_matrix_spearman(spark, sf):
+    return show(p.correlation_matrix(s.with_returns(national_index(spark, sf)), nations(spark, sf), method="spearman"))
 
 
 @CAT.add("max_corr_peer", sql("peercorr", f"""
@@ -178,11 +224,21 @@ SELECT ticker, peer FROM peers WHERE ticker NOT IN (SELECT DISTINCT concat('S',
 UNION ALL
 SELECT concat('S', s_suppkey), concat('N-', s_nationkey) FROM supplier WHERE s_acctbal < 0"""))
 def peer_upsert(spark, sf):
-    """Suppliers in debt get a new one-entry list; a self reference and a malformed name are dropped."""
+    return p.upsert_edges(b.peers(spark, sf), new_edges(spark, sf))
+
+
+def new_edges(spark, sf):
+    """Suppliers in debt get a new one-entry list; a self reference and a malformed name are among their edges."""
     debt = b.table(spark, sf, "supplier").where("s_acctbal < 0")
     t = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
-    incoming = debt.select(
+    return debt.select(
         t.alias("ticker"),
         F.explode(F.array(F.concat(F.lit(" n-"), F.col("s_nationkey").cast("string")), t, F.lit("b@d"))).alias("peer"),
     )
-    return p.upsert_edges(b.peers(spark, sf), incoming)
+
+
+@CAT.add("peer_upsert_report", sql("peers", """
+SELECT concat('S', s_suppkey) AS ticker, 1 AS accepted, coalesce(n, 0) AS replaced, 1 AS malformed, 1 AS self_references, 0 AS repeated, 2 AS rejected
+FROM supplier LEFT JOIN (SELECT ticker, count(*) AS n FROM peers GROUP BY ticker) e ON e.ticker = concat('S', s_suppkey) WHERE s_acctbal < 0"""))
+def peer_upsert_report(spark, sf):
+    return show(p.upsert_report(b.peers(spark, sf), new_edges(spark, sf)))

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.config import options as cfg
 from quantloom.functions import formatting as fmt
 from quantloom.functions import weights as wt
-from quantloom.functions.numeric import div, norm, percent_of_range, rescale
+from quantloom.functions.numeric import div, norm, percent_of_range, rescale, snap
 from quantloom.operators import chain as ch
 from quantloom.operators import filters as flt
 from quantloom.operators import fundamentals as fin
 from quantloom.operators import report as rep
 from quantloom.operators import scoring as sc
+from quantloom.operators import series as s
 from quantloom.operators import strategies as st
 from quantloom.plans import data_queries as data
 from quantloom.plans import fundamental_queries  # noqa: F401  (registers fund, hnow)
 from quantloom.plans import option_queries as oq
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import norm as n_sql
-from quantloom.plans.oracle import r, rcols, register, sql
+from quantloom.plans.oracle import CTE, r, rcols, register, sql
+from quantloom.sources import bars, sinks
 from quantloom.sources import bindings as b
-from quantloom.sources import sinks
+from quantloom.sources.shared import new_path
 
 CAT = Catalog()
 SRC = cfg.SOURCES
@@ -195,6 +197,31 @@ def dispatch_bull_call_spread(spark, sf):
     return show(t.select("strategy_type", "ticker", "risk", "rank", "expiry", "long_strike", "short_strike", "composite_score"))
 
 
+# income strategies look at most 90 days ahead, so a request for 180 asks for 90
+CTE_90 = {"callsiv90": "callsiv", "cc90": "cc1", "cp90": "cp1"}
+for _name, _base in CTE_90.items():
+    _deps, _body = CTE[_base]
+    register(_name, tuple("callsiv90" if d == "callsiv" else d for d in _deps), _body.replace("callsiv", "callsiv90").replace("dte >= 60", "dte >= 90").replace("60.0", "90.0"))
+
+
+@CAT.add("dispatch_covered_call", sql("cc90", oq.best(
+    f"'Covered Call' AS strategy_type, '1998-06-01' AS analysis_date, ticker, risk, rank, CAST(expiry AS VARCHAR) AS expiry, {rcols('strike annualized_yield composite_score')}", "cc90", (
+        "composite_score DESC, assignment_probability, annualized_yield DESC", "composite_score DESC, annualized_yield DESC",
+        "composite_score DESC, annualized_yield DESC, total_return DESC"), (5, 5, 8), "expiry, strike")))
+def dispatch_covered_call(spark, sf):
+    t = st.analyze("Covered Call", b.option_chain(spark, sf), oq.indicators(spark, sf), min_days=180, top_n=5, analysis_date="1998-06-01")
+    return show(t.select("strategy_type", "analysis_date", "ticker", "risk", "rank", "expiry", "strike", "annualized_yield", "composite_score"))
+
+
+@CAT.add("dispatch_cash_secured_put", sql("cp90", oq.best(
+    f"'Cash-Secured Put' AS strategy_type, risk AS risk_tolerance, ticker, rank, CAST(expiry AS VARCHAR) AS expiry, {rcols('strike annualized_yield composite_score')}", "cp90", (
+        "composite_score DESC, assignment_probability, discount_to_current DESC", "composite_score DESC, annualized_yield DESC",
+        "composite_score DESC, annualized_yield DESC, assignment_probability DESC"), (5, 5, 8), "expiry, strike")))
+def dispatch_cash_secured_put(spark, sf):
+    t = st.analyze("Cash-Secured Put", b.option_chain(spark, sf), oq.indicators(spark, sf), min_days=180, top_n=5)
+    return show(t.select("strategy_type", "risk_tolerance", "ticker", "rank", "expiry", "strike", "annualized_yield", "composite_score"))
+
+
 # --- report tables on top of a strategy's result ------------------------------
 
 register("ccpick", ("cc1",), oq.best("*", "cc1", (
@@ -226,12 +253,49 @@ def topk_bottomk(spark, sf):
     return show(t.select("ticker", "risk", "place", "end", "strike", "composite_score", "expiry"))
 
 
-@CAT.add("strategy_insights", sql("ccpick", f"""
-SELECT ticker, risk, {r('y')} AS avg_annualized_yield, {r('u')} AS avg_upside_capture, CASE WHEN y > 20 THEN 'High' WHEN y > 10 THEN 'Good' ELSE 'Modest' END AS annualized_yield_band,
-  CASE WHEN u > 10 THEN 'Additional upside' ELSE 'Modest' END AS upside_capture_band
-FROM (SELECT ticker, risk, avg(annualized_yield) AS y, avg(upside_capture) AS u FROM ccpick GROUP BY ticker, risk) x"""))
+LONG_ORDER = ("final_score DESC, iv, dte DESC", "final_score DESC, dte", "final_score DESC")
+PUT_ORDER = ("composite_score DESC, assignment_probability, discount_to_current DESC", "composite_score DESC, annualized_yield DESC",
+             "composite_score DESC, annualized_yield DESC, assignment_probability DESC")
+register("lcpick", ("lc1",), oq.best("*", "lc1", LONG_ORDER, (5, 5, 10), "expiry, strike"))
+register("sppick", ("sp1",), oq.best("*", "sp1", SPREAD_ORDER, (5, 5, 10), "expiry, long_strike, short_strike"))
+register("cppick", ("cp1",), oq.best("*", "cp1", PUT_ORDER, (5, 5, 8), "expiry, strike"))
+PICKS = {"Long Calls": "lcpick", "Bull Call Spread": "sppick", "Covered Call": "ccpick", "Cash-Secured Put": "cppick"}
+
+
+def picks_of(strategy: str, spark, sf) -> DataFrame:
+    chain, ind = b.option_chain(spark, sf), oq.indicators(spark, sf)
+    if strategy == "Long Calls":
+        return st.long_calls(chain, ind, oq.peer_signals(spark, sf))
+    if strategy == "Bull Call Spread":
+        return st.bull_call_spread(chain, ind)
+    return (st.covered_call if strategy == "Covered Call" else st.cash_secured_put)(chain, ind, min_days=60)
+
+
+def insight_sql(strategy: str) -> str:
+    cells = []
+    for c, bands in flt.INSIGHTS[strategy].items():
+        cells.append(f"{r(f'avg({c})')} AS avg_{c}")
+        cells.append("CASE " + " ".join(f"WHEN avg({c}) > {bound} THEN '{label}'" for bound, label in bands) + f" ELSE 'Modest' END AS {c}_band")
+    return sql(PICKS[strategy], f"SELECT ticker, risk, {', '.join(cells)} FROM {PICKS[strategy]} GROUP BY ticker, risk")
+
+
+def insights_of(strategy: str, spark, sf) -> DataFrame:
+    return show(flt.insights(picks_of(strategy, spark, sf), strategy, ["ticker", "risk"]))
+
+
+@CAT.add("strategy_insights", insight_sql("Covered Call"))
 def strategy_insights(spark, sf):
-    return show(flt.insights(picks(spark, sf), "Covered Call", ["ticker", "risk"]))
+    return insights_of("Covered Call", spark, sf)
+
+
+@CAT.add("insights_bull_call_spread", insight_sql("Bull Call Spread"))
+def insights_bull_call_spread(spark, sf):
+    return insights_of("Bull Call Spread", spark, sf)
+
+
+@CAT.add("insights_cash_secured_put", insight_sql("Cash-Secured Put"))
+def insights_cash_secured_put(spark, sf):
+    return insights_of("Cash-Secured Put", spark, sf)
 
 
 @CAT.add("score_rank", sql("ccpick", f"""
@@ -252,12 +316,95 @@ def partial_data(spark, sf):
     return show(flt.partial_data(picks(spark, sf)))
 
 
-@CAT.add("strategy_report", sql("ccpick", f"""
-SELECT ticker, risk, rank, CAST(expiry AS VARCHAR) AS "Expiry", concat('$', format('{{:,.2f}}', floor(floor(strike * 1e6 + 0.5) / 1e6 * 100 + 0.5) / 100)) AS "Strike", printf('%.2f', floor(floor((total_return) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2) AS "Total Return %",
-  printf('%.2f', floor(floor((composite_score) * 1e6 + 0.5) / 1e6 * 1e2 + 0.5) / 1e2) AS "Composite Score" FROM ccpick"""))
+def printed(c: str, digits: int, scale: str = "1e0") -> str:
+    return f"floor(floor(({c}) * {scale} * 1e6 + 0.5) / 1e6 * 1e{digits} + 0.5) / 1e{digits}"
+
+
+SQL_FORMATS = {
+    "currency": lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE concat('$', format('{{:,.2f}}', {printed(c, 2)})) END",
+    "number": lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', {printed(c, 2)}) END",
+    "percent": lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE concat(printf('%.1f', {printed(c, 1, '100')}), '%') END",
+    "date": lambda c: f"CAST({c} AS VARCHAR)",
+}
+
+
+def report_sql(strategy: str) -> str:
+    source = {"max_loss": "net_premium"}  # what a spread can lose is what it costs
+    cells = ", ".join(f'{SQL_FORMATS[f](source.get(c, c))} AS "{t}"' for c, t, f in flt.REPORTS[strategy])
+    return sql(PICKS[strategy], f"SELECT ticker, risk, rank, {cells} FROM {PICKS[strategy]}")
+
+
+@CAT.add("strategy_report", report_sql("Covered Call"))
 def strategy_report(spark, sf):
-    t = flt.strategy_report(picks(spark, sf), "Covered Call")
-    return t.select("ticker", "risk", "rank", "Expiry", "Strike", "Total Return %", "Composite Score")
+    return flt.strategy_report(picks_of("Covered Call", spark, sf), "Covered Call")
+
+
+@CAT.add("report_long_calls", report_sql("Long Calls"))
+def report_long_calls(spark, sf):
+    return flt.strategy_report(picks_of("Long Calls", spark, sf), "Long Calls")
+
+
+@CAT.add("report_bull_call_spread", report_sql("Bull Call Spread"))
+def report_bull_call_spread(spark, sf):
+    return flt.strategy_report(picks_of("Bull Call Spread", spark, sf), "Bull Call Spread")
+
+
+@CAT.add("report_cash_secured_put", report_sql("Cash-Secured Put"))
+def report_cash_secured_put(spark, sf):
+    return flt.strategy_report(picks_of("Cash-Secured Put", spark, sf), "Cash-Secured Put")
+
+
+@CAT.add("coverage_badge", sql("flags", f"""
+SELECT s_suppkey, concat(n, '/5 ', CASE WHEN n = 5 THEN 'green' WHEN n >= 3 THEN 'yellow' ELSE 'red' END) AS coverage_badge,
+  CASE WHEN n = 5 THEN 'Excellent' WHEN n >= 4 THEN 'Good' WHEN n >= 3 THEN 'Moderate' ELSE 'Limited' END AS coverage_class FROM (SELECT s_suppkey, {COUNT} AS n FROM flags) x"""))
+def coverage_badge(spark, sf):
+    """All combinations of sources; the neutral entry of a ticker without any is none of them."""
+    m = wt.weight_map(wt.renormalize(W0, sc.flags()), wt.none_available(sc.flags()))
+    t = flags(spark, sf).withColumn("score_details", F.map_filter(m, lambda source, _: source.isin(list(SRC))))
+    return flt.with_coverage(t).select("s_suppkey", "coverage_badge", "coverage_class")
+
+
+@CAT.add("score_fallback", sql("ccpick", f"""
+SELECT ticker, risk, rank, {r('composite_score')} AS score, 0.0::DOUBLE AS no_score, {r(f'CASE WHEN has_rsi THEN 0.2 / ({oq.weight_sum({k: 0.2 for k in SRC})}) ELSE 0 END')} AS rsi_weight,
+  -1.0::DOUBLE AS gamma_weight, 0.0::DOUBLE AS other_rsi FROM ccpick"""))
+def score_fallback(spark, sf):
+    """The first score column there is, and weights looked up in nested maps, with defaults for what is absent."""
+    t = picks(spark, sf).withColumn("report", F.create_map(F.lit("weights"), F.col("score_details")))
+    report = F.col("report")
+    return show(t.select(
+        "ticker", "risk", "rank", flt.first_column(t, ["total_score", "composite_score", "final_score", "score"]).alias("score"),
+        flt.first_column(t, ["total_score", "grade"]).alias("no_score"), flt.nested(report, ["weights", "rsi"]).alias("rsi_weight"),
+        flt.nested(report, ["weights", "gamma"], -1.0).alias("gamma_weight"), flt.nested(report, ["other", "rsi"]).alias("other_rsi")))
+
+
+@CAT.add("market_status", sql("ind chain_iv ret", """
+SELECT ticker, CASE WHEN vol IS NULL THEN 'neutral' WHEN vol < 0.15 THEN 'good' WHEN vol < 0.25 THEN 'neutral' WHEN vol < 0.40 THEN 'warning' ELSE 'bad' END AS volatility_status,
+  CASE WHEN rsi < 30 THEN 'good' WHEN rsi > 70 THEN 'warning' ELSE 'neutral' END AS rsi_status, 'neutral' AS unknown_status,
+  CASE WHEN rsi > 70 THEN 'red' WHEN rsi < 30 THEN 'green' ELSE 'orange' END AS rsi_cell,
+  CASE WHEN avg_iv IS NULL THEN '' WHEN avg_iv <= 0.3 THEN 'green' WHEN avg_iv <= 0.5 THEN 'orange' ELSE 'red' END AS iv_cell,
+  CASE WHEN forecast >= 0.7 THEN 'green' WHEN forecast >= 0.4 THEN 'orange' ELSE 'red' END AS forecast_cell
+FROM ind LEFT JOIN (SELECT ticker, floor(avg_iv * 1e9 + 0.5) / 1e9 AS avg_iv FROM chain_iv) v USING (ticker)
+LEFT JOIN (SELECT ticker, stddev_samp(ret) AS vol FROM ret GROUP BY ticker) q USING (ticker)"""))
+def market_status(spark, sf):
+    """Status of the daily volatility and the RSI, and the cells of RSI, IV and forecast; tickers without listed calls have no IV."""
+    vol = s.with_returns(bars.daily(spark, sf).select("ticker", "dt", "close")).groupBy("ticker").agg(F.stddev_samp("ret").alias("vol"))
+    iv = ch.mean_iv(b.option_chain(spark, sf).where("side = 'C'"), ["ticker"]).select("ticker", snap("avg_iv", 9).alias("avg_iv"))
+    t = oq.indicators(spark, sf).join(iv, "ticker", "left").join(vol, "ticker", "left")
+    return t.select(
+        "ticker", fmt.status("vol", "volatility").alias("volatility_status"), fmt.status("rsi", "rsi").alias("rsi_status"), fmt.status("rsi", "gamma").alias("unknown_status"),
+        fmt.cell_class("rsi", "rsi").alias("rsi_cell"), fmt.cell_class("avg_iv", "iv").alias("iv_cell"), fmt.cell_class("forecast", "forecast").alias("forecast_cell"))
+
+
+@CAT.add("sorted_export", sql("chain", f"""
+SELECT ticker, side, CAST(expiry AS VARCHAR) AS expiry, printf('%.4f', {printed('strike', 4)}) AS strike,
+  row_number() OVER (PARTITION BY ticker ORDER BY expiry, strike, side) AS place FROM chain"""))
+def sorted_export(spark, sf):
+    """The listings as a sorted sink writes them: their place among a ticker's rows in the order of the files."""
+    path = new_path(spark, "export")
+    sinks.write_csv(b.option_chain(spark, sf).select("ticker", "side", "expiry", "strike"), path, order_by=["ticker", "expiry", "strike", "side"])
+    rows = spark.read.option("header", True).schema("ticker string, side string, expiry string, strike string").csv(path)
+    line = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("at", line).select("ticker", "side", "expiry", "strike", F.row_number().over(Window.partitionBy("ticker").orderBy("at.file", "at.line")).alias("place"))
 
 
 @CAT.add("csv_export", sql("ccpick", """

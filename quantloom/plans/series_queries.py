@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import series as s
 from quantloom.plans.common import Catalog, show
 from quantloom.plans.oracle import r, rcols, sql
+from quantloom.sources import bars
 from quantloom.sources import bindings as b
 
 CAT = Catalog()
@@ -20,12 +21,12 @@ def frame(n: int) -> str:
 
 @CAT.add("returns_simple", sql("ret", f"SELECT ticker, {D}, {r('ret')} AS ret FROM ret"))
 def returns_simple(spark, sf):
-    return show(s.with_returns(b.prices(spark, sf)).select("ticker", "dt", "ret"))
+    return show(s.with_returns(bars.daily(spark, sf)).select("ticker", "dt", "ret"))
 
 
 @CAT.add("returns_log", sql("ret", f"SELECT ticker, {D}, {r('ln(1 + ret)')} AS ret FROM ret"))
 def returns_log(spark, sf):
-    return show(s.with_returns(b.prices(spark, sf), "log").select("ticker", "dt", "ret"))
+    return show(s.with_returns(bars.daily(spark, sf), "log").select("ticker", "dt", "ret"))
 
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) - 1 AS k FROM prices"
@@ -39,7 +40,7 @@ def nth(k: int) -> str:
 SELECT ticker, {r(f'{nth(0)} / {nth(20)} - 1')} AS momentum, {r(f'{nth(0)} / {nth(19)} - 1')} AS momentum_chart
 FROM ({RANKED}) x GROUP BY ticker"""))
 def momentum_20(spark, sf):
-    p = s.last_n_prices(b.prices(spark, sf), [0, 19, 20])
+    p = s.last_n_prices(bars.daily(spark, sf), [0, 19, 20])
     return show(p.select(
         "ticker",
         (s.div("p0", "p20") - 1).alias("momentum"),
@@ -52,7 +53,7 @@ SELECT ticker, {r(f'{nth(0)} / {nth(1)} - 1')} AS ret_1, {r(f'{nth(0)} / {nth(5)
        {r(f'{nth(0)} / {nth(30)} - 1')} AS ret_30
 FROM ({RANKED}) x GROUP BY ticker"""))
 def trailing_returns(spark, sf):
-    return show(s.trailing_returns(b.prices(spark, sf)))
+    return show(s.trailing_returns(bars.daily(spark, sf)))
 
 
 RSI_EWM = """
@@ -67,7 +68,7 @@ GROUP BY ticker"""
 
 @CAT.add("rsi_ewm", sql("prices", f"SELECT ticker, {rcols('rsi')} FROM ({RSI_EWM}) x"))
 def rsi_ewm(spark, sf):
-    return show(s.rsi_ewm(b.prices(spark, sf)))
+    return show(s.rsi_ewm(bars.daily(spark, sf)))
 
 
 RSI_SMA = f"""
@@ -80,7 +81,7 @@ FROM (SELECT *, avg(greatest(c, 0)) OVER {frame(14)} AS gg, avg(greatest(-c, 0))
 
 @CAT.add("rsi_sma", sql("prices", f"SELECT ticker, {D}, {rcols('rsi')} FROM ({RSI_SMA}) x"))
 def rsi_sma(spark, sf):
-    return show(s.rsi_sma(b.prices(spark, sf)).select("ticker", "dt", "rsi"))
+    return show(s.rsi_sma(bars.daily(spark, sf)).select("ticker", "dt", "rsi"))
 
 
 def full(fn: str, c: str, n: int) -> str:
@@ -100,7 +101,7 @@ FROM (SELECT *, {full('avg', 'close', 20)} AS sma_20, {full('avg', 'close', 50)}
              row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) AS rn FROM ({RSI_SMA}) q) x
 WHERE rn = 1"""))
 def technical_signals(spark, sf):
-    return show(s.technical_signals(b.prices(spark, sf)))
+    return show(s.technical_signals(bars.daily(spark, sf)))
 
 
 @CAT.add("sma_bollinger", sql("prices", f"""
@@ -111,7 +112,7 @@ SELECT ticker, dt, {full('avg', 'close', 20)} AS sma_20, {full('avg', 'close', 5
        {full('avg', 'close', 20)} - 2 * {full('stddev_samp', 'close', 20)} AS bb_lower
 FROM prices) x"""))
 def sma_bollinger(spark, sf):
-    t = s.bollinger(s.moving_averages(b.prices(spark, sf)))
+    t = s.bollinger(s.moving_averages(bars.daily(spark, sf)))
     return show(t.select("ticker", "dt", "sma_20", "sma_50", "sma_200", "bb_mid", "bb_upper", "bb_lower"))
 
 
@@ -121,7 +122,7 @@ STATS = {"mean": "avg", "std": "stddev_samp", "var": "var_samp", "min": "min", "
 @CAT.add("rolling_stats", sql("ret", f"SELECT ticker, {D}, " + ", ".join(
     f"{r(full(fn, 'ret', 30))} AS {k}_30" for k, fn in STATS.items()) + " FROM ret"))
 def rolling_stats(spark, sf):
-    t = s.rolling_stats(s.with_returns(b.prices(spark, sf)), "ret", 30)
+    t = s.rolling_stats(s.with_returns(bars.daily(spark, sf)), "ret", 30)
     return show(t.select("ticker", "dt", *[f"{k}_30" for k in s.ROLLING]))
 
 
@@ -129,7 +130,7 @@ def rolling_stats(spark, sf):
 SELECT ticker, {r('max(close)')} AS high_52w, {r('min(close)')} AS low_52w
 FROM ({RANKED}) x WHERE k < 252 GROUP BY ticker"""))
 def high_low_52w(spark, sf):
-    return show(s.high_low_52w(b.prices(spark, sf)))
+    return show(s.high_low_52w(bars.daily(spark, sf)))
 
 
 def decay_step(prev: str, value: str, span: int) -> str:
@@ -154,7 +155,7 @@ FROM lines JOIN sig USING (ticker, dt)"""
 
 @CAT.add("ema_macd", EMA_SQL)
 def ema_macd(spark, sf):
-    return show(s.macd(b.prices(spark, sf)).select(
+    return show(s.macd(bars.daily(spark, sf)).select(
         "ticker", "dt", "ema_12", "ema_26", "macd", "macd_signal", "macd_hist"))
 
 
@@ -163,7 +164,7 @@ SELECT ticker, {r('stddev_samp(ret) * sqrt(252)')} AS volatility, {r('max_by(rv,
 FROM (SELECT *, {full('stddev_samp', 'ret', 30)} * sqrt(252) AS rv FROM ret) x GROUP BY ticker"""))
 def volatility(spark, sf):
     w = s.by_day()
-    ret = s.with_returns(b.prices(spark, sf))
+    ret = s.with_returns(bars.daily(spark, sf))
     rv = ret.withColumn("rv", s.rolling("ret", 30, "std", w) * s.math.sqrt(s.TRADING_DAYS))
     return show(rv.groupBy("ticker").agg(
         (F.stddev_samp("ret") * s.math.sqrt(s.TRADING_DAYS)).alias("volatility"),
@@ -181,7 +182,7 @@ GROUP BY ticker"""
 
 @CAT.add("var95_drawdown", sql("ret", f"SELECT ticker, {rcols('volatility var_95 max_drawdown')}, n_returns FROM ({PRICE_RISK}) x"))
 def var95_drawdown(spark, sf):
-    return show(s.price_risk(b.prices(spark, sf)))
+    return show(s.price_risk(bars.daily(spark, sf)))
 
 
 @CAT.add("price_change", sql("prices", f"""
@@ -189,7 +190,7 @@ SELECT ticker, {r('max_by(close, dt)')} AS latest_price, {r('max_by(close, dt) /
        {r('(max_by(close, dt) / max_by(prev, dt) - 1) * 100')} AS day_change_pct
 FROM (SELECT *, lag(close) OVER {W} AS prev FROM prices) x GROUP BY ticker"""))
 def price_change(spark, sf):
-    return show(s.price_change(b.prices(spark, sf)))
+    return show(s.price_change(bars.daily(spark, sf)))
 
 
 @CAT.add("trend_status", sql("prices bench", f"""
@@ -202,7 +203,7 @@ FROM (SELECT p.ticker, p.close, b.close AS index_close, lag(p.close) OVER (PARTI
              row_number() OVER (PARTITION BY p.ticker ORDER BY p.dt DESC) AS rn
       FROM prices p JOIN bench b USING (dt)) x WHERE rn = 1"""))
 def trend_status(spark, sf):
-    px = b.prices(spark, sf)
+    px = bars.daily(spark, sf)
     index = F.broadcast(b.benchmark(px).withColumnRenamed("close", "index_close"))  # one row per calendar day
     t = px.select("ticker", "dt", "close").join(index, "dt").withColumn("prev", F.lag("close").over(s.by_day()))
     return show(s.latest(t).select(

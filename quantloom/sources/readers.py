@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.numeric import snap
+
 # Defaults of the strict fundamentals snapshot.
 FUNDAMENTAL_DEFAULTS = {
     "market_cap": 0.0, "pe_ratio": 0.0, "price_to_book": 0.0, "dividend_yield": 0.0, "beta": 0.0,
@@ -54,8 +56,7 @@ def fundamentals_with_defaults(df: DataFrame, defaults: dict | None = None) -> D
 
 def statement(df: DataFrame, items: list[str], digits: int = 2, keys=("ticker", "period_end")) -> DataFrame:
     """Statement items with missing as zero, rounded half up."""
-    p = float(10**digits)
-    return df.select(*keys, *[(F.floor(F.coalesce(F.col(i), F.lit(0.0)) * p + 0.5) / p).alias(i) for i in items])
+    return df.select(*keys, *[snap(F.coalesce(F.col(i).cast("double"), F.lit(0.0)), digits).alias(i) for i in items])
 
 
 def first_available(base: DataFrame, sources: dict[str, DataFrame], columns: list[str], key: str = "ticker") -> DataFrame:
