@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +32,29 @@ from quantloom.llm.textscan import portions
 #: Bytes above which a piece contracts equal pairs together.
 LONG = 64
 #: Distinct pieces that a worker remembers before it starts anew, and characters of a text that are cut into pieces at a time.
-KNOWN, CHARS = 400_000, 1 << 20
+KNOWN, CHARS = 600_000, 1 << 20
 #: Bytes of text that are encoded, and token ids that are decoded, by one query.
-PORTION, IDS = 4 << 20, 1 << 20
+PORTION, IDS = 1 << 20, 1 << 18
+#: Portions whose new pieces are contracted together, and bytes of pieces that one query starts with.
+TOGETHER, ROWS = 8, 1 << 19
 
+# A row's place is its word's number and its position, so one order serves all words. A pair's key has its rank above its
+# position, so the least key is the leftmost pair of least rank.
 _SHORT = """
-WITH RECURSIVE state(word, pos, tok, done) AS (
-  SELECT word, pos, tok, false FROM start
+WITH RECURSIVE state(place, tok, done) AS (
+  SELECT word::BIGINT << 32 | pos, tok, false FROM start
   UNION ALL
-  SELECT word, pos, tok, done FROM (
-    WITH live AS (SELECT word, pos, tok FROM state WHERE NOT done),
-    pairs AS (
-      SELECT word, pos, tok, lead(pos) OVER next AS next_pos, lead(tok) OVER next AS next_tok
-      FROM live WINDOW next AS (PARTITION BY word ORDER BY pos)),
+  SELECT place, tok, done FROM (
+    WITH pairs AS MATERIALIZED (
+      SELECT place, tok, lead(tok) OVER next AS next_tok, lead(place) OVER next AS next_place, lag(place) OVER next AS before
+      FROM state WHERE NOT done WINDOW next AS (ORDER BY place)),
     best AS (
-      SELECT word, arg_min(pos, id::BIGINT << 32 | pos) AS pos, arg_min(next_pos, id::BIGINT << 32 | pos) AS gone, min(id) AS id
-      FROM pairs JOIN merges ON tok = l AND next_tok = r GROUP BY word)
-    SELECT live.word, live.pos, CASE WHEN live.pos = best.pos THEN best.id ELSE live.tok END AS tok, best.word IS NULL AS done
-    FROM live LEFT JOIN best ON live.word = best.word
-    WHERE best.gone IS NULL OR live.pos <> best.gone))
-SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY word ORDER BY word
+      SELECT place >> 32 AS word, min(id::BIGINT << 32 | (place & 4294967295)) AS least
+      FROM pairs JOIN merges ON (tok::BIGINT << 32 | next_tok) = pair AND place >> 32 = next_place >> 32 GROUP BY place >> 32)
+    SELECT place, CASE WHEN place & 4294967295 = least & 4294967295 THEN (least >> 32)::INTEGER ELSE tok END AS tok, least IS NULL AS done
+    FROM pairs LEFT JOIN best ON place >> 32 = word
+    WHERE least IS NULL OR before IS DISTINCT FROM (word << 32 | (least & 4294967295))))
+SELECT (place >> 32)::INTEGER AS word, list(tok ORDER BY place) AS ids FROM state WHERE done GROUP BY place >> 32 ORDER BY word
 """
 
 # Of pairs of the least rank in a row, the first, third, ... are contracted, since each uses up the next one's left token. Where
@@ -63,7 +68,7 @@ WITH RECURSIVE state(word, pos, tok, done) AS (
     pairs AS (
       SELECT word, pos, tok, lead(pos) OVER next AS next_pos, lead(tok) OVER next AS next_tok, row_number() OVER next AS k
       FROM live WINDOW next AS (PARTITION BY word ORDER BY pos)),
-    hits AS (SELECT word, pos, next_pos, k, id, safe FROM pairs JOIN merges ON tok = l AND next_tok = r),
+    hits AS (SELECT word, pos, next_pos, k, id, safe FROM pairs JOIN merges ON (tok::BIGINT << 32 | next_tok) = pair),
     least AS (SELECT word, min(id) AS id FROM hits GROUP BY word),
     equal AS (
       SELECT hits.*, row_number() OVER (PARTITION BY hits.word ORDER BY k) AS n FROM hits JOIN least ON hits.word = least.word AND hits.id = least.id),
@@ -103,11 +108,11 @@ class Vocabulary:
         return digest.hexdigest()
 
     def merges(self) -> pa.Table:
-        """(l, r, id, safe): every pair of tokens that joins to a token. It is safe if that token forms none of a lower rank."""
+        """(pair, id, safe): every pair of tokens that joins to a token, left << 32 | right. It is safe if that token forms none of a lower rank."""
         found = [(left, right, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (left := self.ranks.get(token[:k])) is not None and (right := self.ranks.get(token[k:])) is not None]
         left, right, made = np.array(found, np.int32).reshape(-1, 3).T
         unsafe = np.union1d(left[made <= left], right[made <= right])
-        return pa.table({"l": left, "r": right, "id": made, "safe": ~np.isin(made, unsafe)})
+        return pa.table({"pair": left.astype(np.int64) << 32 | right, "id": made, "safe": ~np.isin(made, unsafe)})
 
 
 class _Coder:
@@ -120,7 +125,7 @@ class _Coder:
         self.ranks, self.find = vocabulary.ranks, regex.compile(vocabulary.pattern).findall
         self.gap = regex.compile(r"(?<=\S)(?=\s)")
         self.base = duckdb.connect()
-        self.base.execute("SET threads = 1; SET temp_directory = ''; SET memory_limit = '400MB'")
+        self.base.execute("SET threads = 1; SET temp_directory = ''; SET memory_limit = '200MB'")
         self._table("merges", vocabulary.merges())
         self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [token.hex() for token in self.ranks]}))
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -139,6 +144,7 @@ class _Coder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.waiting: list[str] = []
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def pieces(self, text: str) -> list[str]:
@@ -152,41 +158,51 @@ class _Coder:
             at = cut.start()
         return out + self.find(text, at)
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of new pieces: the rank of the whole piece, or what contraction leaves of its bytes."""
-        raw = [piece.encode() for piece in new]
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces, and where each text's begin and end; pieces never met before wait to be learned."""
+        found = [self.pieces(text) if text else [] for text in texts]
+        new = list(set().union(*found) - self.number.keys())
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.waiting += new
+        ends = np.cumsum([0, *map(len, found)])
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int32, int(ends[-1])), ends
+
+    def learn(self) -> None:
+        """Ids of the pieces that wait: the rank of the whole piece, or what contraction leaves of its bytes."""
+        raw = [piece.encode() for piece in self.waiting]
         ids: list = [[self.ranks[piece]] if piece in self.ranks else None for piece in raw]
         for query, chosen in ((_SHORT, lambda n: n <= LONG), (_LONG, lambda n: n > LONG)):
-            at = [k for k, piece in enumerate(raw) if ids[k] is None and chosen(len(piece))]
-            if at:
-                size = np.array([len(raw[k]) for k in at])
+            wanted = [k for k, piece in enumerate(raw) if ids[k] is None and chosen(len(piece))]
+            sizes = np.array([len(raw[k]) for k in wanted], np.int64)
+            slices = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // ROWS)) + 1
+            for first, last in zip([0, *slices.tolist()], [*slices.tolist(), len(wanted)]):
+                at, size = wanted[first:last], sizes[first:last]
+                if not at:
+                    continue
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = pa.table({"word": np.repeat(np.array(at, np.int32), size), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(raw[k] for k in at), np.uint8)]})
                 found = self._run(query, "start", start).column("ids").chunk(0)
                 cuts, flat = found.offsets.to_numpy(), found.values.to_numpy()
                 for k, a, b in zip(at, cuts[:-1].tolist(), cuts[1:].tolist()):
                     ids[k] = flat[a:b]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
         self.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in ids)])
+        self.waiting = []
 
-    def encode(self, texts: list[str | None]) -> pa.Array:
-        """A list of ids for each text."""
-        found = [self.pieces(text) if text else [] for text in texts]
-        flat = [piece for pieces in found for piece in pieces]
+    def encode(self, portions: list[list[str | None]]) -> Iterator[pa.Array]:
+        """For each portion of texts a list of ids for each text."""
         if len(self.number) > KNOWN:
             self.forget()
-        new = set(flat) - self.number.keys()
-        if new:
-            self.learn(sorted(new))
-        codes = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        first = (np.cumsum(self.size) - self.size)[codes]
-        ids = self.ids[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
-        last = np.cumsum([0, *map(len, found)])
-        offsets = np.concatenate(([0], ends))[last]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        found = [self.numbered(texts) for texts in portions]
+        if self.waiting:
+            self.learn()
+        begins = np.cumsum(self.size) - self.size
+        for codes, ends in found:
+            size = self.size[codes]
+            stop = np.cumsum(size)
+            ids = self.ids[np.repeat(begins[codes] - (stop - size), size) + np.arange(int(size.sum()))]
+            offsets = np.concatenate(([0], stop))[ends]
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     def decode(self, lists: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -229,9 +245,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *carry: str) -> DataFrame:
     """(carry, ids): the token ids of every whole text, without special tokens."""
 
     def run(batches):
-        for batch in batches:
-            for part in portions(batch, "value", PORTION):
-                yield _with(part, _coder(vocabulary).encode(part.column("value").to_pylist()))
+        parts = (part for batch in batches for part in portions(batch, "value", PORTION))
+        while some := list(islice(parts, TOGETHER)):
+            for part, ids in zip(some, _coder(vocabulary).encode([part.column("value").to_pylist() for part in some])):
+                yield _with(part, ids)
 
     return _mapped(docs, "text", "ids", ArrayType(IntegerType()), run, carry)
 
