@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import textscan as scan
-from quantloom.llm.shared import hash_share, stored
+from quantloom.llm.shared import forget, hash_share, stored
 
 #: At most about so many labelled rows train the classifier (a hash sample); all of them suggest lexicon entries.
 TRAIN_ROWS = 20_000
@@ -61,17 +61,40 @@ def _salt(kind: int) -> np.uint64:
     return scan.mixed(np.array([kind + 1], np.uint64))[0]
 
 
-def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each kind of stem the hashes of all bare lower-cased words, and the words' texts."""
+@dataclass
+class Words:
+    """The bare lower-cased words of some texts: which distinct word stands at each place, in which text, and the hash of the
+    stem of each kind of every distinct word."""
+
+    code: np.ndarray
+    text: np.ndarray
+    stems: list[np.ndarray]
+
+    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each stem of a kind once for each text, its text, and how often it stands there."""
+        hashes, stem = np.unique(self.stems[kind], return_inverse=True)
+        keys = np.sort((self.text.astype(np.int64) << 32) | stem.reshape(-1)[self.code])
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        return hashes[keys[first] & 0xFFFFFFFF], keys[first] >> 32, np.diff(np.append(first, len(keys)))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of some texts; each distinct word is hashed once."""
     blank = np.where(_STRIP[data], _LOWER[data], 0x20).astype(np.uint8)
     starts, ends, text = scan.words(blank, offsets)
-    return [scan.segment_hash(blank, starts, ends, most) ^ _salt(k) for k, most in enumerate(STEMS)], text
+    inside = blank != 0x20
+    cuts = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    # words are the runs of such bytes within a text, so without the other bytes they follow one another
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(blank[inside])]).dictionary_encode()
+    once, at = scan.text_bytes(found.dictionary)
+    stems = [scan.segment_hash(once, at[:-1], at[1:], most) ^ _salt(k) for k, most in enumerate(STEMS)]
+    return Words(found.indices.to_numpy(), text, stems)
 
 
-def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each hash once for each text, and how often it stands there."""
-    _, first, times = np.unique(scan.mixed(hashes ^ scan.mixed(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-    return hashes[first], text[first], times
+def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each kind of stem the hashes of all bare lower-cased words, and the words' texts."""
+    found = words_of(data, offsets)
+    return [hashes[found.code] for hashes in found.stems], found.text
 
 
 def _given() -> list[np.ndarray]:
@@ -99,14 +122,15 @@ class Voters:
     def __len__(self) -> int:
         return len(self.lexicons) + self.PATTERNS
 
-    def votes(self, data: np.ndarray, offsets: np.ndarray, found: tuple[list[np.ndarray], np.ndarray]) -> np.ndarray:
+    def votes(self, data: np.ndarray, offsets: np.ndarray, found: Words) -> np.ndarray:
         """(texts, voters) matrix of yes votes."""
-        kinds, text = found
         n = len(offsets) - 1
         out = np.zeros((n, len(self)), bool)
         for j, (kind, keys, least) in enumerate(self.lexicons):
-            mine = _member(keys, kinds[kind])
-            which, times = np.unique(text[mine] * len(keys) + np.searchsorted(keys, kinds[kind][mine]), return_counts=True)
+            listed = _member(keys, found.stems[kind])
+            mine = listed[found.code]
+            entry = np.searchsorted(keys, found.stems[kind])[found.code[mine]]
+            which, times = np.unique(found.text[mine] * len(keys) + entry, return_counts=True)
             if len(which):
                 out[which[times >= least[which % len(keys)]] // len(keys), j] = True
         size = np.maximum(np.diff(offsets), 1)
@@ -125,9 +149,9 @@ def suggest(sample: DataFrame) -> Voters:
         for batch in (p for b in batches for p in scan.portions(b)):
             data, offsets = scan.text_bytes(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            kinds, text = entries(data, offsets)
-            for kind, hashes in enumerate(kinds):
-                keys, of, times = _distinct(hashes, text)
+            found = words_of(data, offsets)
+            for kind in range(len(STEMS)):
+                keys, of, times = found.distinct(kind)
                 keys, where = np.unique(keys, return_inverse=True)
                 for least in TIMES:
                     often = times >= least
@@ -151,6 +175,7 @@ def suggest(sample: DataFrame) -> Voters:
         for g in range(GROUPS):
             own = by_key[group[by_key] == g]
             lexicons.append((kind, keys[own], least[own]))
+    forget(sample.sparkSession, strong)
     return Voters(lexicons)
 
 
@@ -219,7 +244,7 @@ def label_model(texts: DataFrame, labelled: DataFrame, voters: Voters) -> LabelM
     def vote(batches):
         for batch in (p for b in batches for p in scan.portions(b)):
             data, offsets = scan.text_bytes(batch.column("text"))
-            got = _bits(shared.value.votes(data, offsets, entries(data, offsets)))
+            got = _bits(shared.value.votes(data, offsets, words_of(data, offsets)))
             yield pa.RecordBatch.from_pydict({"pattern": got, "toxic": batch.column("toxic")})
 
     def patterns(df: DataFrame) -> DataFrame:
@@ -243,9 +268,9 @@ def label_model(texts: DataFrame, labelled: DataFrame, voters: Voters) -> LabelM
 
 def _features(data: np.ndarray, offsets: np.ndarray, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vote matrix, and hashed distinct features with their texts."""
-    found = entries(data, offsets)
+    found = words_of(data, offsets)
     votes = voters.votes(data, offsets, found)
-    parts = [_distinct(hashes, found[1]) for hashes in found[0]]
+    parts = [found.distinct(kind) for kind in range(len(STEMS))]
     parts += [(scan.mixed(k[n >= OFTEN]), t[n >= OFTEN], n) for k, t, n in parts]
     keys, text = np.concatenate([k for k, _, _ in parts]), np.concatenate([t for _, t, _ in parts])
     return votes, (keys % np.uint64(FEATURES)).astype(np.int64), text
@@ -316,21 +341,27 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
         step = rate / np.sqrt(square)
         model = model - step * slope
         model[:FEATURES] = np.sign(model[:FEATURES]) * np.maximum(np.abs(model[:FEATURES]) - step[:FEATURES] * shrink, 0)
+    forget(spark, rows)
     return Classifier(voters, float(model[-1]), model[FEATURES:-1], model[:FEATURES])
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Classifier:
     """`labels` (doc_id, toxic) are read only for documents where `may_learn` (over doc_id) holds."""
     allowed = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = stored(docs.select("doc_id", "text").join(allowed, "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "labelled")
+    # of contradicting labels of equal texts the toxic one counts, whatever the order of the rows
+    known = docs.select("doc_id", "text").join(allowed, "doc_id").groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.max("toxic").alias("toxic"))
+    known = stored(known.select("text", "toxic"), "labelled")
     voters = suggest(known)
     model = label_model(docs.select("text"), known, voters)
     share = min(1.0, TRAIN_ROWS / max(known.count(), 1))
-    return fit(known.where(hash_share(F.xxhash64("text"), share)), voters, model)
+    fitted = fit(known.where(hash_share(F.xxhash64("text"), share)), voters, model)
+    forget(docs.sparkSession, known)
+    return fitted
 
 
 def score(docs: DataFrame, model: Classifier, *carry: str) -> DataFrame:
-    """The `carry` columns with `score`, the probability that the whole text is toxic."""
+    """The `carry` columns with `score`, the probability that the whole text is toxic; a carried `score` gives way to it."""
+    carry = tuple(c for c in carry if c != "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
