@@ -164,7 +164,12 @@ def raw_spot(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
 
 
 def option_chain(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
-    """Listed contracts: strike .71-1.30 x spot, month-end expiries, IV .10-.50."""
+    """Listed contracts: strike .71-1.30 x spot, month-end expiries, IV .10-.50.
+
+    The spot price comes from the stored bars, so the trades are scanned once.
+    """
+    from quantloom.sources import bars  # which folds the bars of this module
+
     li = (
         table(spark, sf_dir, "lineitem")
         .where(F.col("l_shipdate") >= midnight(as_of, 1))
@@ -185,7 +190,7 @@ def option_chain(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Da
             F.sum("l_quantity").alias("quantity"),
             F.count("*").alias("trades"),
         )
-        .join(raw_spot(spark, sf_dir, as_of), "ticker")
+        .join(spot(bars.daily(spark, sf_dir), as_of), "ticker")
     )
     q, s, trades = F.col("l_quantity"), F.col("spot"), F.sum("trades")
     return (

@@ -31,10 +31,15 @@ def test_windows_by_ticker_need_no_exchange(spark):
     assert "Window" in plan and "Exchange" not in plan
 
 
-def test_long_calls_scan_the_trades_twice(spark):
+def test_long_calls_scan_the_trades_once(spark):
     catalog.queries()["long_calls"](spark, DATA)  # writes the bars if no other test did
     plan = catalog.queries()["long_calls"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("l_shipdate") > 0 and len(set(re.findall(r"l_shipdate#\d+", plan))) <= 2
+    assert plan.count("l_shipdate") > 0 and len(set(re.findall(r"l_shipdate#\d+", plan))) == 1
+
+
+def test_spot_of_the_bars_is_the_last_trade(spark):
+    of_bars, of_trades = ({r["ticker"]: r["spot"] for r in f.collect()} for f in (bindings.spot(bars.daily(spark, DATA)), bindings.raw_spot(spark, DATA)))
+    assert of_bars == of_trades and of_bars
 
 
 def test_changed_files_make_another_version(spark, tmp_path):
