@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import textscan as scan
-from quantloom.llm.shared import stored
+from quantloom.llm.shared import forget, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold misses every band with probability (1 - 0.8^ROWS)^BANDS, below 1e-5.
@@ -281,7 +281,9 @@ def components(edges: DataFrame) -> DataFrame:
         spread = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("far"))
         new = stored(spread.join(jump, "next").select("key", F.least("next", "far").alias("new"), "label"), "labels")
+        forget(edges.sparkSession, labels)
         if new.where("new != label").isEmpty():
+            forget(edges.sparkSession, both)
             return new.select("key", F.col("new").alias("root"))
         labels = new.select("key", F.col("new").alias("label"))
 
@@ -295,8 +297,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = least_matches(threshold)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     seen = stored(sketched(docs, sets=False), "sketches")
-    members = seen.select("doc_id", "key", "size")
     classes = stored(seen.where("size > 0").groupBy("key").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("shown")), "classes")
+    members = stored(seen.select("doc_id", "key", "size"), "members")
+    forget(docs.sparkSession, seen)
     near = stored(_promising(buckets(classes).join(classes.select("key", "values"), "key"), least), "near")
     wanted = near.select("key").distinct()
     # the sets of wanted classes only: the texts are scanned again, one document for each class
@@ -304,6 +307,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.join(shown, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["text_hash", "doc_id"])
     sets = sketched(texts.select("text"), sets=True).dropDuplicates(["key"]).select("key", "keys")
     stars = stored(_verified(near.join(classes, "key").join(sets, "key"), least, threshold), "stars")
+    forget(docs.sparkSession, near)
     links = stars.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("copies"))
     groups = components(stars.select("key", "root"))
     sized = classes.select("key", "n", "least_id").join(links, "key", "left").join(groups, "key", "left")
