@@ -75,33 +75,42 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     rawfiles.write(rows.mapInArrow(pack, "member binary"), "member", path, GAP)
 
 
+#: Bytes that are decoded at a time, so that trying a candidate costs no more than its own length.
+PIECE = 64 << 10
+
+
+def _decoded(data: memoryview, at: int, more) -> tuple[bytes, int] | None:
+    """The gzip member at `at` if it holds a WARC record, and the bytes it takes; `more` reads on behind `data`."""
+    unpacker, parts, head, used = zlib.decompressobj(31), [], b"", 0
+    piece = data[at : at + PIECE]
+    try:
+        while len(piece):
+            parts.append(unpacker.decompress(piece))
+            used += len(piece)
+            if len(head) < 5:
+                head = (head + parts[-1])[:5]
+                if head != b"WARC/"[: len(head)]:
+                    return None  # something else that looks like gzip
+            if unpacker.eof:
+                return (b"".join(parts), used - len(unpacker.unused_data)) if head == b"WARC/" else None
+            piece = data[at + used : at + used + PIECE] if at + used < len(data) else more(PIECE)
+    except zlib.error:
+        pass
+    return None
+
+
 def _members(file: str, start: int, stop: int):
     """Decoded members that begin in [start, stop) and hold a WARC record."""
     with rawfiles.opened(file) as source:
         source.seek(start)
         data = source.read(stop - start + len(MAGIC) - 1)
-        at = data.find(MAGIC)
+        view, at = memoryview(data), data.find(MAGIC)
         while 0 <= at < stop - start:
-            unpacker, parts, tail = zlib.decompressobj(31), [], data[at:]
-            used = 0
             source.seek(start + len(data))
-            try:
-                while tail and not unpacker.eof:
-                    parts.append(unpacker.decompress(tail))
-                    used += len(tail)
-                    if b"".join(parts[:2])[:5] not in (b"WARC/"[: len(b"".join(parts[:2])[:5])], b""):
-                        break  # something else that looks like gzip
-                    tail = b"" if unpacker.eof else source.read(1 << 18)
-            except zlib.error:
-                pass
-            if unpacker.eof:
-                used -= len(unpacker.unused_data)
-                body = b"".join(parts)
-                if body.startswith(b"WARC/"):
-                    yield body
-                    at = data.find(MAGIC, at + used)
-                    continue
-            at = data.find(MAGIC, at + 1)
+            found = _decoded(view, at, source.read)
+            if found is not None:
+                yield found[0]
+            at = data.find(MAGIC, at + (found[1] if found is not None else 1))
 
 
 def _parse(body: bytes) -> tuple[dict[str, str], bytes]:
