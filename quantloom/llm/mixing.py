@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import WORD, stored
+from quantloom.llm.shared import WORD, forget, stored
 
 #: Weights of the sources in their order, repeating; a target stops at so many times the source's words.
 WEIGHTS = (5, 2, 1)
@@ -52,16 +52,95 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def expected(cells: DataFrame, solution: DataFrame) -> DataFrame:
+    """(one, two, words): what two constraints' common documents weigh at their tilted rates; the dual's Hessian, whose diagonal
+    less the targets is its gradient.
+
+    `cells` (cell, groups, size) holds the words of all documents of the same constraints; `solution` (number, x) a multiplier each.
+    """
+    tilt = cells.select("cell", F.explode("groups").alias("number")).join(solution, "number").groupBy("cell").agg(F.sum("x").alias("tilt"))
+    mass = cells.join(tilt, "cell").select("groups", (F.col("size") * F.exp("tilt")).alias("mass"))
+    pairs = mass.select("groups", "mass", F.explode("groups").alias("one")).select("one", F.explode("groups").alias("two"), "mass")
+    return pairs.groupBy("one", "two").agg(F.sum("mass").alias("words"))
+
+
+def _solved(one: np.ndarray, two: np.ndarray, value: np.ndarray, diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of H x = right for the symmetric matrix of entries (one, two, value): conjugate gradients, scaled by the diagonal."""
+    scale = 1 / np.maximum(diagonal, 1e-300)
+    x, rest = np.zeros(len(right)), right.copy()
+    along = scaled = scale * rest
+    for _ in range(4 * len(right) + 10):
+        if np.abs(rest).max(initial=0.0) <= 1e-12 * np.abs(right).max(initial=1.0):
+            break
+        turned = np.bincount(one, weights=value * along[two], minlength=len(right))
+        curve = along @ turned
+        if not curve > 0:
+            break
+        by = (rest @ scaled) / curve
+        was = rest @ scaled
+        x, rest = x + by * along, rest - by * turned
+        scaled = scale * rest
+        along = scaled + (rest @ scaled) / was * along
+    return x
+
+
+def balance(rows: DataFrame, targets: DataFrame, rounds: int = NEWTON_ROUNDS) -> DataFrame:
+    """Stored (number, x): the multipliers at which the documents' tilted words meet the targets, which may overlap.
+
+    `rows` (groups, size) tells the numbers of the constraints that each document is in, at least one; `targets` (number, target) has
+    targets above 0. Spark sums the dual's gradient and Hessian over the documents in every Newton round; the driver holds a row for
+    each pair of constraints that share documents, of which there are few, and solves the step. A step moves no multiplier by more than one unit and is halved
+    until the dual falls. Targets that contradict each other are met in the sense of the last round.
+    """
+    spark = rows.sparkSession
+    cells = rows.groupBy(F.array_sort(F.array_distinct("groups")).alias("groups")).agg(F.sum("size").cast("double").alias("size"))
+    cells = stored(cells.where("size > 0").withColumn("cell", F.xxhash64("groups")), "cells")
+    wanted = {r["number"]: r["target"] for r in targets.orderBy("number").toLocalIterator()}
+    numbers = np.array(sorted(wanted), np.int64)
+    goal = np.array([wanted[n] for n in numbers.tolist()], float)
+
+    def table(x: np.ndarray) -> DataFrame:
+        return spark.createDataFrame(pa.table({"number": numbers, "x": x}))
+
+    def state(x: np.ndarray) -> tuple[float, tuple, np.ndarray]:
+        got = expected(cells, F.broadcast(table(x))).toArrow()
+        one, two = (np.searchsorted(numbers, got.column(c).to_numpy()) for c in ("one", "two"))
+        words_of = got.column("words").to_numpy()
+        diagonal = np.bincount(one[one == two], weights=words_of[one == two], minlength=len(numbers))
+        tilt = cells.select("size", "cell", F.explode("groups").alias("number")).join(F.broadcast(table(x)), "number").groupBy("cell", "size").agg(F.sum("x").alias("tilt"))
+        words = tilt.agg(F.sum(F.col("size") * F.exp("tilt")).alias("words")).first()["words"] or 0.0
+        return float(words - goal @ x), (one, two, words_of, diagonal), diagonal - goal
+
+    x = np.zeros(len(numbers))
+    if not len(x):
+        return table(x)
+    value, hessian, slope = state(x)
+    for _ in range(rounds):
+        if np.abs(slope).max() <= 1e-9 * max(goal.max(), 1.0):
+            break
+        step = _solved(*hessian, slope)
+        step /= max(1.0, np.abs(step).max())
+        for _ in range(30):
+            new = state(x - step)
+            if new[0] <= value:
+                break
+            step /= 2
+        else:
+            break
+        x, (value, hessian, slope) = x - step, new
+    forget(spark, cells)
+    return table(x)
+
+
 def multipliers(rows: DataFrame, rounds: int = NEWTON_ROUNDS) -> DataFrame:
-    """Adds `multiplier`: the dual's solution for constraints that each document is in one of.
+    """Adds `multiplier` to (source, source_size, target): the dual's solution where every source is a constraint.
 
-    The dual, sum of size * exp(multiplier) less target * multiplier, has a diagonal Hessian then, so that every constraint
-    takes its Newton steps by itself, wherever its row is. Steps are held to one unit, and a target of 0 leaves null (rate 0).
+    A target of 0 leaves null (rate 0).
     """
-    ratio = F.try_divide(F.col("target"), F.col("source_size"))
-    step = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), ratio * F.exp(-x) - 1))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), lambda x, _: x + step(x))
-    return rows.withColumn("multiplier", F.when((F.col("target") > 0) & (F.col("source_size") > 0), solved))
+    numbered = stored(rows.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "numbered")
+    live = numbered.where((F.col("target") > 0) & (F.col("source_size") > 0))
+    solved = balance(live.select(F.array("number").alias("groups"), F.col("source_size").alias("size")), live.select("number", "target"), rounds)
+    return numbered.join(solved.withColumnRenamed("x", "multiplier"), "number", "left").drop("number")
 
 
 def _copies(rate: float, size: np.ndarray) -> np.ndarray:
@@ -81,17 +160,21 @@ def mix(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken of every document, with the `carry` columns.
 
     Each source is dealt into buckets of about BUCKET_ROWS documents by a digest of id and size; a bucket is rounded by
-    itself, the longest documents first, so that what is left owing is less than its shortest document or two.
+    itself, the longest documents first, so that what is left owing is less than its shortest document or two. Rows without an
+    id are dealt by their text. A carried column that is named like a result column gives way to it.
     """
-    names = [c for c in carry if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *names)
+    made = ("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
+    names = [c for c in dict.fromkeys(carry) if c not in made]
+    inner = [f"c{k}" for k in range(len(names))]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.coalesce(F.md5("text"), F.lit(""))))
+    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), key.alias("key"), *(F.col(c).alias(i) for c, i in zip(names, inner)))
     per_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     plan = multipliers(targets(per_source.select("source", "source_size"))).withColumnRenamed("source", "of")
     plan = plan.join(per_source.select(F.col("source").alias("of_n"), "n"), F.col("of").eqNullSafe(F.col("of_n")))
     plan = stored(plan.select("of", "source_size", "target", F.coalesce(F.exp("multiplier"), F.lit(0.0)).alias("rate"), F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets")), "plan")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    digest = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string"))), 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("bucket", digest % F.col("buckets")).drop("buckets")
+    digest = F.conv(F.substring(F.md5(F.concat("key", F.lit("|"), F.col("size").cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("bucket", digest % F.col("buckets")).drop("buckets", "key")
 
     def rounded(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([("size", "descending"), ("doc_id", "ascending")])
@@ -102,4 +185,4 @@ def mix(docs: DataFrame, *carry: str) -> DataFrame:
     kinds = [f for f in rows.schema.fields if f.name != "bucket"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["copies long", "taken long"])
     out = rows.groupBy("source", "bucket").applyInArrow(rounded, schema)
-    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken", *[c for c in carry if c != "doc_id"])
+    return out.select(*made, *(F.col(i).alias(c) for c, i in zip(names, inner)))
