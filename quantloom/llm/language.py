@@ -140,7 +140,9 @@ def train(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """The `carry` columns with `lang_pred`, `score` (cosine) and `rejected` for each whole text."""
+    """The `carry` columns with `lang_pred`, `score` (cosine) and `rejected` for each whole text; a carried column named like one of
+    these gives way to it."""
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score", "rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.sources.shared import shared_dir
+
 #: Words are maximal runs of anything but blank, tab, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
