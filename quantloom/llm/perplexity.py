@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import textscan as scan
 from quantloom.llm.rawfiles import opened
-from quantloom.llm.shared import fold, stored
+from quantloom.llm.shared import fold, forget, stored
 
 ORDER = 5
 #: n-grams that make up a smaller share of all bytes than this are left to back-off: none, whatever the size of the input.
 KEEP_SHARE = 0.0
 #: Bytes of text whose distinct n-grams a task looks up together; the table is read once for each so many.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Half-widths of the accepted band, in scaled median absolute deviations of the language.
 LOWER, UPPER = 8.0, 9.0
 #: A text of n bytes has its deviation divided by sqrt(1 + SHORT / n): short texts vary more.
@@ -42,6 +42,14 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Partial counts that a task holds before it emits them.
 HELD = 2_000_000
+#: Discounts of at most so many languages and orders are broadcast, and at most so many labels (about 16 bytes each).
+BROADCAST_ROWS, BROADCAST_LABELS = 100_000, 1_000_000
+
+#: Columns of the result of `judge`, besides the carried ones.
+MADE = (
+    "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "nats", "good_nats", "middle", "spread", "base_failed",
+    "perplexity", "deviation", "bound", "kept", "quality", "learned",
+)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -133,7 +141,7 @@ def levels(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """(kind, lang, n, key, value): discounted weights of n-grams (kind "gram") and back-off masses of contexts (kind "context").
+    """Stored (kind, lang, n, key, value): discounted weights of n-grams (kind "gram") and back-off masses of contexts (kind "context").
 
     The three discounts of each language and order come from counts of counts. What is pruned, or discounted, goes to the
     context's back-off mass, so each distribution still sums to one.
@@ -144,6 +152,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, keep_share: float = KEEP_S
     y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
     some = lambda k, d: F.when((F.col("t1") > 0) & (F.col("t2") > 0) & (F.col(f"t{k}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")))).otherwise(F.lit(d))
     discounts = level.groupBy("lang", "n").agg(*times).select("lang", "n", some(1, 0.5).alias("d1"), some(2, 1.0).alias("d2"), some(3, 1.5).alias("d3"))
+    discounts = few = stored(discounts, "discounts")  # a row for each language and order
+    if few.count() <= BROADCAST_ROWS:
+        discounts = F.broadcast(few)
     less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     frequent = F.col("raw") >= F.lit(keep_share) * F.col("all_n")
     rows = level.join(discounts, ["lang", "n"]).crossJoin(F.broadcast(total))  # the total is one row
@@ -151,9 +162,12 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, keep_share: float = KEEP_S
     sums = rows.groupBy("lang", "n", "context").agg(F.sum("c").alias("sum_c"), F.sum("rest").alias("sum_rest"), F.sum("raw").alias("raw"), F.max("all_n").alias("all_n"))
     sums = sums.where((F.col("sum_rest") > 0) & frequent)
     grams = rows.where(F.col("rest") > 0).join(sums.select("lang", "n", "context", "sum_c"), ["lang", "n", "context"])
-    return grams.select(F.lit("gram").alias("kind"), "lang", "n", F.col("gram").alias("key"), (F.col("rest") / F.col("sum_c")).alias("value")).unionByName(
+    model = grams.select(F.lit("gram").alias("kind"), "lang", "n", F.col("gram").alias("key"), (F.col("rest") / F.col("sum_c")).alias("value")).unionByName(
         sums.select(F.lit("context").alias("kind"), "lang", "n", F.col("context").alias("key"), (1 - F.col("sum_rest") / F.col("sum_c")).alias("value"))
     )
+    model = stored(model, "model")
+    forget(counts.sparkSession, level, few)
+    return model
 
 
 @dataclass
@@ -281,14 +295,24 @@ def train(docs: DataFrame) -> DataFrame:
     """
     if "trusted" not in docs.columns:
         counts = stored(count_grams(docs), "grams")
-        return stored(log_probs(counts, stored(kneser_ney(counts), "model"), "all").withColumn("good", F.col("all")), "table")
+        model = kneser_ney(counts)
+        table = stored(log_probs(counts, model, "all").withColumn("good", F.col("all")), "table")
+        forget(docs.sparkSession, counts, model)
+        return table
     tagged = F.concat(F.when(F.col("trusted"), "+").otherwise("-"), F.coalesce(F.col("lang"), F.lit("")))
     both = stored(count_grams(docs.select(tagged.alias("lang"), "text")), "grams")
     lang = F.expr("substr(lang, 2)").alias("lang")
     counts = stored(both.groupBy(lang, "gram").agg(F.sum("n").alias("n")), "all-grams")
     good = both.where(F.col("lang").startswith("+")).select(lang, "gram", "n")
-    table = log_probs(counts, stored(kneser_ney(counts), "model"), "all")
-    return stored(table.join(log_probs(counts, stored(kneser_ney(good), "good-model"), "good"), ["lang", "gram"]), "table")
+    spark = docs.sparkSession
+    good_model = kneser_ney(good)
+    forget(spark, both)
+    model = kneser_ney(counts)
+    table = stored(log_probs(counts, model, "all"), "table")
+    forget(spark, model)
+    joined = stored(table.join(log_probs(counts, good_model, "good"), ["lang", "gram"]), "table")
+    forget(spark, good_model, counts, table)
+    return joined
 
 
 def bounds(scores: DataFrame) -> DataFrame:
@@ -317,15 +341,19 @@ def judge(docs: DataFrame, *carry: str, lower: float = LOWER, upper: float = UPP
     deviation stays within [-lower, upper]. Junk that is frequent in the documents is no news to that model. With `labels`
     (doc_id, quality), a second model knows only documents labelled good, and a document that is harder for it than for the
     model of all by more than its language's bound is not kept either. Fold 0 of 5 of the ids is never learned from; fold 1
-    gives the bounds, the others the model.
+    gives the bounds, the others the model. A carried column named like one of the result gives way to it.
     """
+    carry = tuple(c for c in carry if c not in MADE)
     if labels is not None:
-        marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        docs = docs.drop("quality").join(marks, "doc_id", "left")
+        marks = stored(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "marks")
+        # so that the texts stay where they are; beyond that size they are dealt by their ids
+        docs = docs.drop("quality").join(F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks, "doc_id", "left")
         of = fold("doc_id", 5)
         docs = docs.withColumn("trusted", F.coalesce((F.col("quality") == 1) & (of > 1), F.lit(False))).withColumn("learned", of == 1)
     extra = () if labels is None else ("quality", "learned")
-    scores = stored(measured(docs, train(docs), *dict.fromkeys([*carry, *extra])), "scores")
+    table = train(docs)
+    scores = stored(measured(docs, table, *dict.fromkeys([*carry, *extra])), "scores")
+    forget(docs.sparkSession, table)
     z = (F.col("nats") - F.col("middle")) / (F.col("spread") * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("n_bytes"), F.lit(1))))
     out = scores.join(bands(scores), "lang", "left").withColumn("base_failed", base_failed()).withColumn("perplexity", F.exp("nats")).withColumn("deviation", z)
     odd = F.coalesce((z < -lower) | (z > upper), F.lit(False))
