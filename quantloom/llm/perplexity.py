@@ -58,15 +58,14 @@ _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 def _measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, text = scan.words(data, offsets)
-    key, at = scan.windows(scan.segment_hash(data, starts, ends), text, WINDOW)
+    key, at = scan.windows(scan.segment_numbers(data, starts, ends).astype(np.uint64), text, WINDOW)
     twice = at[scan.repeated(key, text[at])]
     edge = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + WINDOW, -1)
     covered = np.cumsum(edge[:-1]) > 0
     first, stop, of = scan.lines(data, offsets)
-    line = scan.mixed(scan.segment_hash(data, first, stop) ^ scan.mixed(of.astype(np.uint64) + np.uint64(1)))
-    _, again = np.unique(line, return_index=True)
+    _, again = np.unique(of * np.int64(len(of) + 1) + scan.segment_numbers(data, first, stop), return_index=True)
     count = lambda x: np.bincount(x, minlength=n).astype(np.int64)
     return {
         "n_words": count(text),

@@ -57,6 +57,17 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: i
     return mixed(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
+def segment_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each of the ascending, disjoint segments [start, end); segments of equal bytes have equal numbers, others never."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, ends, 1)
+    own = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    segments = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(own)])
+    return segments.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
 def owner(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The text that holds each byte position."""
     return np.searchsorted(offsets, at, side="right") - 1
@@ -78,8 +89,8 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.concatenate((offsets[:-1], breaks + 1))
     starts = np.unique(starts[starts < len(data)])
-    stops = np.unique(np.concatenate((breaks, offsets[1:])))
-    ends = stops[np.searchsorted(stops, starts)] if len(starts) else starts
+    # a line that begins at a line feed is empty; a text's end is no end of the line that begins there, in the next text
+    ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, starts)], offsets[np.searchsorted(offsets, starts, side="right")])
     seen = np.concatenate(([0], np.cumsum(~SPACE[data])))
     full = seen[ends] > seen[starts]
     return starts[full], ends[full], owner(offsets, starts[full])

@@ -5,10 +5,12 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import decontaminate, extract, language, mixing, perplexity, toxicity, warc
+from quantloom.llm import textscan as scan
 
 LONG = "words of an article that stand here and are long enough " * 4
 
@@ -166,3 +168,15 @@ def test_labels_that_are_not_broadcast_give_the_same_verdicts(spark, monkeypatch
         monkeypatch.setattr(perplexity, "BROADCAST_ROWS", bound)
         found.append(sorted((str(r.doc_id), r.kept, round(r.perplexity, 9)) for r in perplexity.judge(docs, "doc_id", labels=labels).collect()))
     assert found[0] == found[1] and len(found[0]) == 62
+
+
+# --- base measures of the quality rules --------------------------------------------------------------------------------------
+
+
+def test_lines_and_words_are_compared_exactly_in_every_text():
+    signs = "".join("ab"[k.bit_count() % 2] for k in range(4096))  # and its mirror: polynomials of them agree modulo 2 ** 64
+    mirror = signs.translate(str.maketrans("ab", "ba"))
+    texts = ["x\nx", "x\nx", None, "", "y\nx\ny\nx\n", "\n\nz\n\nz", f"{signs}\n{mirror}", f"a b c d {signs} a b c d {mirror}", f"a b c d {signs} a b c d {signs}"]
+    got = perplexity._measures(*scan.text_bytes(pa.array(texts, pa.string())))
+    assert got["n_dup_lines"].tolist() == [1, 1, 0, 0, 2, 1, 0, 0, 0]
+    assert got["n_repeat_words"].tolist() == [0, 0, 0, 0, 0, 0, 0, 0, 10]
