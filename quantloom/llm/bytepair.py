@@ -9,7 +9,8 @@ A null text is an empty one, which has no tokens; repeated rows give repeated ro
 columns are ignored. Texts are cut only where every match of the pattern ends, so a text may have any length; ids and bytes of
 one text must fit in memory. Pieces of up to LONG bytes contract a pair a round. Longer ones contract all pairs of the least
 rank at once wherever that is provably the same; the time of one such piece grows with its length times the number of ranks
-that it uses. Distinct pieces and their ids are kept by the worker for later texts, up to KNOWN of them.
+that it uses. Distinct pieces and their ids are kept by the worker for later texts; beyond KNOWN of them, and beyond RESTING
+after a partition, only those that came again.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from quantloom.llm.textscan import portions
+from quantloom.llm.textscan import portions, release
 
 #: Bytes above which a piece contracts equal pairs together.
 LONG = 64
-#: Distinct pieces that a worker remembers before it starts anew, and characters of a text that are cut into pieces at a time.
-KNOWN, CHARS = 600_000, 1 << 20
+#: Distinct pieces that a worker remembers before it drops those that came in one portion only, and so many between partitions.
+KNOWN, RESTING = 200_000, 100_000
+#: Characters of a text that are cut into pieces at a time.
+CHARS = 1 << 20
 #: Bytes of text that are encoded, and token ids that are decoded, by one query.
 PORTION, IDS = 1 << 20, 1 << 18
 #: Portions whose new pieces are contracted together, and bytes of pieces that one query starts with.
-TOGETHER, ROWS = 8, 1 << 19
+TOGETHER, ROWS = 8, 1 << 18
 
 # A row's place is its word's number and its position, so one order serves all words. A pair's key has its rank above its
 # position, so the least key is the leftmost pair of least rank.
@@ -146,6 +149,20 @@ class _Coder:
         self.number: dict[str, int] = {}
         self.waiting: list[str] = []
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)  # portions that held the piece, those of earlier rounds for half
+
+    def slim(self, most: int) -> None:
+        """Beyond `most` pieces, forgets those met in one portion only; if more than half of `most` are left, the least met too."""
+        if len(self.number) <= most:
+            return
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > most // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: most // 2]])
+        pieces, begins = list(self.number), np.cumsum(self.size) - self.size
+        self.number = {pieces[k]: n for n, k in enumerate(kept.tolist())}
+        size = self.size[kept]
+        self.ids = self.ids[np.repeat(begins[kept] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.size, self.met = size, self.met[kept] >> 1
 
     def pieces(self, text: str) -> list[str]:
         """All matches; a long text is cut between a character and white space after it, where every match ends."""
@@ -191,16 +208,19 @@ class _Coder:
 
     def encode(self, portions: list[list[str | None]]) -> Iterator[pa.Array]:
         """For each portion of texts a list of ids for each text."""
-        if len(self.number) > KNOWN:
-            self.forget()
+        self.slim(KNOWN)
         found = [self.numbered(texts) for texts in portions]
         if self.waiting:
             self.learn()
-        begins = np.cumsum(self.size) - self.size
+        self.met = np.concatenate([self.met, np.zeros(len(self.number) - len(self.met), np.int32)])
+        for codes, _ in found:
+            self.met[codes] += 1  # numpy adds one to each distinct code
+        sizes, every = self.size, self.ids
+        begins = np.cumsum(sizes) - sizes
         for codes, ends in found:
-            size = self.size[codes]
+            size = sizes[codes]
             stop = np.cumsum(size)
-            ids = self.ids[np.repeat(begins[codes] - (stop - size), size) + np.arange(int(size.sum()))]
+            ids = every[np.repeat(begins[codes] - (stop - size), size) + np.arange(int(size.sum()))]
             offsets = np.concatenate(([0], stop))[ends]
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
@@ -249,6 +269,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *carry: str) -> DataFrame:
         while some := list(islice(parts, TOGETHER)):
             for part, ids in zip(some, _coder(vocabulary).encode([part.column("value").to_pylist() for part in some])):
                 yield _with(part, ids)
+            release()
+        _coder(vocabulary).slim(RESTING)
+        release()
 
     return _mapped(docs, "text", "ids", ArrayType(IntegerType()), run, carry)
 
@@ -266,5 +289,6 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, *carry: str) -> DataFrame:
                 piece = batch.slice(a, b - a)
                 plain = pa.array([x or [] for x in piece.column("value").to_pylist()], pa.list_(pa.int32())) if lists.null_count else piece.column("value")
                 yield _with(piece, pa.array(_coder(vocabulary).decode(plain), pa.binary()))
+            release()
 
     return _mapped(tokens, "ids", "bytes", BinaryType(), run, carry)

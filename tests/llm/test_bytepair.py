@@ -71,3 +71,14 @@ def test_query_over_the_table(spark, expected):
         ids = expected(texts[row["doc_id"]])
         digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert (row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]) == (len(ids), digest, hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest())
+
+
+def test_a_worker_keeps_the_pieces_that_came_again(vocabulary, expected):
+    coder = bytepair._Coder(vocabulary)
+    texts = [" ".join(f"{'abcd'[k]}{'efghi'[n // 10]}{'jklmnopqrs'[n % 10]}qz" for n in range(50)) + " plainly zzyzxish" for k in range(4)]
+    for text in texts:
+        assert [x.to_pylist() for x in coder.encode([[text]])] == [[expected(text)]]
+    coder.slim(20)
+    assert " zzyzxish" in coder.number and len(coder.number) <= 10 and len(coder.ids) == coder.size.sum()
+    for text in reversed(texts):
+        assert [x.to_pylist() for x in coder.encode([[text]])] == [[expected(text)]]
