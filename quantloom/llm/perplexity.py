@@ -29,6 +29,8 @@ ORDER = 5
 KEEP_SHARE = 0.0
 #: Bytes of text whose distinct n-grams a task looks up together; the table is read once for each so many.
 CHUNK = 16 << 20
+#: Bytes of text that are cut into n-grams at a time: about a hundred bytes of memory for each.
+PORTION = 1 << 19
 #: Half-widths of the accepted band, in scaled median absolute deviations of the language.
 LOWER, UPPER = 8.0, 9.0
 #: A text of n bytes has its deviation divided by sqrt(1 + SHORT / n): short texts vary more.
@@ -111,7 +113,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 keys, counts = merged(parts)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
 
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in (p for b in batches for p in scan.portions(b, most=PORTION)):
             for lang, grams, _ in _by_lang(batch, order):
                 if len(grams):
                     held.setdefault(lang, []).append(np.unique(grams, return_counts=True))
@@ -121,6 +123,8 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield from emit()
                 held = {}
         yield from emit()
+        held.clear()
+        scan.release()
 
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")
     return texts.mapInArrow(partial, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -259,7 +263,7 @@ def measured(docs: DataFrame, table: DataFrame, *carry: str) -> DataFrame:
     def score(batches):
         codes: dict[str, int] = {}
         held, size = [], 0
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in (p for b in batches for p in scan.portions(b, most=PORTION)):
             langs = batch.column("lang").dictionary_encode()
             code = np.array([codes.setdefault(lang, len(codes)) for lang in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
             data, offsets = scan.text_bytes(batch.column("text"))
@@ -270,8 +274,11 @@ def measured(docs: DataFrame, table: DataFrame, *carry: str) -> DataFrame:
             if size > CHUNK:
                 yield from flush(held, codes)
                 held, size = [], 0
+                scan.release()
         if held:
             yield from flush(held, codes)
+        held.clear()
+        scan.release()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang string", "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "n_bytes long", "nats double", "good_nats double"])
     texts = docs.select(*carry, F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")

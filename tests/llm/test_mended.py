@@ -3,9 +3,12 @@
 import math
 import random
 import time
+import tracemalloc
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +183,17 @@ def test_lines_and_words_are_compared_exactly_in_every_text():
     got = perplexity._measures(*scan.text_bytes(pa.array(texts, pa.string())))
     assert got["n_dup_lines"].tolist() == [1, 1, 0, 0, 2, 1, 0, 0, 0]
     assert got["n_repeat_words"].tolist() == [0, 0, 0, 0, 0, 0, 0, 0, 10]
+
+
+def test_counting_needs_memory_for_a_small_portion_of_the_texts(spark):
+    docs = MagicMock()
+    perplexity.count_grams(docs)
+    run = docs.select.return_value.mapInArrow.call_args[0][0]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 400, "text": ["the words of a text " * 500] * 400})  # 4 MB
+    tracemalloc.start()
+    try:
+        n = sum(pa.compute.sum(part.column("n")).as_py() for part in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 400 * 500 * len("the words of a text ") and peak < 100 << 20
