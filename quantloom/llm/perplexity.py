@@ -163,13 +163,13 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, keep_share: float = KEEP_S
     rows = level.join(discounts, ["lang", "n"]).crossJoin(F.broadcast(total))  # the total is one row
     rows = rows.withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("rest", F.when(frequent, F.col("c") - less).otherwise(F.lit(0.0)))
     sums = rows.groupBy("lang", "n", "context").agg(F.sum("c").alias("sum_c"), F.sum("rest").alias("sum_rest"), F.sum("raw").alias("raw"), F.max("all_n").alias("all_n"))
-    sums = sums.where((F.col("sum_rest") > 0) & frequent)
+    sums = stored(sums.where((F.col("sum_rest") > 0) & frequent), "contexts")  # in short plans: see `log_probs`
     grams = rows.where(F.col("rest") > 0).join(sums.select("lang", "n", "context", "sum_c"), ["lang", "n", "context"])
     model = grams.select(F.lit("gram").alias("kind"), "lang", "n", F.col("gram").alias("key"), (F.col("rest") / F.col("sum_c")).alias("value")).unionByName(
         sums.select(F.lit("context").alias("kind"), "lang", "n", F.col("context").alias("key"), (1 - F.col("sum_rest") / F.col("sum_c")).alias("value"))
     )
     model = stored(model, "model")
-    forget(counts.sparkSession, level, few)
+    forget(counts.sparkSession, level, few, sums)
     return model
 
 
@@ -213,7 +213,11 @@ class Model:
 
 
 def log_probs(grams: DataFrame, model: DataFrame, name: str, order: int = ORDER) -> DataFrame:
-    """(lang, gram, `name`): natural log-probability of the last byte of each n-gram of `grams` (lang, gram) by a `kneser_ney` table."""
+    """Stored (lang, gram, `name`): natural log-probability of the last byte of each n-gram of `grams` (lang, gram) by a `kneser_ney` table.
+
+    Each order is stored before the next one reads it: one plan over all orders has dozens of exchanges, which the driver plans
+    anew after each stage, and their threads and plans take more of its memory than the rest of the query.
+    """
     part = lambda kind, n: model.where((F.col("kind") == kind) & (F.col("n") == n)).select("lang", "key", F.col("value").alias(kind))
     p = None
     for n in range(1, order + 1):
@@ -224,8 +228,14 @@ def log_probs(grams: DataFrame, model: DataFrame, name: str, order: int = ORDER)
         below = F.lit(1 / 256)
         if p is not None:
             rows, below = rows.join(p.toDF("lang", "rest", "below"), ["lang", "rest"]), F.col("below")
-        p = rows.select("lang", "gram", (F.coalesce("back", F.lit(1.0)) * below + F.coalesce("own", F.lit(0.0))).alias("p"))
-    return p.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias(name))
+        own = rows.select("lang", "gram", (F.coalesce("back", F.lit(1.0)) * below + F.coalesce("own", F.lit(0.0))).alias("p"))
+        if n == order:
+            own = own.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias(name))
+        own = stored(own, f"order-{n}")
+        if p is not None:
+            forget(grams.sparkSession, p)
+        p = own
+    return p
 
 
 def measured(docs: DataFrame, table: DataFrame, *carry: str) -> DataFrame:
@@ -302,8 +312,9 @@ def train(docs: DataFrame) -> DataFrame:
     if "trusted" not in docs.columns:
         counts = stored(count_grams(docs), "grams")
         model = kneser_ney(counts)
-        table = stored(log_probs(counts, model, "all").withColumn("good", F.col("all")), "table")
-        forget(docs.sparkSession, counts, model)
+        every = log_probs(counts, model, "all")
+        table = stored(every.withColumn("good", F.col("all")), "table")
+        forget(docs.sparkSession, counts, model, every)
         return table
     tagged = F.concat(F.when(F.col("trusted"), "+").otherwise("-"), F.coalesce(F.col("lang"), F.lit("")))
     both = stored(count_grams(docs.select(tagged.alias("lang"), "text")), "grams")
@@ -314,10 +325,12 @@ def train(docs: DataFrame) -> DataFrame:
     good_model = kneser_ney(good)
     forget(spark, both)
     model = kneser_ney(counts)
-    table = stored(log_probs(counts, model, "all"), "table")
+    every = log_probs(counts, model, "all")
     forget(spark, model)
-    joined = stored(table.join(log_probs(counts, good_model, "good"), ["lang", "gram"]), "table")
-    forget(spark, good_model, counts, table)
+    trusted = log_probs(counts, good_model, "good")
+    forget(spark, good_model, counts)
+    joined = stored(every.join(trusted, ["lang", "gram"]), "table")
+    forget(spark, every, trusted)
     return joined
 
 
@@ -361,9 +374,9 @@ def judge(docs: DataFrame, *carry: str, lower: float = LOWER, upper: float = UPP
     scores = stored(measured(docs, table, *dict.fromkeys([*carry, *extra])), "scores")
     forget(docs.sparkSession, table)
     z = (F.col("nats") - F.col("middle")) / (F.col("spread") * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    out = scores.join(bands(scores), "lang", "left").withColumn("base_failed", base_failed()).withColumn("perplexity", F.exp("nats")).withColumn("deviation", z)
+    out = scores.join(stored(bands(scores), "bands"), "lang", "left").withColumn("base_failed", base_failed()).withColumn("perplexity", F.exp("nats")).withColumn("deviation", z)
     odd = F.coalesce((z < -lower) | (z > upper), F.lit(False))
     if labels is not None:
-        out = out.join(F.broadcast(bounds(scores)), "lang", "left")
+        out = out.join(F.broadcast(stored(bounds(scores), "bounds")), "lang", "left")
         odd = odd | F.coalesce(F.col("good_nats") - F.col("nats") > F.col("bound"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~odd)

@@ -197,3 +197,17 @@ def test_counting_needs_memory_for_a_small_portion_of_the_texts(spark):
     finally:
         tracemalloc.stop()
     assert n == 400 * 500 * len("the words of a text ") and peak < 100 << 20
+
+
+def test_scores_of_ngrams_are_made_by_short_plans(spark, monkeypatch):
+    joins, stored = [], perplexity.stored
+    monkeypatch.setattr(perplexity, "stored", lambda df, name: joins.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or stored(df, name))
+    docs = spark.createDataFrame([(k, f"some words of the text number {k}", "en", k % 2 == 0) for k in range(20)], "doc_id long, text string, lang string, trusted boolean")
+    table = perplexity.train(docs)
+    assert max(joins) <= 4
+    counts = perplexity.count_grams(docs)
+    assert table.count() == counts.count()
+    model = perplexity.Model.load(perplexity.kneser_ney(counts))
+    rows = table.toArrow()
+    want = model.log_prob("en", rows.column("gram").to_numpy().astype(np.uint64))
+    assert np.allclose(rows.column("all").to_numpy(), want, atol=1e-5)
