@@ -38,6 +38,8 @@ OFTEN = 3
 LABEL_ODDS = 4.0
 #: Hashed features of the classifier.
 FEATURES = 1 << 18
+#: 64-bit words of the bitmap of labelled ids that is broadcast.
+BITMAP = 1 << 19
 
 #: Given lexicons (fixed values): common insults.
 LEXICONS = {
@@ -345,11 +347,24 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
     return Classifier(voters, float(model[-1]), model[FEATURES:-1], model[:FEATURES])
 
 
+def maybe_labelled(docs: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id has its bit in a bitmap of the ids of `allowed`: all that `allowed` holds and few others.
+
+    So an exact join with `allowed` shuffles few other texts. The bitmap has BITMAP words at most, however many labels there are.
+    """
+    if docs.schema["doc_id"].dataType != allowed.schema["doc_id"].dataType:  # equal ids of two types have unequal hashes
+        return docs
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(64 * BITMAP))
+    words = allowed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    at = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6))
+    return at.join(F.broadcast(words), "word").where("(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1) = 1").select(*docs.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Classifier:
     """`labels` (doc_id, toxic) are read only for documents where `may_learn` (over doc_id) holds."""
     allowed = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # of contradicting labels of equal texts the toxic one counts, whatever the order of the rows
-    known = docs.select("doc_id", "text").join(allowed, "doc_id").groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.max("toxic").alias("toxic"))
+    known = maybe_labelled(docs.select("doc_id", "text"), allowed).join(allowed, "doc_id").groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.max("toxic").alias("toxic"))
     known = stored(known.select("text", "toxic"), "labelled")
     voters = suggest(known)
     model = label_model(docs.select("text"), known, voters)

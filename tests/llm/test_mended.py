@@ -211,3 +211,16 @@ def test_scores_of_ngrams_are_made_by_short_plans(spark, monkeypatch):
     rows = table.toArrow()
     want = model.log_prob("en", rows.column("gram").to_numpy().astype(np.uint64))
     assert np.allclose(rows.column("all").to_numpy(), want, atol=1e-5)
+
+
+def test_few_texts_without_a_label_are_joined_with_the_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(2000)] + [(7, "another text"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k,) for k in range(0, 2000, 20)] + [(7,), (-5,)], "doc_id long")
+    own = lambda rows: sorted(rows.join(labels, "doc_id").select("text").toPandas()["text"])
+    want = own(docs)
+    near = toxicity.maybe_labelled(docs, labels)
+    assert near.columns == docs.columns and near.count() < 120 and own(near) == want and len(want) == 102
+    monkeypatch.setattr(toxicity, "BITMAP", 1)  # with hardly any bits, still no labelled text is lost
+    assert own(toxicity.maybe_labelled(docs, labels)) == want
+    assert own(toxicity.maybe_labelled(docs, labels.select(F.col("doc_id").cast("int")))) == want
+    assert toxicity.maybe_labelled(docs, labels.limit(0)).count() == 0
