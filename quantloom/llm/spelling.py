@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import stored
+from quantloom.llm.shared import forget, stored
 
 
 def _stride(length: Column) -> Column:
@@ -58,39 +58,42 @@ def edges(words: DataFrame) -> DataFrame:
 
 
 def _without_edits(words: DataFrame) -> DataFrame:
-    """The states without an edit from which one can be made, with the key of the edges that it would follow.
-
-    `other` is the character that the edge must not begin with, `least` what it must be greater than: of two words that differ by a
-    replaced character only the one with the smaller finds the other. Inserted into a run of its own kind, a character stands last.
+    """(n, backward, text, at, replaced, key): the states without an edit from which one can be made, with the key of the edges
+    that it would follow. What follows from these columns is left to `_edited`, so that the shuffle of the states stays small.
     """
     size, half, at, back = F.col("size"), F.col("half"), F.col("at"), F.col("backward")
     rows = _texts(words).withColumn("half", F.floor(size / 2).cast("int"))
     first = F.when(back, size - half).otherwise(half)
     # positions of replaced characters: from `first` to the last one; of inserted ones: up to the end of the word
     rows = rows.withColumn("first_at", first).select("*", F.explode(F.sequence("first_at", size)).alias("at"))
-    inserted = F.struct(
-        (size + 1).alias("length"), F.col("text").alias("rest"), (at + 1).alias("rest_at"),
-        F.when(back, F.substr("text", at, F.lit(1))).otherwise(F.substr("text", at + 1, F.lit(1))).alias("other"), F.lit("").alias("least"),
-    )
-    replaced = F.struct(size.alias("length"), F.col("text").alias("rest"), (at + 2).alias("rest_at"), F.substr("text", at + 1, F.lit(1)).alias("other"), F.substr("text", at + 1, F.lit(1)).alias("least"))
+    inserted = F.struct(F.lit(False).alias("replaced"), (size + 1).alias("length"), (at + 1).alias("rest_at"))
+    replaced = F.struct(F.lit(True).alias("replaced"), size.alias("length"), (at + 2).alias("rest_at"))
     # backwards an insertion begins one further on: one place of the middle belongs to the forward trie
     kinds = F.filter(F.array(F.when(~back | (at > F.col("first_at")), inserted), F.when(at < size, replaced)), lambda k: k.isNotNull())
     rows = rows.select("n", "backward", "text", "at", F.inline(kinds))
     stride = _stride(F.col("length"))
     node = _node(back, F.col("length"), F.left("text", at))
-    return rows.select(
-        "n", "backward", "text", "at", "length", "rest_at", "other", "least",
-        F.xxhash64(node, F.substr("rest", F.col("rest_at"), stride - 1)).alias("key"), F.least(at + stride, F.col("length")).alias("depth"),
-    )
+    return rows.select("n", "backward", "text", "at", "replaced", F.xxhash64(node, F.substr("text", F.col("rest_at"), stride - 1)).alias("key"))
+
+
+def _edited(states: DataFrame) -> DataFrame:
+    """The states with an edit, (n, backward, text, near, node, depth), that edges (first, child) make of states without one.
+
+    The edge must not begin with the character that it replaces or is inserted beside. Of two words that differ by a replaced
+    character only the one with the smaller finds the other. Inserted into a run of its own kind, a character stands last.
+    """
+    at, replaced = F.col("at"), F.col("replaced")
+    length = F.char_length("text") + F.when(replaced, 0).otherwise(1)
+    beside = F.substr("text", at + F.when(F.col("backward") & ~replaced, 0).otherwise(1), F.lit(1))
+    made = states.withColumn("beside", beside).where((F.col("first") != F.col("beside")) & (~replaced | (F.col("first") > F.col("beside"))))
+    near = F.concat(F.left("text", at), "first", F.substr("text", at + F.when(replaced, 2).otherwise(1)))
+    return made.select("n", "backward", "text", near.alias("near"), F.col("child").alias("node"), F.least(at + _stride(length), length).alias("depth"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all pairs of words at one edit, each in both directions. `words` is a stored table of distinct words."""
     table = stored(edges(words), "edges")
-    spawned = _without_edits(words).join(table.select("key", "first", "child"), "key")
-    spawned = spawned.where((F.col("first") != F.col("other")) & (F.col("first") > F.col("least")))
-    near = F.concat(F.left("text", F.col("at")), "first", F.substr("text", F.col("rest_at")))
-    frontier = stored(spawned.select("n", "backward", "text", near.alias("near"), F.col("child").alias("node"), "depth"), "frontier")
+    frontier = stored(_edited(_without_edits(words).join(table.select("key", "first", "child"), "key")), "frontier")
     ended, level = [], 0
     while True:
         size = F.char_length("near")
@@ -104,6 +107,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         alive = alive.withColumn("key", key).withColumn("spelt", F.substr("near", F.col("depth") + 1, F.lit(1))).join(steps, ["key", "spelt"])
         depth = F.least(F.col("depth") + _stride(size), size)
         frontier = stored(alive.select("n", "backward", "text", "near", F.col("child").alias("node"), depth.alias("depth")), "frontier")
+    forget(words.sparkSession, table)
     pairs = ended[0]
     for more in ended[1:]:
         pairs = pairs.union(more)
@@ -121,16 +125,21 @@ def group(words: DataFrame, factor: int = 10) -> DataFrame:
     """
     words = stored(words.where("word IS NOT NULL").groupBy("word").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "words")
     # the least of (-n, word) is the largest n, and of equal ones the first word
-    best = neighbours(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
+    near = neighbours(words)
+    best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     found = words.join(best, "word", "left")
     wins = -F.col("best.less") >= F.lit(factor) * F.col("n")
     found = stored(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(wins, F.col("best.near")).alias("form"), F.when(wins, -F.col("best.less")).alias("form_n")), "forms")
+    forget(words.sparkSession, near)  # the words and the frontiers
     roots = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
+    superseded = None
     while True:  # each round doubles the steps that a word has followed
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
         joined = roots.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         joined = stored(joined, "roots")
-        roots = joined.select("word", "root")
+        if superseded is not None:
+            forget(words.sparkSession, superseded)
+        superseded, roots = joined, joined.select("word", "root")
         if joined.where("moved").isEmpty():
             break
     return found.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))

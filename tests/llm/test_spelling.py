@@ -9,6 +9,7 @@ import pytest
 
 from quantloom.llm import spelling
 from quantloom.llm.queries import QUERIES
+from quantloom.sources.shared import shared_dir
 
 
 def one_edit(a, b):
@@ -91,3 +92,15 @@ def test_query_over_the_table(spark):
         best = min(close, key=lambda v: (-counts[v], v.encode()), default=None)
         assert form == (best if best and counts[best] >= 10 * n else None)
         assert form_n == counts.get(form) and (root == w if form is None else root in counts)
+
+
+def test_superseded_tables_are_deleted_and_states_are_narrow(spark):
+    words = spark.createDataFrame([("pattern", 50), ("patern", 20), ("pattren", 3), ("battern", 2), ("patt", 1)], "word string, n long")
+    assert len(spelling._without_edits(words).columns) <= 6
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = lambda: {f.getPath().getName() for f in store.listStatus(folder)}
+    before = held()
+    found = {r.word: (r.n_near, r.form, r.root) for r in spelling.group(words, 2).collect()}
+    assert found["patern"] == (1, "pattern", "pattern") and found["battern"] == (1, "pattern", "pattern") and found["patt"] == (0, None, "patt")
+    assert sorted(name.rsplit("-", 1)[0] for name in held() - before) == ["llm-forms", "llm-roots"]
