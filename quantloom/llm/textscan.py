@@ -63,6 +63,18 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: i
     return mixed(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
+def prefix_hashes(data: np.ndarray, offsets: np.ndarray, mosts: tuple[int | None, ...]) -> list[np.ndarray]:
+    """`segment_hash` of the first `most` bytes of each segment, for each of `mosts`; segments follow one another, none is empty."""
+    if len(offsets) < 2:
+        return [np.zeros(0, np.uint64) for _ in mosts]
+    starts, size = offsets[:-1], np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(size.max()), MULTIPLIER, np.uint64))
+    summed = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, size)], out=summed[1:])
+    sizes = [size if most is None else np.minimum(size, most) for most in mosts]
+    return [mixed(summed[starts + n] - summed[starts] + n.astype(np.uint64)) for n in sizes]
+
+
 def segment_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each of the ascending, disjoint segments [start, end); segments of equal bytes have equal numbers, others never."""
     edge = np.zeros(len(data) + 1, np.int8)
@@ -75,8 +87,8 @@ def segment_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
 
 
 def owner(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The text that holds each byte position."""
-    return np.searchsorted(offsets, at, side="right") - 1
+    """The text that holds each of the ascending byte positions."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets)))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +116,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each text the mask marks."""
-    seen = np.concatenate(([0], np.cumsum(mask)))
-    return seen[offsets[1:]] - seen[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
 
 def windows(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,14 +49,18 @@ LEXICONS = {
     "de": "idioten dummkopf arschloch trottel depp abschaum wertlos widerlich erbärmlich schwachkopf".split(),
     "es": "idiotas imbécil estúpido estúpida basura escoria patético asqueroso inútil payaso".split(),
 }
-_STRIP = np.ones(256, bool)  # bytes that belong to a bare word: letters, digits and all of multi-byte characters
-_STRIP[:128] = [chr(c).isalnum() for c in range(128)]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SHOUT, _UPPER, _LETTER = (np.zeros(256, bool) for _ in range(3))
-_SHOUT[[33, 63]] = True
-_UPPER[65:91] = True
-_LETTER[65:91] = _LETTER[97:123] = True
+#: Bytes of text that are scanned at a time: about forty bytes of memory for each.
+PORTION = 1 << 20
+# bytes that belong to a bare word, letters in lower case, digits and all of multi-byte characters, stay; others become blanks
+_BARE = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def _portions(batches):
+    """The texts in portions; after each batch and at the end freed memory goes back, for the worker's next task is another stage's."""
+    for batch in batches:
+        yield from scan.portions(batch, most=PORTION)
+        del batch
+        scan.release()
 
 
 def _salt(kind: int) -> np.uint64:
@@ -72,24 +76,29 @@ class Words:
     text: np.ndarray
     stems: list[np.ndarray]
 
-    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each stem of a kind once for each text, its text, and how often it stands there."""
+    def distinct(self, kind: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each stem of a kind once for each text, its text, and how often it stands there; with `of`, a mask over the distinct
+        words, only their stems. A mask that holds for a word holds for all of the same stem."""
         hashes, stem = np.unique(self.stems[kind], return_inverse=True)
-        keys = np.sort((self.text.astype(np.int64) << 32) | stem.reshape(-1)[self.code])
+        code, text = self.code, self.text
+        if of is not None:
+            at = np.flatnonzero(of[code])
+            code, text = code[at], text[at]
+        keys = np.sort((text.astype(np.int64) << 32) | stem.reshape(-1)[code])
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         return hashes[keys[first] & 0xFFFFFFFF], keys[first] >> 32, np.diff(np.append(first, len(keys)))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     """The words of some texts; each distinct word is hashed once."""
-    blank = np.where(_STRIP[data], _LOWER[data], 0x20).astype(np.uint8)
+    blank = np.frombuffer(data.tobytes().translate(_BARE), np.uint8)
     starts, ends, text = scan.words(blank, offsets)
     inside = blank != 0x20
     cuts = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     # words are the runs of such bytes within a text, so without the other bytes they follow one another
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(blank[inside])]).dictionary_encode()
     once, at = scan.text_bytes(found.dictionary)
-    stems = [scan.segment_hash(once, at[:-1], at[1:], most) ^ _salt(k) for k, most in enumerate(STEMS)]
+    stems = [hashes ^ _salt(k) for k, hashes in enumerate(scan.prefix_hashes(once, at, STEMS))]
     return Words(found.indices.to_numpy(), text, stems)
 
 
@@ -128,18 +137,22 @@ class Voters:
         """(texts, voters) matrix of yes votes."""
         n = len(offsets) - 1
         out = np.zeros((n, len(self)), bool)
-        for j, (kind, keys, least) in enumerate(self.lexicons):
-            listed = _member(keys, found.stems[kind])
-            mine = listed[found.code]
-            entry = np.searchsorted(keys, found.stems[kind])[found.code[mine]]
-            which, times = np.unique(found.text[mine] * len(keys) + entry, return_counts=True)
-            if len(which):
+        for kind in {kind for kind, _, _ in self.lexicons}:
+            own = [(j, keys, least) for j, (of, keys, least) in enumerate(self.lexicons) if of == kind and len(keys)]
+            # few words are listed at all, so every lexicon of the kind looks only at those
+            listed = _member(np.unique(np.concatenate([keys for _, keys, _ in own])), found.stems[kind]) if own else np.zeros(0, bool)
+            at = np.flatnonzero(listed[found.code]) if listed.any() else np.zeros(0, np.int64)
+            text, stem = found.text[at], found.stems[kind][found.code[at]]
+            for j, keys, least in own if len(at) else ():
+                mine = _member(keys, stem)
+                which, times = np.unique(text[mine] * len(keys) + np.searchsorted(keys, stem[mine]), return_counts=True)
                 out[which[times >= least[which % len(keys)]] // len(keys), j] = True
         size = np.maximum(np.diff(offsets), 1)
-        letters = np.maximum(scan.per_text(_LETTER[data], offsets), 1)
-        out[:, -3] = scan.per_text(_SHOUT[data], offsets) / size > 0.02
-        out[:, -2] = scan.per_text(_UPPER[data], offsets) / letters > 0.5
-        double = np.concatenate(([False], (data[1:] == data[:-1]) & _SHOUT[data[1:]])) if len(data) else np.zeros(0, bool)
+        upper, shout = (data >= 65) & (data <= 90), (data == 33) | (data == 63)
+        letters = np.maximum(scan.per_text(upper | ((data >= 97) & (data <= 122)), offsets), 1)
+        out[:, -3] = scan.per_text(shout, offsets) / size > 0.02
+        out[:, -2] = scan.per_text(upper, offsets) / letters > 0.5
+        double = np.concatenate(([False], (data[1:] == data[:-1]) & shout[1:])) if len(data) else np.zeros(0, bool)
         out[:, -1] = scan.per_text(double, offsets) > 0
         return out
 
@@ -148,7 +161,7 @@ def suggest(sample: DataFrame) -> Voters:
     """Voters from the given lexicons and from entries over-represented in the labelled toxic texts (label column `toxic`)."""
 
     def partial(batches):
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in _portions(batches):
             data, offsets = scan.text_bytes(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             found = words_of(data, offsets)
@@ -244,7 +257,7 @@ def label_model(texts: DataFrame, labelled: DataFrame, voters: Voters) -> LabelM
     shared = texts.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches):
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in _portions(batches):
             data, offsets = scan.text_bytes(batch.column("text"))
             got = _bits(shared.value.votes(data, offsets, words_of(data, offsets)))
             yield pa.RecordBatch.from_pydict({"pattern": got, "toxic": batch.column("toxic")})
@@ -268,11 +281,12 @@ def label_model(texts: DataFrame, labelled: DataFrame, voters: Voters) -> LabelM
 # --- classifier ---------------------------------------------------------------------------------------------------------
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vote matrix, and hashed distinct features with their texts."""
+def _features(data: np.ndarray, offsets: np.ndarray, voters: Voters, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vote matrix, and hashed distinct features with their texts; with `wanted`, a mask over features, at least the wanted ones."""
     found = words_of(data, offsets)
     votes = voters.votes(data, offsets, found)
-    parts = [found.distinct(kind) for kind in range(len(STEMS))]
+    of = [None if wanted is None else wanted[k % np.uint64(FEATURES)] | wanted[scan.mixed(k) % np.uint64(FEATURES)] for k in found.stems]
+    parts = [found.distinct(kind, of[kind]) for kind in range(len(STEMS))]
     parts += [(scan.mixed(k[n >= OFTEN]), t[n >= OFTEN], n) for k, t, n in parts]
     keys, text = np.concatenate([k for k, _, _ in parts]), np.concatenate([t for _, t, _ in parts])
     return votes, (keys % np.uint64(FEATURES)).astype(np.int64), text
@@ -286,7 +300,8 @@ class Classifier:
     weight: np.ndarray
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        votes, feature, text = _features(data, offsets, self.voters)
+        # features without weight add nothing, so their words are not counted
+        votes, feature, text = _features(data, offsets, self.voters, self.weight != 0)
         logit = self.bias + votes @ self.vote_weight + np.bincount(text, weights=self.weight[feature], minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
@@ -300,7 +315,7 @@ def fit(sample: DataFrame, voters: Voters, labels: LabelModel, rounds: int = 20,
     tools = spark.sparkContext.broadcast((voters, labels))
 
     def encode(batches):
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in _portions(batches):
             data, offsets = scan.text_bytes(batch.column("text"))
             votes, feature, text = _features(data, offsets, tools.value[0])
             own = LABEL_ODDS * (2.0 * batch.column("toxic").to_numpy(zero_copy_only=False) - 1)
@@ -380,7 +395,7 @@ def score(docs: DataFrame, model: Classifier, *carry: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in (p for b in batches for p in scan.portions(b)):
+        for batch in _portions(batches):
             data, offsets = scan.text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"score": shared.value.score(data, offsets)})
 

@@ -224,3 +224,48 @@ def test_few_texts_without_a_label_are_joined_with_the_labels(spark, monkeypatch
     assert own(toxicity.maybe_labelled(docs, labels)) == want
     assert own(toxicity.maybe_labelled(docs, labels.select(F.col("doc_id").cast("int")))) == want
     assert toxicity.maybe_labelled(docs, labels.limit(0)).count() == 0
+
+
+def test_only_words_whose_features_have_weight_are_counted(monkeypatch):
+    words = [f"w{k:04d}x" for k in range(400)]
+    texts = [" ".join(words[k:]) + " " + "hit " * k + "No? YES!!" for k in range(40)] + ["", None, "hit"]
+    data, offsets = scan.text_bytes(pa.array(texts, pa.string()))
+    lexicons = [(len(toxicity.STEMS) - 1, np.sort(toxicity.entries(*scan.text_bytes(pa.array(["hit w0399x"])))[0][-1]), np.array([2, 2])), (0, np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    voters = toxicity.Voters(lexicons)
+    weight = np.zeros(toxicity.FEATURES)
+    key = toxicity.entries(*scan.text_bytes(pa.array(["hit"])))[0][-1]
+    weight[(key % np.uint64(toxicity.FEATURES)).astype(int)] = 0.25
+    weight[(scan.mixed(key) % np.uint64(toxicity.FEATURES)).astype(int)] = 0.5
+    _, feature, text = toxicity._features(data, offsets, voters)
+    votes = np.array([[(t or "").split().count("hit") > 1, False, (t or "").count("!") + (t or "").count("?") > 0.02 * max(len(t or ""), 1), False, "!!" in (t or "")] for t in texts])
+    add = np.array([1.0, 2.0, 0.5, 0.25, 0.125])
+    expected = 1 / (1 + np.exp(-(-1 + votes @ add + np.bincount(text, weights=weight[feature], minlength=len(texts)))))
+    counted = []
+    distinct = toxicity.Words.distinct
+    monkeypatch.setattr(toxicity.Words, "distinct", lambda *a: counted.append(distinct(*a)) or counted[-1])
+    assert np.allclose(toxicity.Classifier(voters, -1.0, add, weight).score(data, offsets), expected, rtol=1e-12)
+    assert 0 < sum(len(keys) for keys, _, _ in counted) < len(feature) / 20
+
+
+def test_prefix_hashes_are_the_segments_hashes():
+    words = ["a", "ab", "straße", "abcdefghij", "zz", "ab"]
+    data, offsets = scan.text_bytes(pa.array(words))
+    for most, got in zip((1, 3, 7, None), scan.prefix_hashes(data, offsets, (1, 3, 7, None))):
+        assert (got == scan.segment_hash(data, offsets[:-1], offsets[1:], most)).all()
+    assert [len(x) for x in scan.prefix_hashes(data[:0], offsets[:1], (1, None))] == [0, 0]
+
+
+def test_owners_and_counts_with_empty_texts():
+    data, offsets = scan.text_bytes(pa.array(["", "ab", None, "", "c", ""]))
+    assert scan.owner(offsets, np.arange(3)).tolist() == [1, 1, 4]
+    assert scan.per_text(data != ord("b"), offsets).tolist() == [0, 1, 0, 0, 1, 0]
+
+
+def test_toxicity_gives_memory_back_after_every_batch(monkeypatch):
+    released, sizes = [], []
+    monkeypatch.setattr(toxicity, "PORTION", 100)
+    monkeypatch.setattr(scan, "release", lambda: released.append(len(sizes)))
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 30] * 20})
+    for part in toxicity._portions(iter([batch, batch])):
+        sizes.append(part.num_rows)
+    assert sum(sizes) == 40 and max(sizes) <= 4 and released == [len(sizes) // 2, len(sizes)]
