@@ -118,6 +118,17 @@ class Vocabulary:
         return pa.table({"pair": left.astype(np.int64) << 32 | right, "id": made, "safe": ~np.isin(made, unsafe)})
 
 
+def _strings(pieces: list[str]) -> pa.Array:
+    """The pieces as an Arrow column, encoded all at once."""
+    text, cuts = "".join(pieces), np.zeros(len(pieces) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)), out=cuts[1:])
+    raw = text.encode()
+    if len(raw) > len(text):  # from characters to bytes
+        data = np.frombuffer(raw, np.uint8)
+        cuts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[cuts]
+    return pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(cuts), pa.py_buffer(raw))
+
+
 class _Coder:
     """The vocabulary as tables of an in-process database, and the ids of the pieces met so far."""
 
@@ -178,32 +189,37 @@ class _Coder:
     def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces, and where each text's begin and end; pieces never met before wait to be learned."""
         found = [self.pieces(text) if text else [] for text in texts]
-        new = list(set().union(*found) - self.number.keys())
+        ends = np.cumsum([0, *map(len, found)])
+        every = _strings(list(chain.from_iterable(found))).dictionary_encode()
+        once = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [piece for piece in once if piece not in self.number]
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.waiting += new
-        ends = np.cumsum([0, *map(len, found)])
-        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int32, int(ends[-1])), ends
+        return np.fromiter(map(self.number.__getitem__, once), np.int32, len(once))[every.indices.to_numpy()], ends
 
     def learn(self) -> None:
         """Ids of the pieces that wait: the rank of the whole piece, or what contraction leaves of its bytes."""
         raw = [piece.encode() for piece in self.waiting]
-        ids: list = [[self.ranks[piece]] if piece in self.ranks else None for piece in raw]
-        for query, chosen in ((_SHORT, lambda n: n <= LONG), (_LONG, lambda n: n > LONG)):
-            wanted = [k for k, piece in enumerate(raw) if ids[k] is None and chosen(len(piece))]
-            sizes = np.array([len(raw[k]) for k in wanted], np.int64)
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.fromiter((self.ranks.get(piece, -1) for piece in raw), np.int32, len(raw))
+        whole_at = np.flatnonzero(whole >= 0)
+        counts, owners, made = np.ones(len(raw), np.int64), [whole_at], [whole[whole_at]]
+        for query, chosen in ((_SHORT, length <= LONG), (_LONG, length > LONG)):
+            wanted = np.flatnonzero(chosen & (whole < 0))
+            sizes = length[wanted]
             slices = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // ROWS)) + 1
             for first, last in zip([0, *slices.tolist()], [*slices.tolist(), len(wanted)]):
                 at, size = wanted[first:last], sizes[first:last]
-                if not at:
+                if not len(at):
                     continue
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = pa.table({"word": np.repeat(np.array(at, np.int32), size), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(raw[k] for k in at), np.uint8)]})
-                found = self._run(query, "start", start).column("ids").chunk(0)
-                cuts, flat = found.offsets.to_numpy(), found.values.to_numpy()
-                for k, a, b in zip(at, cuts[:-1].tolist(), cuts[1:].tolist()):
-                    ids[k] = flat[a:b]
-        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in ids)])
+                start = pa.table({"word": np.repeat(at.astype(np.int32), size), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint8)]})
+                found = self._run(query, "start", start).column("ids").chunk(0)  # a row for each of `at`, in its order
+                counts[at] = np.diff(found.offsets.to_numpy())
+                owners.append(np.repeat(at, counts[at]))
+                made.append(found.flatten().to_numpy())
+        self.size = np.concatenate([self.size, counts])
+        self.ids = np.concatenate([self.ids, np.concatenate(made)[np.argsort(np.concatenate(owners), kind="stable")]])
         self.waiting = []
 
     def encode(self, portions: list[list[str | None]]) -> Iterator[pa.Array]:

@@ -82,3 +82,18 @@ def test_a_worker_keeps_the_pieces_that_came_again(vocabulary, expected):
     assert " zzyzxish" in coder.number and len(coder.number) <= 10 and len(coder.ids) == coder.size.sum()
     for text in reversed(texts):
         assert [x.to_pylist() for x in coder.encode([[text]])] == [[expected(text)]]
+
+
+def test_every_distinct_piece_of_a_portion_is_looked_up_once(vocabulary, expected):
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, piece):
+            self.looked += 1
+            return dict.__getitem__(self, piece)
+
+    coder = bytepair._Coder(vocabulary)
+    coder.number = Counted()
+    texts = ["so it is zorglub, " * 500, None, "é zorglub 日本 日本" * 20, ""]
+    assert [ids.to_pylist() for ids in coder.encode([texts])] == [[expected(t or "") for t in texts]]
+    assert coder.number.looked == len(coder.number)
