@@ -30,7 +30,7 @@ KEEP_SHARE = 0.0
 #: Bytes of text whose distinct n-grams a task looks up together; the table is read once for each so many.
 CHUNK = 16 << 20
 #: Bytes of text that are cut into n-grams at a time: about a hundred bytes of memory for each.
-PORTION = 1 << 19
+PORTION = 1 << 18
 #: Half-widths of the accepted band, in scaled median absolute deviations of the language.
 LOWER, UPPER = 8.0, 9.0
 #: A text of n bytes has its deviation divided by sqrt(1 + SHORT / n): short texts vary more.
@@ -279,7 +279,7 @@ def measured(docs: DataFrame, table: DataFrame, *carry: str) -> DataFrame:
             data, offsets = scan.text_bytes(batch.column("text"))
             grams, text = scan.byte_grams(data, offsets, ORDER)
             own, where = np.unique(grams | (code[text] << np.uint64(8 * ORDER)), return_inverse=True)
-            held.append((batch, own, where.astype(np.int32), np.bincount(text, minlength=batch.num_rows).astype(np.int64)))
+            held.append((batch, own, where.astype(np.min_scalar_type(len(own))), np.bincount(text, minlength=batch.num_rows).astype(np.int64)))
             size += len(data)
             if size > CHUNK:
                 yield from flush(held, codes)
