@@ -206,10 +206,12 @@ class _Coder:
         counts, owners, made = np.ones(len(raw), np.int64), [whole_at], [whole[whole_at]]
         for query, chosen in ((_SHORT, length <= LONG), (_LONG, length > LONG)):
             wanted = np.flatnonzero(chosen & (whole < 0))
+            wanted = wanted[np.argsort(length[wanted], kind="stable")]  # so that few queries go through the rounds of long pieces
             sizes = length[wanted]
             slices = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // ROWS)) + 1
             for first, last in zip([0, *slices.tolist()], [*slices.tolist(), len(wanted)]):
-                at, size = wanted[first:last], sizes[first:last]
+                at = np.sort(wanted[first:last])
+                size = length[at]
                 if not len(at):
                     continue
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
