@@ -245,7 +245,8 @@ def digits7(c: str) -> str:
 
 
 def seven_digits(c):
-    return F.format_string("%.6e", F.col(c)).cast("double").alias(c)
+    """A missing value stays NULL: format_string would print it as the text null."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.6e", F.col(c))).cast("double").alias(c)
 
 
 @CAT.add("dcf_b", sql("dcfb", f"""
