@@ -40,3 +40,9 @@ def test_value_without_a_known_growth_is_unknown(spark, tmp_path):
     got, expected = against_sql(spark, tmp_path, "dcf_b", statements(YEARS))
     assert got == expected
     assert [r[0] for r in got if r[3] is None and r[4] is None] == ["C1", "C3", "C5"] and len(got) == 5
+
+
+def test_flows_without_a_known_growth_are_unknown(spark, tmp_path):
+    got, expected = against_sql(spark, tmp_path, "dcf_b_flows", statements(YEARS))
+    assert got == expected
+    assert [r[:2] for r in got if r[2] is None] == [(c, y) for c in ("C1", "C3", "C5") for y in range(1, 6)] and len(got) == 25
