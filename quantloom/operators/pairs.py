@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions.inference import correlation_pvalue, normal_pvalue, strength_class
 from quantloom.operators.series import with_returns
+from quantloom.sources.shared import new_path, opened, release
 
 PAIR = ["ticker", "peer"]
 
@@ -223,8 +225,10 @@ def regime_changes(rolling: DataFrame, window: int = 20, threshold: float = 0.3,
     )
 
 
-#: Members of a block of the correlation matrix, and slices of days that one pair of blocks is dealt over.
-BLOCK, SLICES = 128, 16
+#: Members of a block of the correlation matrix for products and for ranks, and days that products are summed over at once.
+BLOCK, RANK_BLOCK, DAYS = 512, 16, 3072
+#: Rows of one batch of results.
+CELLS = 1 << 17
 
 
 def _grid(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -241,21 +245,184 @@ def _grid(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _wanted(key: tuple, names: list[str], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs a <= b of a task: one member of either block, also where a slice of days knows only one of them."""
+    """Index pairs a <= b of a task: one member of either block."""
     i, j = np.triu_indices(len(names))
     low, high = key[0].as_py(), key[1].as_py()
     keep = (np.minimum(block[i], block[j]) == low) & (np.maximum(block[i], block[j]) == high)
     return i[keep], j[keep]
 
 
-def _moment_sums(key: tuple, table: pa.Table) -> pa.Table:
-    """Count and sums of the common days of each pair of a task."""
-    names, block, x = _grid(table)
-    i, j = _wanted(key, names, block)
-    seen = ~np.isnan(x)
-    x, m = np.where(seen, x, 0.0), seen.astype("float64")
-    grids = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
-    return pa.table({"a": pa.array([names[k] for k in i], pa.string()), "b": pa.array([names[k] for k in j], pa.string()), **{k: g[i, j] for k, g in grids.items()}})
+def _centred(ret: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Returns relative to their member's mean; exactly zero where a member has one value only."""
+    size = size[size > 0]
+    if not len(size):
+        return ret
+    start = np.cumsum(size) - size
+    least, most, mean = np.minimum.reduceat(ret, start), np.maximum.reduceat(ret, start), np.add.reduceat(ret, start) / size
+    return ret - np.repeat(np.where(least == most, least, mean), size)
+
+
+PIECE = "names array<string>, size binary, day binary, ret binary, members int"
+
+
+def _packed(batches, block: int):
+    """Returns sorted by member as pieces of about `block` members: names, rows of each, and all their days and returns."""
+    names: list[str] = []
+    sizes: list[int] = []
+    days: list[np.ndarray] = []  # of each member one or more parts
+    rets: list[np.ndarray] = []
+    owner: list[int] = []  # the member of each part, counted from the first that is kept
+
+    def piece(count: int) -> pa.RecordBatch:
+        parts = next((k for k, o in enumerate(owner) if o >= count), len(owner))
+        size = np.array(sizes[:count], np.int32)
+        day, ret = (np.concatenate([kind(0), *held[:parts]]) for kind, held in ((lambda n: np.empty(n, np.int32), days), (np.empty, rets)))
+        values = [names[:count], size.tobytes(), day.tobytes(), _centred(ret, size).tobytes(), count]
+        del names[:count], sizes[:count], days[:parts], rets[:parts]
+        owner[:] = [o - count for o in owner[parts:]]
+        types = (pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["names", "size", "day", "ret", "members"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(0).dictionary_encode()
+        code, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1, [len(code)]))
+        seen = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        day, ret = batch.column(1).fill_null(0).to_numpy(), batch.column(2).fill_null(0.0).to_numpy()
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if not names or names[-1] != known[code[i]]:
+                names.append(known[code[i]])
+                sizes.append(0)
+            here = seen[i:j]
+            sizes[-1] += int(here.sum())
+            days.append(day[i:j][here].astype(np.int32))
+            rets.append(ret[i:j][here])
+            owner.append(len(names) - 1)
+        while len(names) > 2.5 * block:
+            yield piece(block)
+    for left in range(max(1, round(len(names) / block)), 0, -1):
+        if names:
+            yield piece(-(-len(names) // left))
+
+
+class _Block:
+    """Members of some pieces: their names and returns."""
+
+    def __init__(self, files: list[str]):
+        pieces = [row for f in files for row in pq.read_table(opened(f), columns=["names", "size", "day", "ret"]).to_pylist()]
+        self.names = [n for x in pieces for n in x["names"]]
+        size, self.day, self.ret = (np.concatenate([np.frombuffer(x[c], kind) for x in pieces]) for c, kind in (("size", np.int32), ("day", np.int32), ("ret", np.float64)))
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        known = ~np.isnan(self.ret)
+        if not known.all():
+            self.row, self.day, self.ret = self.row[known], self.day[known], self.ret[known]
+        self.days = np.unique(self.day)
+        self.kept: tuple[np.ndarray, np.ndarray] | None = None
+
+    def dense(self, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members x days: returns, zero where there is none, and which there are."""
+        at = np.full(int(days[-1]) - int(days[0]) + 1, -1, np.int32)
+        at[days - days[0]] = np.arange(len(days), dtype=np.int32)
+        near = (self.day >= days[0]) & (self.day <= days[-1])
+        column, row, ret = at[self.day[near] - days[0]], self.row[near], self.ret[near]
+        x, m = np.zeros((len(self.names), len(days))), np.zeros((len(self.names), len(days)), bool)
+        listed = column >= 0
+        place = row[listed].astype(np.int64) * len(days) + column[listed]
+        x.reshape(-1)[place], m.reshape(-1)[place] = ret[listed], True
+        return x, m
+
+    def on(self, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`dense` over this block's own days, kept if they come at once."""
+        if len(days) < len(self.days):
+            return self.dense(days)
+        self.kept = self.kept or self.dense(days)
+        return self.kept
+
+
+def _moments(low: _Block, high: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """Number of common days, and r, of each member of one block with each of the other; sums over common days are matrix products."""
+    shape = (len(low.names), len(high.names))
+    n, sx, sy, sxx, syy, sxy = (np.zeros(shape) for _ in range(6))
+    for k in range(0, len(low.days), DAYS):
+        days = low.days[k : k + DAYS]
+        (x, p), (y, q) = low.on(days), high.dense(days)
+        n += p.astype(np.float32) @ q.astype(np.float32).T  # whole numbers, exact up to 2^24 days
+        sxy += x @ y.T
+        p, q = p.astype(np.float64), q.astype(np.float64)
+        sx += x @ q.T
+        sxx += (x * x) @ q.T
+        sy += p @ y.T
+        syy += p @ (y * y).T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+        r = (n * sxy - sx * sy) / spread
+    return n.astype(np.int64), np.ma.masked_array(r, (n <= 1) | (spread == 0))
+
+
+def _compared(batches):
+    """Cells (a, b, r, n) of pairs of blocks; a block is read once for all pairs in a row that it is the first of."""
+    last: tuple[list[str], _Block] | None = None
+    for batch in batches:
+        for pair in batch.to_pylist():
+            files = pair["files"]
+            low = last[1] if last and last[0] == files else _Block(files)
+            last = (files, low)
+            high = low if pair["low"] == pair["high"] else _Block(pair["others"])
+            n, r = _moments(low, high)
+            width = len(high.names)
+            names = low.names + ([] if high is low else high.names)
+            rank = np.unique(np.asarray(names, dtype=object), return_inverse=True)[1].astype(np.int32)
+            text, mine, theirs = pa.array(names, pa.string()), np.arange(len(low.names), dtype=np.int32), np.arange(len(names) - width, len(names), dtype=np.int32)
+            step = max(1, CELLS // max(1, width))
+            for k in range(0, len(mine), step):
+                i, j = np.repeat(mine[k : k + step], width), np.tile(theirs, len(mine[k : k + step]))
+                one, value, out = n[k : k + step].reshape(-1), r[k : k + step].reshape(-1), rank[i] <= rank[j]
+                a, b, missing = np.where(out, i, j), np.where(out, j, i), np.ma.getmaskarray(value)
+                if high is low:  # each pair once
+                    once = i <= j
+                    a, b, one, value, missing = a[once], b[once], one[once], value[once], missing[once]
+                yield pa.RecordBatch.from_arrays(
+                    [text.take(pa.array(a)), text.take(pa.array(b)), pa.array(np.ma.getdata(value), mask=missing), pa.array(one)], names=["a", "b", "r", "n"])
+
+
+def _blocks(pieces: list[tuple[str, int]], block: int) -> list[list[str]]:
+    """Files of pieces put together up to one and a half blocks of members."""
+    out: list[list[str]] = []
+    held = 0
+    for file, members in sorted(pieces):
+        if not out or held + members > 1.5 * block:
+            out.append([])
+            held = 0
+        out[-1].append(file)
+        held += members
+    return out
+
+
+def _product_correlations(names: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """Pearson's r of all members: (a, b, r, n) with a <= b.
+
+    Returns are packed into pieces, a file each in the shared folder, where they stay for the tasks, which read two blocks of
+    pieces each and multiply their matrices.  So returns are written once however many members there are, and only the
+    results grow with the square.
+    """
+    spark = known.sparkSession
+    release(spark)  # the bars may have been stored just now
+    path = new_path(spark, "quantloom-returns")
+    rows = names.join(known, "ticker", "left").select("ticker", "day", "ret").sortWithinPartitions("ticker")
+    pieces = rows.mapInArrow(lambda batches: _packed(batches, block), PIECE)
+    pieces.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
+    files = spark.read.schema(PIECE).parquet(path).select("_metadata.file_path", "members").collect()
+    blocks = [(i, f) for i, f in enumerate(_blocks([tuple(f) for f in files], block))]
+    if not blocks:
+        return spark.createDataFrame([], "a string, b string, r double, n long")
+    low = spark.createDataFrame(blocks, "low int, files array<string>")
+    high = low.select(F.col("low").alias("high"), F.col("files").alias("others"))
+    count = len(blocks) * (len(blocks) + 1) // 2
+    pairs = low.join(F.broadcast(high), F.col("low") <= F.col("high"))  # file names
+    dealt = pairs.repartitionByRange(min(count, max(256, count // 16)), "low", "high").sortWithinPartitions("low", "high")
+    return dealt.mapInArrow(_compared, "a string, b string, r double, n long")
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -279,47 +446,38 @@ def _rank_correlation(method: str, x: np.ndarray, y: np.ndarray) -> float | None
 def correlation_matrix(ret: DataFrame, members: DataFrame, method: str = "pearson", ts: str = "dt", block: int | None = None) -> DataFrame:
     """Pairwise-complete correlations of all members with each other: (a, b, r, n) with a <= b, for any number of members.
 
-    Members are dealt into blocks; a row of returns goes to every pair of blocks that its member's is in, so a task compares two
-    blocks.  Pearson's moments are matrix products over a slice of days and are added up; returns are taken relative to their
-    member's mean, which keeps the sums accurate.  Rank correlations need all common days of a pair, so their tasks are not
-    sliced; a block then has an eighth of the members.  Members without returns keep their rows, with n = 0 and a NULL r.
+    Members are dealt into blocks, and a task compares two blocks.  Pearson's moments are matrix products over packed returns
+    in the shared folder, which are written by this call; returns are taken relative to their member's mean, which keeps the
+    sums accurate.  Rank correlations need all common days of a pair in order; there a row of returns goes to every pair of
+    blocks that its member's is in.  Members without returns keep their rows, with n = 0 and a NULL r.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; choose from {tuple(METHODS)}")
-    sliced = method == "pearson"
-    block = block or (BLOCK if sliced else max(1, BLOCK // 8))
     names = members.select("ticker").where(F.col("ticker").isNotNull()).distinct()
-    blocks = names.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    known = ret.where(F.col("ret").isNotNull()).select("ticker", F.unix_date(ts).alias("day"), F.col("ret").cast("double").alias("ret"))
+    if method == "pearson":
+        return _product_correlations(names, known.where(F.col("day").isNotNull()), block or BLOCK)
+    blocks = names.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (block or RANK_BLOCK))).cast("int").alias("blocks"))
     # one row; the number of blocks is a column, so nothing comes to the driver
     names = names.crossJoin(F.broadcast(blocks)).withColumn("block", F.pmod(F.xxhash64("ticker"), F.col("blocks")).cast("long"))
-    known = ret.where(F.col("ret").isNotNull()).select("ticker", F.unix_date(ts).cast("double").alias("day"), F.col("ret").cast("double").alias("ret"))
     same = F.min("ret") == F.max("ret")
     centre = known.groupBy("ticker").agg(F.when(same, F.min("ret")).otherwise(F.avg("ret")).alias("centre"))
-    rows = names.join(known, "ticker").join(centre, "ticker").select("ticker", "block", "blocks", "day", (F.col("ret") - F.col("centre")).alias("ret"))
+    rows = names.join(known, "ticker").join(centre, "ticker").select("ticker", "block", "blocks", F.col("day").cast("double").alias("day"), (F.col("ret") - F.col("centre")).alias("ret"))
     nothing = F.lit(None).cast("double")
     rows = rows.unionByName(names.select("ticker", "block", "blocks", nothing.alias("day"), nothing.alias("ret")))
-    slice_ = F.pmod(F.coalesce("day", F.lit(0.0)).cast("long"), F.lit(SLICES if sliced else 1))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))
-    rows = rows.select("ticker", "block", "day", "ret", slice_.alias("slice"), other.alias("other"))
-    group = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "slice"]
-    if not sliced:
-
-        def whole(key: tuple, table: pa.Table) -> pa.Table:
-            found, of, x = _grid(table)
-            out = []
-            for i, j in zip(*_wanted(key, found, of)):
-                both = ~(np.isnan(x[:, i]) | np.isnan(x[:, j]))
-                out.append((found[i], found[j], _rank_correlation(method, x[both, i], x[both, j]), int(both.sum())))
-            return pa.Table.from_pylist([dict(zip(("a", "b", "r", "n"), o)) for o in out], pa.schema([("a", pa.string()), ("b", pa.string()), ("r", pa.float64()), ("n", pa.int64())]))
-
-        return rows.groupBy(*group).applyInArrow(whole, "a string, b string, r double, n long")
-    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    cells = rows.groupBy(*group).applyInArrow(_moment_sums, "a string, b string, " + ", ".join(f"{c} double" for c in sums))
-    t = cells.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
-    n = F.col("n")
-    spread = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
-    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))
-    return t.select("a", "b", F.when(n > 1, r).alias("r"), n.cast("bigint").alias("n"))
+    rows = rows.select("ticker", "block", "day", "ret", other.alias("other"))
+    group = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        found, of, x = _grid(table)
+        out = []
+        for i, j in zip(*_wanted(key, found, of)):
+            both = ~(np.isnan(x[:, i]) | np.isnan(x[:, j]))
+            out.append((found[i], found[j], _rank_correlation(method, x[both, i], x[both, j]), int(both.sum())))
+        return pa.Table.from_pylist([dict(zip(("a", "b", "r", "n"), o)) for o in out], pa.schema([("a", pa.string()), ("b", pa.string()), ("r", pa.float64()), ("n", pa.int64())]))
+
+    return rows.groupBy(*group).applyInArrow(whole, "a string, b string, r double, n long")
 
 
 def strongest_peer(correlations: DataFrame) -> DataFrame:

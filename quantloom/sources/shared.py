@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from functools import cache
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -42,3 +45,15 @@ def version(spark: SparkSession, path: str) -> str:
         f = files.next()
         out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(out))).hex
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; it does so once the driver has collected what referred to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def opened(file: str):
+    """A seekable file of any store that pyarrow knows, for tasks that read what an earlier step left in the shared folder."""
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+    return store.open_input_file(path)
