@@ -83,12 +83,13 @@ def dcf_discounted(facts: DataFrame, discount: float = 0.10, terminal_growth: fl
                    conservative: float = 0.8) -> DataFrame:
     """Value from the company's own damped mean growth, terminal value discounted (form B).
 
-    A company with a single period is projected flat.
+    A company with a single period is projected flat.  The last known cash flow counts, and a statement without a period comes last.
     """
-    y = with_yoy(facts, ["free_cash_flow"])
+    y = with_yoy(facts, ["free_cash_flow"], ts=F.asc_nulls_last("period_end"))
+    known = F.when(F.col("free_cash_flow").isNotNull(), F.col("period_end"))
     c = y.groupBy("ticker").agg(
         F.count("*").alias("n_periods"),
-        F.max_by("free_cash_flow", "period_end").alias("last_fcf"),
+        F.max_by("free_cash_flow", known).alias("last_fcf"),
         (F.avg("free_cash_flow_yoy") * conservative).alias("_g"),
     )
     c = c.withColumn("growth", F.when(F.col("n_periods") < 2, 0.0).otherwise(F.col("_g"))).drop("_g")

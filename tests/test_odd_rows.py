@@ -22,7 +22,7 @@ def against_sql(spark, folder, name, tables):
 
 def statements(years):
     """Orders and their lines from (customer, year, price, discount, tax); discount .10 with tax .05 makes a cash flow of zero."""
-    days = [dt.datetime(y, 5, 1) for _, y, *_ in years]
+    days = [y and dt.datetime(y, 5, 1) for _, y, *_ in years]
     orders = [(i, c, "O", 1.0, day, "x") for i, ((c, *_), day) in enumerate(zip(years, days))]
     lines = [(i, 1, 1, 1, 5.0, p, d, t, "N", "O", day) for i, ((_, _, p, d, t), day) in enumerate(zip(years, days))]
     return {"orders": orders, "lineitem": lines}
@@ -46,3 +46,14 @@ def test_flows_without_a_known_growth_are_unknown(spark, tmp_path):
     got, expected = against_sql(spark, tmp_path, "dcf_b_flows", statements(YEARS))
     assert got == expected
     assert [r[:2] for r in got if r[2] is None] == [(c, y) for c in ("C1", "C3", "C5") for y in range(1, 6)] and len(got) == 25
+
+
+@pytest.mark.parametrize("name", ["dcf_b", "dcf_b_flows"])
+def test_last_known_cash_flow_counts(spark, tmp_path, name):
+    line = lambda c, y, p: (c, y, p, 0.02, 0.01)
+    got, expected = against_sql(spark, tmp_path, name, statements([
+        line(1, 1995, 1000.0), line(1, 1996, 1500.0), line(1, 1997, None),  # no price in the last year
+        line(2, 1995, 1000.0), line(2, 1996, 1500.0), line(2, None, 800.0),  # no date
+        line(3, None, 800.0),
+    ]))
+    assert got == expected and {r[0] for r in got if r[2] is not None} == {"C1", "C2"}
